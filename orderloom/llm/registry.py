@@ -1,8 +1,8 @@
 """All queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import mixing, sharding, url_filters
+from . import mixing, sharding, token_files, url_filters
 
-MODULES = [mixing, sharding, url_filters]
+MODULES = [token_files, sharding, url_filters, mixing]
 
 
 def queries():
