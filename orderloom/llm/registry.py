@@ -1,8 +1,8 @@
 """All queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import language_id, mixing, sharding, token_files, url_filters
+from . import decontamination, language_id, mixing, sharding, token_files, url_filters
 
-MODULES = [token_files, sharding, url_filters, language_id, mixing]
+MODULES = [decontamination, token_files, sharding, url_filters, language_id, mixing]
 
 
 def queries():
