@@ -1,8 +1,8 @@
 """All queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import decontamination, html_text, language_id, media, mixing, sharding, token_files, url_filters
+from . import decontamination, html_text, language_id, media, mixing, sharding, token_files, toxicity, url_filters
 
-MODULES = [decontamination, token_files, sharding, url_filters, language_id, mixing, media, html_text]
+MODULES = [toxicity, decontamination, token_files, sharding, url_filters, language_id, mixing, media, html_text]
 
 
 def queries():
