@@ -58,8 +58,9 @@ def shingle_set(text: str | None, n: int = SHINGLE) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(_WORDS) > MEMORY_WORDS:
         _WORDS.clear()
-    for w in set(words) - _WORDS.keys():
-        _WORDS[w] = _word_hash(w)
+    for w in set(words):
+        if w not in _WORDS:
+            _WORDS[w] = _word_hash(w)
     h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
     k = min(n, len(h))
     out = np.full(len(h) - k + 1, 0x9E3779B97F4A7C15 + k, np.uint64)

@@ -96,7 +96,7 @@ class Counts:
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         words = (text or "").lower().split()
-        new = set(words) - self.known.keys()
+        new = {w for w in words if w not in self.known}
         if len(self.known) + len(new) > MEMORY_WORDS:
             self.known.clear()
             new = set(words)
