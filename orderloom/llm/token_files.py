@@ -29,7 +29,7 @@ END_ID = 2
 STRIPE_BYTES = 8 << 20
 INDEX_ROWS = 1_000
 #: Words whose ids a Python worker remembers at once.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 1_000_000
 
 
 class Encoder:
@@ -56,11 +56,12 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         stems = {w[:-1] if w[-1] in ".," and len(w) > 1 else w for w in words} | {".", ","}
-        stems -= self.known.keys()
+        stems = {w for w in stems if w not in self.known}
         plain = [w for w in stems if w.isalpha()]
-        for i in range(0, len(plain), 500):
-            part = plain[i : i + 500]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+        parts = [plain[i : i + 500] for i in range(0, len(plain), 500)]
+        lines = self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)
+        for part, line in zip(parts, lines, strict=True):
+            ids = np.array(line.ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part):
                 raw, at = ids.tobytes(), 0
@@ -86,16 +87,16 @@ class Encoder:
                 cut.append(None)
             else:
                 cut.append(text.lower().replace("\n", " ").split(" "))
-        new: set[str] = set()
+        all_words: set[str] = set()
         for words in cut:
             if words:
-                new.update(words)
-        new.discard("")
-        new -= self.known.keys()
+                all_words.update(words)
+        all_words.discard("")
+        new = {w for w in all_words if w not in self.known}
         if new:
             if len(self.known) + len(new) > MEMORY_WORDS:
                 self.known.clear()
-                new = {w for words in cut if words for w in words if w}
+                new = all_words
             self.learn(new)
         self.known[""] = b""
         get = self.known.__getitem__
