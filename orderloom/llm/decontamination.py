@@ -1,9 +1,9 @@
 """Benchmark decontamination: training passages as queries on a BM25 index of the test items.
 
 The index holds, for each term, its postings (item, BM25 impact) in item order, cut into blocks of items, with the
-largest impact of each block. A passage is scored by block-max pruning: its terms' largest impacts are summed;
-below every item's threshold it is skipped; otherwise only blocks whose summed block maxima reach a threshold
-are opened, and their items scored exactly. All items above their threshold (a share of the score that the
+largest impact of each block. A passage is scored by block-max pruning: the largest impacts of its terms in groups of
+blocks are summed; below every threshold the passage is skipped; otherwise only blocks whose summed block maxima reach a
+threshold are opened, and their items scored exactly. All items above their threshold (a share of the score that the
 item gets as its own query) are retrieved, none is cut off by a top-k. A retrieved pair is confirmed if the
 document has most of the word n-grams of the item's question and of its answer (its last sentence).
 
@@ -27,14 +27,16 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+#: A passage is PASSAGE_WORDS words, a multiple of STRIDE; the last ones of a text are shorter.
 PASSAGE_WORDS, STRIDE = 96, 32
-THRESHOLD = 0.5
+THRESHOLD = 0.7
 OVERLAP, GRAM = 0.6, 5
-BLOCK_ITEMS = 16
+BLOCK_ITEMS = 4
+GROUPS = 64
 #: Items of one index (with its text, at most ITEM_CHUNK rows on the driver and in each worker).
 ITEM_CHUNK = 20_000
 K1, B = 1.2, 0.75
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 1_000_000
 MARKS = ".,;:!?\"'()[]{}<>|*%$#&-_/\\…«»“”„¿¡"
 RESULT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, at_word int"
 
@@ -61,23 +63,31 @@ class Index:
     """Postings with block maxima over (item_id, text) rows."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
-        self.items = [(i, t) for i, t in items if words_of(t)]
-        words = [words_of(t) for _, t in self.items]
-        counts = [Counter(w) for w in words]
-        df = Counter(w for c in counts for w in c)
+        items = [(i, t) for i, t in items if words_of(t)]
+        counts = [Counter(words_of(t)) for _, t in items]
+        n, lengths = len(items), [sum(c.values()) for c in counts]
+        df, mean = Counter(w for c in counts for w in c), max(1.0, sum(lengths) / max(1, n))
+        impacts = []
+        for c, length in zip(counts, lengths, strict=True):
+            norm = K1 * (1 - B + B * length / mean)
+            impacts.append({w: float(np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + norm)) for w, tf in c.items()})
+        # a passage cannot hold more than its words of a long item
+        own = [sum(x.values()) * THRESHOLD * min(1.0, PASSAGE_WORDS / len(x)) for x in impacts]
+        # items are numbered by threshold, so that those of a block have similar ones
+        order = sorted(range(n), key=lambda i: (own[i], i))
+        self.items = [items[i] for i in order]
+        self.threshold = np.array([own[i] for i in order])
+        self.parts = [question_and_answer(t) for _, t in self.items]
         self.terms = {w: k for k, w in enumerate(sorted(df))}
-        n, mean = len(words), max(1.0, sum(map(len, words)) / max(1, len(words)))
         postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
-        for i, c in enumerate(counts):
-            norm = K1 * (1 - B + B * len(words[i]) / mean)
-            for w, tf in c.items():
-                idf = np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))
-                postings[self.terms[w]].append((i, float(idf * tf * (K1 + 1) / (tf + norm))))
+        for k, i in enumerate(order):
+            for w, x in impacts[i].items():
+                postings[self.terms[w]].append((k, x))
         self.offsets = np.cumsum([0, *map(len, postings)])
         self.posting_items = np.array([i for p in postings for i, _ in p], "i4")
         self.impacts = np.array([x for p in postings for _, x in p], "f8")
         # block maxima, as rows (term, block, impact) in term order
-        self.blocks = -(-n // BLOCK_ITEMS)
+        self.blocks = max(1, -(-n // BLOCK_ITEMS))
         best: list[dict[int, float]] = []
         for p in postings:
             most: dict[int, float] = {}
@@ -87,16 +97,17 @@ class Index:
         self.block_offsets = np.cumsum([0, *map(len, best)])
         self.block_ids = np.array([b for m in best for b in m], "i4")
         self.block_most = np.array([x for m in best for x in m.values()], "f8")
-        self.most = np.array([max(m.values()) for m in best] + [0.0])  # at -1: words that no item has
-        own = np.zeros(n)
-        np.add.at(own, self.posting_items, self.impacts)
-        share = np.array([min(1.0, PASSAGE_WORDS / len(set(w))) for w in words]) if n else np.ones(0)
-        self.threshold = own * THRESHOLD * share
         padded = np.full(self.blocks * BLOCK_ITEMS, np.inf)
         padded[:n] = self.threshold
-        self.block_threshold = padded.reshape(-1, BLOCK_ITEMS).min(1) if n else np.ones(0)
-        self.least = float(self.threshold.min()) if n else np.inf
-        self.parts = [question_and_answer(t) for _, t in self.items]
+        self.block_threshold = padded.reshape(-1, BLOCK_ITEMS).min(1)
+        # the same for at most GROUPS runs of blocks, as a dense table
+        run = -(-self.blocks // GROUPS)
+        group = np.arange(self.blocks) // run
+        self.group_threshold = np.full(int(group[-1]) + 1, np.inf)
+        np.minimum.at(self.group_threshold, group, self.block_threshold)
+        self.group_most = np.zeros((len(self.terms), len(self.group_threshold)), "f4")
+        rows = np.repeat(np.arange(len(self.terms)), np.diff(self.block_offsets))
+        np.maximum.at(self.group_most, (rows, group[self.block_ids]), self.block_most)
 
     @staticmethod
     def _slices(offsets: np.ndarray, terms: np.ndarray) -> np.ndarray:
@@ -135,20 +146,23 @@ def matches(index: Index, memory: Memory, text: str | None) -> list[tuple[int, f
     if not raw:
         return []
     terms = np.fromiter(map(memory.__getitem__, raw), "i8", len(raw))
-    sums = np.concatenate([[0.0], np.cumsum(index.most[terms])])
-    starts = np.arange(0, max(1, len(raw) - PASSAGE_WORDS + STRIDE), STRIDE)
-    ends = np.minimum(starts + PASSAGE_WORDS, len(raw))
+    # bounds of passages: distinct terms of each stretch of STRIDE words, summed over the stretches of a passage
+    at = np.flatnonzero(terms >= 0)
+    pairs = np.unique((at // STRIDE) * len(index.terms) + terms[at]) if len(at) else at
+    if not len(pairs):
+        return []
+    stretch, own = np.divmod(pairs, len(index.terms))
+    begins = np.flatnonzero(np.diff(stretch, prepend=-1))
+    bounds = np.zeros((-(-len(raw) // STRIDE) + PASSAGE_WORDS // STRIDE - 1, index.group_most.shape[1]))
+    bounds[stretch[begins]] = np.add.reduceat(index.group_most[own], begins)
+    passages = sum(bounds[k : len(bounds) - PASSAGE_WORDS // STRIDE + 1 + k] for k in range(PASSAGE_WORDS // STRIDE))
     found: dict[int, tuple[float, int]] = {}
-    for a, b in zip(starts, ends, strict=True):
-        if sums[b] - sums[a] < index.least:
-            continue
-        own = np.unique(terms[a:b])
+    for a in (np.flatnonzero((passages * 1.0001 >= index.group_threshold).any(1)) * STRIDE).tolist():
+        own = np.unique(terms[a : a + PASSAGE_WORDS])
         own = own[own >= 0]
-        if index.most[own].sum() < index.least:
-            continue
         for i, score in index.search(own):
             if score > found.get(i, (0.0, 0))[0]:
-                found[i] = (score, int(a))
+                found[i] = (score, a)
     out = []
     for i, (score, a) in sorted(found.items()):
         question, answer = index.parts[i]
