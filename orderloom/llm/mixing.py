@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table, through_table
+from .common import WORD, table, tasks_for, through_table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -106,7 +106,7 @@ def draw_slots(targets: DataFrame, shards: int, block_words: int = BLOCK_WORDS)
     per = per.withColumn("slots", F.round(F.col("passes") * F.col("blocks")).cast("long")).where("slots > 0")
     step = 4096  # slots are dealt out in runs of this many, whatever the size of a source
     runs = per.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {step}"))))
-    runs = runs.repartition("source", "run")
+    runs = runs.repartition(tasks_for(targets.sparkSession), "source", "run")
     slots = runs.withColumn("k", F.explode(F.sequence(F.expr(f"run * {step}"), F.expr(f"least(slots, (run + 1) * {step}) - 1"))))
     slots = slots.withColumn("pass", F.expr("k div blocks"))
     name = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
@@ -124,7 +124,8 @@ def mix(sizes: DataFrame, targets: DataFrame, shards: int = 64, block_words: int
     pieces = pack_blocks(sizes, block_words)
     slots = draw_slots(targets, shards, block_words).withColumnsRenamed({"source": "s", "block": "b"})
     met = F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))
-    return pieces.join(slots, met).drop("s", "b")
+    # the slots grow with the corpus: never a broadcast
+    return pieces.join(slots.hint("merge"), met).drop("s", "b")
 
 
 def mixed_texts(docs: DataFrame, sizes: DataFrame, mixed: DataFrame) -> DataFrame:
