@@ -31,7 +31,7 @@ FEATURES_EACH = 384
 PREFIXES = (4, 5, 6, 7)
 FOLDS = 5
 RIDGE = 1e-3
-STEPS = 250
+STEPS = 160
 MEMORY_WORDS = 300_000
 MARKS = ".,;:!?\"'()[]{}<>|*%$#&-_/\\…«»“”„¿¡"
 
@@ -169,7 +169,9 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray, features: li
 
 def train_chain(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAIN, most: int = TRAIN_DOCS) -> Chain:
     known = labels.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in chain)).dropna()
-    rows = docs.select("doc_id", "text").join(known, "doc_id").withColumn("h", F.xxhash64("doc_id", "text")).orderBy("h", "doc_id").limit(most).drop("h")
+    # the sample is chosen among the labels: texts are read where they lie
+    chosen = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(most).drop("h")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``most`` rows of numbers
     train = through_table(rows, "toxicity-train").repartition(max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     features = telling_features(train, chain) if train.limit(1).count() else []
     if not features:
