@@ -16,14 +16,15 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, table, text_bytes, text_crc32, through_table
+from .common import new_path, table, tasks_for, text_bytes, text_crc32, through_table
 
 OLD_SHARDS = 32
 SHARDS = 40
 ROW_BYTES = 16
 #: Documents of a shard fall into this many buckets by size and hash; windows run inside a bucket.
 SIZE_CLASSES, HASH_BUCKETS = 48, 64
-FILE_ROWS = 20_000
+#: A file of a shard has about this many bytes of text.
+FILE_BYTES = 128 << 20
 
 
 def min_cost_flow(supply: dict[int, int], capacity: dict[int, int]) -> dict[tuple[int, int], int]:
@@ -106,11 +107,19 @@ def even_capacities(total: int, shards: int) -> dict[int, int]:
     return {j: total // shards + (j < total % shards) for j in range(shards)}
 
 
+PLACE = ["old_shard", "size_class", "bucket"]
+
+
+def placed_rows(docs: DataFrame, old_shards: int) -> DataFrame:
+    """``docs`` with row, size, the shard that a hash of the id gave, and the bucket there: functions of the row alone."""
+    out = docs.withColumns({"row": F.monotonically_increasing_id(), "size": text_bytes(F.col("text")) + ROW_BYTES, "old_shard": F.pmod(F.xxhash64("doc_id"), F.lit(old_shards)).cast("int")})
+    return out.withColumns({"size_class": F.least(F.floor(F.log2("size") * 2), F.lit(SIZE_CLASSES)).cast("int"), "bucket": F.pmod(F.xxhash64("row", F.lit(7)), F.lit(HASH_BUCKETS)).cast("int")})
+
+
 def old_layout(docs: DataFrame, old_shards: int = OLD_SHARDS) -> DataFrame:
-    """Sizes of the documents and the shard that a hash of the id gave them: (row, doc_id, size, old_shard), written once."""
-    out = docs.select("doc_id", (text_bytes(F.col("text")) + ROW_BYTES).alias("size"), text_crc32(F.col("text")).alias("text_crc32"))
-    out = out.withColumn("row", F.monotonically_increasing_id())
-    return through_table(out.withColumn("old_shard", F.pmod(F.xxhash64("doc_id"), F.lit(old_shards)).cast("int")), "shard-sizes")
+    """The placed documents without their texts: (row, doc_id, size, text_crc32, old_shard, size_class, bucket), written once."""
+    rows = placed_rows(docs.select("doc_id", "text"), old_shards)
+    return through_table(rows.withColumn("text_crc32", text_crc32(F.col("text"))).drop("text"), "shard-sizes")
 
 
 def plan_moves(sized: DataFrame, capacities: dict[int, int] | None = None, shards: int = SHARDS) -> tuple[DataFrame, dict[tuple[int, int], int]]:
@@ -128,25 +137,27 @@ def plan_moves(sized: DataFrame, capacities: dict[int, int] | None = None, shard
         start[i] = start.get(i, 0) + n
     cuts = spark.createDataFrame(cuts, "i int, cut_from long, cut_to long, shard int")
 
-    sized = sized.withColumn("size_class", F.least(F.floor(F.log2("size") * 2), F.lit(SIZE_CLASSES)).cast("int"))
-    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("row", F.lit(7)), F.lit(HASH_BUCKETS)).cast("int"))
-    place = ["old_shard", "size_class", "bucket"]
     before = Window.partitionBy("old_shard").orderBy("size_class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sized.groupBy(*place).agg(F.sum("size").alias("bytes")).select(*place, F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy(*place).orderBy("size", "row")
+    bases = sized.groupBy(*PLACE).agg(F.sum("size").alias("bytes")).select(*PLACE, F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy(*PLACE).orderBy("size", "row")
     placed = sized.withColumn("middle", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.expr("size div 2"))
     # at most OLD_SHARDS * SIZE_CLASSES * HASH_BUCKETS rows, and one row for each transfer
-    placed = placed.join(F.broadcast(bases), place).withColumn("middle", F.col("base") + F.col("middle"))
+    placed = placed.join(F.broadcast(bases), PLACE).withColumn("middle", F.col("base") + F.col("middle"))
     placed = placed.join(F.broadcast(cuts), F.expr("old_shard = i and middle >= cut_from and middle < cut_to")).drop("i", "cut_from", "cut_to", "middle", "base")
     placed = through_table(placed, "shard-moves")
 
-    # slots: a running count over buckets of the new shard, then inside a bucket
-    ahead = Window.partitionBy("shard").orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
-    counts = placed.groupBy("shard", *place).count().select("shard", *place, F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("ahead"))
-    nth = Window.partitionBy("shard", *place).orderBy("size", "row")
-    slots = placed.withColumn("nth", F.row_number().over(nth)).join(counts, ["shard", *place])
-    slots = slots.withColumn("slot", (F.col("ahead") + F.col("nth") - 1).cast("long"))
-    return slots.drop("nth", "ahead", "size_class", "bucket"), transfers
+    slots = placed.withColumn("nth", F.row_number().over(in_bucket())).join(slots_ahead(placed), ["shard", *PLACE])
+    return slots.withColumn("slot", (F.col("ahead") + F.col("nth") - 1).cast("long")).drop("nth", "ahead"), transfers
+
+
+def in_bucket(*more: str):
+    return Window.partitionBy("shard", *more, *PLACE).orderBy("size", "row")
+
+
+def slots_ahead(placed: DataFrame) -> DataFrame:
+    """(shard, place, ahead): the documents of the shard in earlier buckets."""
+    before = Window.partitionBy("shard").orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, -1)
+    return placed.groupBy("shard", *PLACE).count().select("shard", *PLACE, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
 
 
 def changed_shards(plan: DataFrame) -> DataFrame:
@@ -155,16 +166,23 @@ def changed_shards(plan: DataFrame) -> DataFrame:
     return moved.select("shard").union(moved.select(F.col("old_shard").alias("shard"))).distinct()
 
 
-def rewrite(docs: DataFrame, plan: DataFrame, to: str) -> DataFrame:
-    """Write the shards that change, as files below ``to``/shard=N in slot order; returns a reader of them.
+def rewrite(docs: DataFrame, plan: DataFrame, to: str, old_shards: int = OLD_SHARDS) -> DataFrame:
+    """Write the shards that change, as files below ``to``/shard=N with their slots; returns a reader of them.
 
-    ``docs`` must be the frame that the plan was made of. A shard is dealt to many tasks by runs of slots.
+    ``docs`` must be the frame that the plan was made of. What goes from an old shard to a new one is a stretch of the old shard's
+    order, so the ends of the stretches tell the shard, and the texts move once: to the files of their shard, several for a large one.
     """
-    changed = F.broadcast(changed_shards(plan))  # a row for each shard
-    slots = plan.join(changed, "shard").select("row", "shard", "slot")
-    named = docs.withColumn("row", F.monotonically_increasing_id()).join(slots, "row").drop("row")
-    named = named.withColumn("run", F.floor(F.col("slot") / FILE_ROWS))
-    named.repartition("shard", "run").drop("run").sortWithinPartitions("shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(to)
+    key = F.struct("size_class", "bucket", "size", "row")
+    ends = plan.groupBy("old_shard", "shard").agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    ends = ends.join(changed_shards(plan), "shard").withColumnRenamed("old_shard", "i")  # a row for each transfer
+    ahead = slots_ahead(plan)  # at most one row for each bucket and transfer
+    files = plan.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n // (FILE_BYTES * SHARDS) + 1
+    rows = placed_rows(docs, old_shards).withColumn("key", key)
+    rows = rows.join(F.broadcast(ends), F.expr("old_shard = i and key >= low and key <= high")).drop("i", "low", "high", "key")
+    rows = rows.withColumn("part", F.pmod("bucket", F.lit(files))).repartition(max(SHARDS * files, tasks_for(docs.sparkSession)), "shard", "part")
+    rows = rows.withColumn("nth", F.row_number().over(in_bucket("part"))).join(F.broadcast(ahead), ["shard", *PLACE])
+    named = rows.withColumn("slot", (F.col("ahead") + F.col("nth") - 1).cast("long")).select(*docs.columns, "shard", "slot")
+    named.write.option("compression", "zstd").partitionBy("shard").parquet(to)
     return docs.sparkSession.read.parquet(to)
 
 
