@@ -24,7 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, tasks_for, through_table
@@ -32,41 +33,58 @@ from .common import table, tasks_for, through_table
 SHINGLE = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 80
-CELLS = 1 << 20
+CELLS = 1 << 18
 SLICES = 64
 #: Members of a block that one task compares; larger blocks are split into parts, and each pair of parts is a task's work.
 PART = 2_000
 FANOUT = 8
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 800_000
 UPPER_TO_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 _WORDS: dict[str, int] = {}
 
 
 def _word_hash(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.translate(UPPER_TO_LOWER).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-
-
-def shingle_set(text: str | None, n: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word n-grams of a whole text."""
-    if not text:
-        return np.zeros(0, np.uint64)
-    for mark in "\t\n\v\f\r":
-        text = text.replace(mark, " ")
-    words = list(filter(None, text.split(" ")))
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(_WORDS) > MEMORY_WORDS:
+    return xxhash.xxh64_intdigest(word.lower() if word.isascii() else word.translate(UPPER_TO_LOWER).encode("utf-8", "surrogatepass"))
+
+
+def shingle_sets(texts: list[str | None], n: int = SHINGLE) -> list[np.ndarray]:
+    """For each whole text, the sorted distinct 64-bit hashes of its word n-grams."""
+    words: list[str] = []
+    counts = []
+    for text in texts:
+        text = text or ""
+        for mark in "\t\n\v\f\r":
+            text = text.replace(mark, " ")
+        own = [w for w in text.split(" ") if w]
+        words += own
+        counts.append(len(own))
+    distinct = set(words)
+    if len(_WORDS) + len(distinct) > MEMORY_WORDS:
         _WORDS.clear()
-    for w in set(words):
+    for w in distinct:
         if w not in _WORDS:
             _WORDS[w] = _word_hash(w)
     h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    k = min(n, len(h))
+    rolled = rolling(h, n) if len(h) >= n else np.zeros(0, np.uint64)
+    out, at = [], 0
+    for c in counts:
+        x = np.sort(rolled[at : at + c - n + 1] if c >= n else rolling(h[at : at + c], c) if c else h[:0])
+        out.append(x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x)
+        at += c
+    return out
+
+
+def shingle_set(text: str | None, n: int = SHINGLE) -> np.ndarray:
+    return shingle_sets([text], n)[0]
+
+
+def rolling(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash for each run of k word hashes."""
     out = np.full(len(h) - k + 1, 0x9E3779B97F4A7C15 + k, np.uint64)
     for i in range(k):
         out = mixed(out ^ h[i : len(h) - k + 1 + i])
-    return np.unique(out)
+    return out
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -88,54 +106,79 @@ def links(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-# --- 1. sets and classes
+# --- 1. sets, classes, signatures
+
 
+def width_of(size: int) -> int:
+    """Bits of a signature: a power of two over twice the size of the set."""
+    return 1 << min(16, max(6, int(np.ceil(np.log2(2.5 * max(size, 1))))))
 
-def classes(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (row, doc_id, n_shingles, cls) of all documents and the (row, cls, text) of one document for each class with a set."""
+
+def bitmap(s: np.ndarray) -> bytes:
+    width = width_of(len(s))
+    bits = np.zeros(width, bool)
+    bits[((s >> np.uint64(20)) % np.uint64(width)).astype("i8")] = True
+    return np.packbits(bits).tobytes()
+
+
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """A signature in fewer bits: its halves are combined until it fits."""
+    while len(bits) > width:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
+
+
+def document_sets(docs: DataFrame, n: int) -> DataFrame:
+    """One pass over the texts: a row (row, doc_id, size, digest, bits) for each document; and a row with
+    row null for each slice of each task's cell counts, in bits, with the slice in size."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["row", "doc_id", "size", "digest", "bits"]
+        cells = np.zeros(CELLS, "i8")
         for batch in batches:
             for at in range(0, batch.num_rows, 1_000):
                 part = batch.slice(at, 1_000)
-                found = [shingle_set(t, n) for t in part.column(2).to_pylist()]
+                found = shingle_sets(part.column(2).to_pylist(), n)
+                cells += np.bincount((np.concatenate(found) % np.uint64(CELLS)).astype("i8"), minlength=CELLS)
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in found], pa.int64()), pa.array(digests)], ["row", "doc_id", "n_shingles", "digest"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in found], pa.int64()), pa.array(digests), pa.array([bitmap(s) for s in found], pa.binary())], names)
+        parts = [c.astype("<i4").tobytes() for c in cells.reshape(SLICES, -1)]
+        nothing = pa.nulls(SLICES, pa.int64())
+        yield pa.RecordBatch.from_arrays([nothing, nothing, pa.array(range(SLICES), pa.int64()), pa.nulls(SLICES, pa.string()), pa.array(parts, pa.binary())], names)
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
-    made = through_table(rows.mapInArrow(sets, "row long, doc_id long, n_shingles long, digest string"), "join-sets")
-    first = made.where("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("cls"))
-    known = through_table(made.join(first, "digest", "left").withColumn("cls", F.coalesce("cls", "row")).drop("digest"), "join-classes")
-    return known, rows.join(known.where("row = cls and n_shingles > 0").select("row"), "row").select(F.col("row").alias("cls"), "text")
+    rows = numbered(docs).select("row", F.col("doc_id").cast("long"), "text")
+    return through_table(rows.mapInArrow(sets, "row long, doc_id long, size long, digest string, bits binary"), "join-sets")
 
 
-# --- 2. blocks
+def numbered(docs: DataFrame) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
 
 
-def crowded_cells(reps: DataFrame, n: int) -> np.ndarray:
+def crowded_cells(made: DataFrame) -> np.ndarray:
     """How crowded each hash cell is: 0 up to twice the mean, then the binary logarithm of the ratio."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, "i8")
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1_000):
-                tokens = np.concatenate([shingle_set(t, n) for t in batch.slice(at, 1_000).column(0).to_pylist()])
-                total += np.bincount((tokens % np.uint64(CELLS)).astype("i8"), minlength=CELLS)
-        parts = total.astype("<i8").reshape(SLICES, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "cells"])
-
     def add(parts):
-        total = np.sum([np.frombuffer(x, "<i8") for x in parts.column("cells").to_pylist()], axis=0)
-        return pa.table({"slice": parts.column("slice")[:1], "cells": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+        total = np.sum([np.frombuffer(x, "<i4").astype("i8") for x in parts.column("bits").to_pylist()], axis=0)
+        return pa.table({"size": parts.column("size")[:1], "bits": pa.array([total.astype("<i8").tobytes()], pa.binary())})
 
-    got = reps.select("text").mapInArrow(count, "slice int, cells binary").groupBy("slice").applyInArrow(add, "slice int, cells binary").collect()  # SLICES rows of fixed size
+    got = made.where("row is null").select("size", "bits").groupBy("size").applyInArrow(add, "size long, bits binary").collect()  # SLICES rows of fixed size
     cells = np.zeros((SLICES, CELLS // SLICES), "i8")
     for r in got:
-        cells[r["slice"]] = np.frombuffer(r["cells"], "<i8")
+        cells[r["size"]] = np.frombuffer(r["bits"], "<i8")
     cells = cells.ravel()
     return np.floor(np.log2(np.maximum(cells / max(1.0, cells.mean()), 1.0))).astype("u1")
 
 
+def classes(made: DataFrame) -> DataFrame:
+    """(row, doc_id, size, cls): documents with equal sets have the class of the first of them; null without a set."""
+    rows = made.where("row is not null").select("row", "doc_id", "size", "digest")
+    first = rows.where("size > 0").groupBy("digest").agg(F.min("row").alias("cls"))
+    return through_table(rows.join(first, "digest", "left").withColumn("cls", F.when(F.col("size") > 0, F.col("cls"))).drop("digest"), "join-classes")
+
+
+# --- 2. blocks
+
+
 def block_rows(reps: DataFrame, crowded: np.ndarray, n: int, percent: int) -> DataFrame:
     """(token, cls, size): each class with the tokens of its prefix."""
     shared = reps.sparkSession.sparkContext.broadcast(crowded)  # CELLS bytes
@@ -146,8 +189,7 @@ def block_rows(reps: DataFrame, crowded: np.ndarray, n: int, percent: int) -> Da
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 tokens, sizes = [], []
-                for t in part.column(1).to_pylist():
-                    s = shingle_set(t, n)
+                for s in shingle_sets(part.column(1).to_pylist(), n):
                     keep = len(s) - -(-percent * len(s) // 100) + 1
                     # by crowding, then by hash; the set is sorted by hash already
                     tokens.append(s[np.argsort(last[(s % np.uint64(CELLS)).astype("i8")], kind="stable")[:keep]].view("i8"))
@@ -164,6 +206,32 @@ def block_rows(reps: DataFrame, crowded: np.ndarray, n: int, percent: int) -> Da
 # --- exact comparison
 
 
+def bound_allows(x: np.ndarray, y: np.ndarray, nx: int, ny: int, percent: int) -> bool:
+    """Could sets of these sizes and signatures link? Each bit that the other lacks is a token that it lacks."""
+    if 100 * min(nx, ny) < percent * max(nx, ny):
+        return False
+    width = min(len(x), len(y))
+    x, y = folded(x, width), folded(y, width)
+    both = min(nx - int(np.bitwise_count(x & ~y).sum()), ny - int(np.bitwise_count(y & ~x).sum()))
+    return both >= overlap_needed(nx, ny, percent)
+
+
+def plausible(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose link the sizes and signatures do not rule out."""
+    one = signatures.select(F.col("cls").alias("a"), F.col("size").alias("na"), F.col("bits").alias("xa"))
+    two = signatures.select(F.col("cls").alias("b"), F.col("size").alias("nb"), F.col("bits").alias("xb"))
+    near = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, na, nb, xa, xb = (c.to_pylist() for c in batch.columns)
+            good = [i for i in range(batch.num_rows) if bound_allows(np.frombuffer(xa[i], "u1"), np.frombuffer(xb[i], "u1"), na[i], nb[i], percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], ["a", "b"])
+
+    met = pairs.join(one, "a").join(two, "b").where(near)
+    return through_table(met.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(keep, "a long, b long"), "join-plausible")
+
+
 def confirmed(pairs: DataFrame, reps: DataFrame, n: int, percent: int, tasks: int) -> DataFrame:
     """The linked ones of ``pairs`` (a, b), distinct. Texts of b travel to a's text, which is copied to as many runs as it has."""
     runs = 64  # a popular a is compared in this many places at most
@@ -278,18 +346,7 @@ def tree_pairs(a: Node, b: Node, percent: int = PERCENT) -> list[tuple[int, int]
     return out
 
 
-def bitmap(s: np.ndarray, width: int) -> np.ndarray:
-    bits = np.zeros(width, bool)
-    bits[((s >> np.uint64(20)) % np.uint64(width)).astype("i8")] = True
-    return np.packbits(bits)
-
-
-def width_of(size_class: int) -> int:
-    """Bits of the signatures in blocks of a size class: a power of two over twice the sizes."""
-    return 1 << max(6, int(np.ceil(np.log2(2.5 * 1.25 ** (size_class + 1)))))
-
-
-def tree_candidates(mixed_rows: DataFrame, reps: DataFrame, n: int, percent: int, tasks: int) -> DataFrame:
+def tree_candidates(mixed_rows: DataFrame, signatures: DataFrame, percent: int, tasks: int) -> DataFrame:
     """(a, b) pairs of classes to compare, from (token, cls, size, comp) rows of blocks with several components."""
     base = -np.log(percent / 100)
     sized = mixed_rows.withColumn("k", F.floor(F.log("size") / F.lit(float(base))).cast("int"))
@@ -301,24 +358,16 @@ def tree_candidates(mixed_rows: DataFrame, reps: DataFrame, n: int, percent: int
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     placed = placed.select("token", "k", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "cls", "size", "comp", "guest")
 
-    widths = placed.select("cls", "k").distinct()
-    drawn = widths.join(reps, "cls")
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            maps = [bitmap(shingle_set(t, n), width_of(k)).tobytes() for k, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(maps, pa.binary())], ["cls", "k", "bits"])
-
-    bits = drawn.select("cls", "k", "text").mapInArrow(draw, "cls long, k int, bits binary")
-    whole = placed.join(bits, ["cls", "k"]).repartition(tasks, "token", "k", "i", "j").sortWithinPartitions("token", "k", "i", "j")
+    whole = placed.join(signatures.select("cls", "bits"), "cls").repartition(tasks, "token", "k", "i", "j").sortWithinPartitions("token", "k", "i", "j")
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of_block(rows: list[tuple]) -> set[tuple[int, int]]:
             sides = {}
+            width = min(len(r[9]) for r in rows)
             for part in sorted({r[4] for r in rows}):
                 own = [r for r in rows if r[4] == part]
                 comps = {c: x for x, c in enumerate(sorted({r[7] for r in rows}))}
-                maps = np.frombuffer(b"".join(r[9] for r in own), np.uint8).reshape(len(own), -1)
+                maps = np.stack([folded(np.frombuffer(r[9], "u1"), width) for r in own])
                 sides[part] = (own, signature_tree(np.array([r[6] for r in own]), maps, np.array([comps[r[7]] for r in own])))
             i, j = rows[0][2:4]
             if i not in sides or j not in sides:
@@ -355,24 +404,29 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     """(row, doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text); row numbers the rows of the frame."""
     spark = docs.sparkSession
     tasks = tasks_for(spark)
-    known, reps = classes(docs, n)
-    blocks = block_rows(reps, crowded_cells(reps, n), n, percent)
-    least = blocks.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("cls").alias("hub"))
-    shared = through_table(blocks.join(least.where("members > 1"), "token"), "join-blocks")
-
-    near = through_table(confirmed(shared.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), reps, n, percent, tasks), "join-links")
+    made = document_sets(docs, n)
+    known = classes(made)
+    own = known.where("row = cls").select("row")
+    signatures = made.where("row is not null").join(own, "row").select(F.col("row").alias("cls"), "size", "bits")
+    reps = numbered(docs).join(own, "row").select(F.col("row").alias("cls"), "text")
+
+    block = Window.partitionBy("token")
+    blocks = block_rows(reps, crowded_cells(made), n, percent).withColumns({"hub": F.min("cls").over(block), "last": F.max("cls").over(block)})
+    shared = through_table(blocks.where("hub <> last").drop("last"), "join-blocks")
+
+    near = plausible(shared.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), signatures, percent)
+    near = through_table(confirmed(near, reps, n, percent, tasks), "join-links")
     first = through_table(components(near), "join-components")
     labelled = shared.select("token", "cls", "size").join(first.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("c", "cls")).drop("c")
     labelled = through_table(labelled, "join-labelled")
     several = labelled.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-    pairs = through_table(tree_candidates(labelled.join(several, "token"), reps, n, percent, tasks), "join-candidates")
-    # what the hubs were compared with needs no second look
+    pairs = through_table(tree_candidates(labelled.join(several, "token"), signatures, percent, tasks), "join-candidates")
     late = through_table(confirmed(pairs, reps, n, percent, tasks), "join-links")
     final = through_table(components(near.union(late)), "join-components")
 
-    rows = known.join(final.withColumnRenamed("v", "cls"), "cls", "left").withColumn("c", F.coalesce("c", "cls"))
+    rows = known.join(final.withColumnRenamed("v", "cls"), "cls", "left").withColumn("c", F.coalesce("c", "cls", "row"))
     named = rows.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(named, "c").select("row", "doc_id", "n_shingles", "component_id")
+    return rows.join(named, "c").select("row", "doc_id", F.col("size").alias("n_shingles"), "component_id")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
