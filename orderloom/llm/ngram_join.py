@@ -419,7 +419,10 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     first = through_table(components(near), "join-components")
     labelled = shared.select("token", "cls", "size").join(first.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("c", "cls")).drop("c")
     labelled = through_table(labelled, "join-labelled")
-    several = labelled.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
+    # blocks of the same members (the tokens of one shared passage) have the same pairs: one of them is enough
+    members = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.sum(F.xxhash64("cls", F.lit(1)).cast("decimal(38,0)")).alias("y")]
+    several = labelled.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), *members).where("low <> high")
+    several = several.groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token")
     pairs = through_table(tree_candidates(labelled.join(several, "token"), signatures, percent, tasks), "join-candidates")
     late = through_table(confirmed(pairs, reps, n, percent, tasks), "join-links")
     final = through_table(components(near.union(late)), "join-components")
