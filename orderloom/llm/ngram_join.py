@@ -236,11 +236,10 @@ def confirmed(pairs: DataFrame, reps: DataFrame, n: int, percent: int, tasks: in
     """The linked ones of ``pairs`` (a, b), distinct. Texts of b travel to a's text, which is copied to as many runs as it has."""
     runs = 64  # a popular a is compared in this many places at most
     pairs = pairs.withColumn("run", F.pmod(F.xxhash64("b"), F.lit(runs)).cast("int"))
-    left = pairs.select("a", "run").distinct()
-    left = left.join(reps.withColumnRenamed("cls", "a"), "a").select("a", "run", F.lit(None).cast("long").alias("b"), "text")
-    right = pairs.join(reps.withColumnRenamed("cls", "b"), "b").select("a", "run", "b", "text")
-    # nulls first: the text of a comes before the texts that it meets
-    met = left.unionByName(right).repartition(tasks, "a", "run").sortWithinPartitions("a", "run", F.col("b").asc_nulls_first())
+    first = pairs.select(F.col("a").alias("cls"), "a", "run", F.lit(None).cast("long").alias("b")).distinct()
+    wanted = first.unionByName(pairs.select(F.col("b").alias("cls"), "a", "run", "b"))
+    # one join with the texts, of one kind at every size; nulls first: the text of a comes before those that it meets
+    met = reps.join(wanted.hint("merge"), "cls").repartition(tasks, "a", "run").sortWithinPartitions("a", "run", F.col("b").asc_nulls_first())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, a = np.zeros(0, np.uint64), None
@@ -408,7 +407,7 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     known = classes(made)
     own = known.where("row = cls").select("row")
     signatures = made.where("row is not null").join(own, "row").select(F.col("row").alias("cls"), "size", "bits")
-    reps = numbered(docs).join(own, "row").select(F.col("row").alias("cls"), "text")
+    reps = numbered(docs).join(own.hint("merge"), "row").select(F.col("row").alias("cls"), "text")
 
     block = Window.partitionBy("token")
     blocks = block_rows(reps, crowded_cells(made), n, percent).withColumns({"hub": F.min("cls").over(block), "last": F.max("cls").over(block)})
