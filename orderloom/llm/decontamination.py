@@ -3,9 +3,10 @@
 The index holds, for each term, its postings (item, BM25 impact) in item order, cut into blocks of items, with the
 largest impact of each block. A passage is scored by block-max pruning: the largest impacts of its terms in groups of
 blocks are summed; below every threshold the passage is skipped; otherwise only blocks whose summed block maxima reach a
-threshold are opened, and their items scored exactly. All items above their threshold (a share of the score that the
-item gets as its own query) are retrieved, none is cut off by a top-k. A retrieved pair is confirmed if the
-document has most of the word n-grams of the item's question and of its answer (its last sentence).
+threshold are opened, and their items scored exactly. All items above their threshold are retrieved, none is cut off by
+a top-k. A threshold is a share of what a copy of the item scores, and never above what the shortest excerpt that would
+be confirmed scores, wherever the passages cut it. A retrieved pair is confirmed if the document has most of the word
+n-grams of the item's question and of its answer (its last sentence).
 
 Items are a stated query set: they are read in chunks of ITEM_CHUNK, each with an index of its own, and each chunk
 meets all documents; nothing of the documents is shuffled.
@@ -29,7 +30,7 @@ from .common import table
 
 #: A passage is PASSAGE_WORDS words, a multiple of STRIDE; the last ones of a text are shorter.
 PASSAGE_WORDS, STRIDE = 96, 32
-THRESHOLD = 0.7
+THRESHOLD = 0.5
 OVERLAP, GRAM = 0.6, 5
 BLOCK_ITEMS = 4
 GROUPS = 64
@@ -59,6 +60,37 @@ def grams(words: list[str], n: int) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
 
 
+def shortest_excerpt(question: list[str], answer: list[str]) -> list[str]:
+    """The end of the question and the beginning of the answer that just pass the overlaps."""
+    kept = []
+    for part in (question[::-1], answer):
+        n = min(GRAM, len(part))
+        want, seen, j = len(grams(part, n)) if n else 0, set(), n
+        while n and j < len(part):
+            seen.add(tuple(part[j - n : j]))
+            if len(seen) / want >= OVERLAP:
+                break
+            j += 1
+        kept.append(part[:j])
+    return kept[0][::-1] + kept[1]
+
+
+def worst_passage(words: list[str], impact: dict[str, float]) -> float:
+    """The score of the best passage over a stretch of words, where the passages' beginnings fall worst."""
+    if len(words) <= PASSAGE_WORDS - STRIDE + 1:
+        return sum(impact[w] for w in set(words))
+    best, score, inside = [0.0] * STRIDE, 0.0, Counter()
+    for end in range(PASSAGE_WORDS + len(words)):
+        if end < len(words):
+            inside[words[end]] += 1
+            score += impact[words[end]] if inside[words[end]] == 1 else 0.0
+        if (old := end - PASSAGE_WORDS) >= 0:
+            inside[words[old]] -= 1
+            score -= impact[words[old]] if inside[words[old]] == 0 else 0.0
+        best[end % STRIDE] = max(best[end % STRIDE], score)
+    return min(best)
+
+
 class Index:
     """Postings with block maxima over (item_id, text) rows."""
 
@@ -71,13 +103,14 @@ class Index:
         for c, length in zip(counts, lengths, strict=True):
             norm = K1 * (1 - B + B * length / mean)
             impacts.append({w: float(np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + norm)) for w, tf in c.items()})
-        # a passage cannot hold more than its words of a long item
-        own = [sum(x.values()) * THRESHOLD * min(1.0, PASSAGE_WORDS / len(x)) for x in impacts]
+        parts = [question_and_answer(t) for _, t in items]
+        # a passage cannot hold more than its words of a long item; a little less, as sums are rounded
+        own = [(1 - 1e-9) * min(THRESHOLD * worst_passage(q + a, x), worst_passage(shortest_excerpt(q, a), x)) for (q, a), x in zip(parts, impacts, strict=True)]
         # items are numbered by threshold, so that those of a block have similar ones
         order = sorted(range(n), key=lambda i: (own[i], i))
         self.items = [items[i] for i in order]
         self.threshold = np.array([own[i] for i in order])
-        self.parts = [question_and_answer(t) for _, t in self.items]
+        self.parts = [parts[i] for i in order]
         self.terms = {w: k for k, w in enumerate(sorted(df))}
         postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         for k, i in enumerate(order):

@@ -251,3 +251,27 @@ def test_toxicity(spark):
     got = {r.doc_id: r.toxic for r in toxicity.score(docs, toxicity.train_chain(docs, marks)).collect()}
     assert sum(got[i] == bool(t) for i, _, t in labels) >= 297
     assert toxicity.score(docs, toxicity.train_chain(docs, marks.limit(0))).where("toxic").count() == 0
+
+
+def test_partial_and_long_copies_are_retrieved(spark):
+    rng = random.Random(8)
+    common, rare = [f"c{i}" for i in range(30)], [f"r{i}" for i in range(3000)]
+
+    def item(n):  # the rare words are at both ends, where excerpts lack them
+        q, a = n * 2 // 3, n // 3
+        question = [rng.choice(rare if i < 0.35 * q else common) for i in range(q)]
+        return question, [rng.choice(rare if i > 0.65 * a else common) for i in range(a)]
+
+    items = [item(n) for n in [30] * 20 + [50] * 20 + [120] * 10 + [300] * 10]
+    table = [(i, " ".join(q) + ". " + " ".join(a)) for i, (q, a) in enumerate(items)]
+    docs, want = [], set()
+    for i, (q, a) in enumerate(items):
+        q_grams, a_grams = decontamination.grams(q, 5), decontamination.grams(a, 5)
+        b = max(b for b in range(len(q)) if len(decontamination.grams(q[b:], 5)) >= 0.6 * len(q_grams))
+        e = min(e for e in range(len(a) + 1) if len(decontamination.grams(a[:e], 5)) >= 0.6 * len(a_grams))
+        for part in (q[b:] + a[:e], q + a):
+            noise = [f"n{rng.randrange(9)}" for _ in range(rng.randrange(100))]
+            want.add((len(docs), i))
+            docs.append((len(docs), " ".join(noise + part + noise)))
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(table, "item_id long, text string"))
+    assert want <= {(r.doc_id, r.item_id) for r in got.collect()}
