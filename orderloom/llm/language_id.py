@@ -2,8 +2,10 @@
 
 Training counts character 5-grams inside words (with word starts and ends) of all training documents: tasks count
 words, turn them into n-grams and send partial counts; Spark adds them up. Orders 4 to 1 use continuation counts.
-An n-gram is a 60-bit key, 12 hash bits for each character; a model keeps, for each language and order, a sorted
-array of keys and the matching discounted probabilities and back-off weights, looked up by binary search.
+An n-gram is a 60-bit key, 12 hash bits for each character. A model holds all n-grams of the training documents: for
+each language and order, Spark sorts keys with their counts, and contexts with their totals, into files of the shared
+folder (a path that driver and executors can open), which workers memory-map and look up by binary search. The driver
+gets a row for each language and order and for each file.
 A document's language has the lowest cross-entropy for each symbol. The score is a probability
 from the tempered likelihoods; temperature and the highest plausible entropy come from a bounded sample of
 training documents.
@@ -14,24 +16,27 @@ go to the first language in order; repeated rows are judged alike; extra columns
 
 from __future__ import annotations
 
+import os
 import re
+import shutil
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import new_path, table, through_table
 
 ORDER = 5
 BITS = 12
 CHARS = (1 << BITS) - 3
 START, END = CHARS + 1, CHARS + 2
-#: The model keeps this many 5-grams over all languages, the most frequent: a bound on what is broadcast.
-MODEL_NGRAMS = 500_000
+#: Rows of the model that a task sorts and writes.
+PART_ROWS = 250_000
 CALIBRATION_DOCS = 3_000
 #: Rejected is what needs this many times the bits a symbol of the worst calibration document.
 SLACK = 1.3
@@ -86,48 +91,108 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
     return labelled.mapInArrow(count, "lang string, ngram long, n long").groupBy("lang", "ngram").agg(F.sum("n").alias("n"))
 
 
+def orders_of(counts: DataFrame) -> DataFrame:
+    """(lang, k, ngram, n): ``counts`` as order ORDER; a shorter n-gram counts the distinct symbols before it."""
+    parts = [counts.select("lang", F.lit(ORDER).alias("k"), "ngram", "n")]
+    for k in range(ORDER - 1, 0, -1):
+        shorter = F.col("ngram").bitwiseAND(F.lit((1 << (BITS * k)) - 1)).alias("ngram")
+        parts.append(parts[-1].groupBy("lang", shorter).agg(F.count("*").alias("n")).select("lang", F.lit(k).alias("k"), "ngram", "n"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def sorted_files(rows: DataFrame, folder: str, count: int) -> None:
+    """Write ``rows`` (tab, key, a, b) in key order: the files {tab}.key, {tab}.a and {tab}.b of 64-bit numbers in ``folder``."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, firsts = uuid.uuid4().hex, {}
+        for batch in batches:
+            tabs, *columns = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            cuts = [0, *(np.flatnonzero(np.diff(tabs)) + 1).tolist(), len(tabs)]
+            for begin, end in zip(cuts, cuts[1:], strict=False):
+                if end > begin:
+                    tab = int(tabs[begin])
+                    firsts.setdefault(tab, int(columns[0][begin]))
+                    for kind, column in zip(("key", "a", "b"), columns, strict=True):
+                        with open(f"{folder}/{name}-{tab}.{kind}", "ab") as f:
+                            f.write(column[begin:end].astype("i8").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(list(firsts), pa.int32()), pa.array(list(firsts.values()), pa.int64()), pa.array([f"{name}-{t}" for t in firsts], pa.string())], ["tab", "first", "name"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tab, names in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for kind in ("key", "a", "b"):
+                    own = f"{folder}/{uuid.uuid4().hex}"
+                    with open(own, "wb") as out:
+                        for name in names:
+                            with open(f"{folder}/{name}.{kind}", "rb") as f:
+                                shutil.copyfileobj(f, out, 1 << 20)
+                    os.replace(own, f"{folder}/{tab}.{kind}")
+            yield batch.select(["tab"])
+
+    ordered = rows.repartitionByRange(count // PART_ROWS + 1, "tab", "key").sortWithinPartitions("tab", "key")
+    parts = ordered.mapInArrow(write, "tab int, first long, name string").orderBy("tab", "first").collect()  # a row for each file
+    names: dict[int, list[str]] = {}
+    for r in parts:
+        names.setdefault(r.tab, []).append(r.name)
+    rows.sparkSession.createDataFrame(list(names.items()), "tab int, names array<string>").repartition(min(len(names), 64), "tab").mapInArrow(join, "tab int").collect()
+    for r in parts:
+        for kind in ("key", "a", "b"):
+            os.remove(f"{folder}/{r.name}.{kind}")
+
+
 class Model:
-    """Sorted key arrays with Kneser-Ney values, by language and order."""
+    """Kneser-Ney values by language and order, from the sorted files in ``folder``."""
 
-    def __init__(self, langs: list[str], tables: list[list[tuple[np.ndarray, ...]]]):
-        self.langs, self.tables = langs, tables
+    def __init__(self, langs: list[str], folder: str | None = None, discounts: dict[tuple[str, int], float] | None = None):
+        self.langs, self.folder, self.discounts = langs, folder, discounts or {}
         self.beta, self.limit = 1.0, float("inf")
 
     @classmethod
-    def fit(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
-        langs = sorted(counts)
-        return cls(langs, [cls._orders(*counts[x]) for x in langs])
-
-    @staticmethod
-    def _orders(keys: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-        out = []
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order]
-        for k in range(ORDER, 0, -1):
-            ones, twos = np.count_nonzero(n == 1), np.count_nonzero(n == 2)
-            discount = min(max(ones / max(ones + 2 * twos, 1), 0.1), 0.9)
-            contexts, where = np.unique(keys >> BITS, return_inverse=True)
-            total = np.bincount(where, n)
-            out.append((keys, (n - discount) / total[where], contexts, discount * np.bincount(where) / total))
-            # a shorter n-gram counts the distinct symbols before it
-            keys, n = np.unique(keys & ((1 << (BITS * (k - 1))) - 1), return_counts=True)
-        return out[::-1]
+    def fit(cls, counts: DataFrame) -> Model:
+        """The model of all of ``counts`` (lang, ngram, n)."""
+        spark = counts.sparkSession
+        grams = through_table(orders_of(through_table(counts, "lang-counts")), "lang-orders")
+        found = grams.groupBy("lang", "k").agg(F.count("*").alias("types"), F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")).collect()  # a row for each language and order
+        langs = sorted({r.lang for r in found})
+        if not langs:
+            return cls(langs)
+        folder = new_path(spark, "lang-model").removeprefix("file://")
+        os.makedirs(folder)
+        number = spark.createDataFrame([(x, i) for i, x in enumerate(langs)], "lang string, i int")
+        contexts = grams.groupBy("lang", "k", F.shiftright("ngram", BITS).alias("key")).agg(F.sum("n").alias("a"), F.count("*").alias("b"))
+        rows = grams.select("lang", "k", F.lit(0).alias("kind"), F.col("ngram").alias("key"), F.col("n").alias("a"), F.lit(0).cast("long").alias("b"))
+        rows = rows.unionByName(contexts.withColumn("kind", F.lit(1))).join(F.broadcast(number), "lang")  # a row for each language
+        tab = F.col("i") * (2 * ORDER) + (F.col("k") - 1) * 2 + F.col("kind")
+        sorted_files(rows.select(tab.cast("int").alias("tab"), "key", "a", "b"), folder, sum(r.types for r in found))
+        discounts = {(r.lang, r.k): min(max(r.ones / max(r.ones + 2 * r.twos, 1), 0.1), 0.9) for r in found}
+        return cls(langs, folder, discounts)
+
+    def orders(self, lang: int) -> list[tuple[np.ndarray, ...]]:
+        """For each order: n-grams, their counts, contexts, their totals and numbers of types; all memory-mapped."""
+        at = [lang * 2 * ORDER + 2 * k for k in range(ORDER)]
+        names = [(f"{t}.key", f"{t}.a", f"{t + 1}.key", f"{t + 1}.a", f"{t + 1}.b") for t in at]
+        return [tuple(np.asarray(np.memmap(f"{self.folder}/{x}", "i8", "r")) for x in own) for own in names]
 
     def log_probabilities(self, windows: np.ndarray) -> np.ndarray:
         """A row for each window, a column for each language."""
         out = np.empty((len(windows), len(self.langs)))
-        for column, orders in enumerate(self.tables):
+        for column, lang in enumerate(self.langs):
             p = np.full(len(windows), 1 / (CHARS + 2))
-            for k, (keys, values, contexts, weights) in enumerate(orders, 1):
+            for k, (keys, counts, contexts, totals, types) in enumerate(self.orders(column), 1):
+                discount = self.discounts[lang, k]
                 own = windows & ((1 << (BITS * k)) - 1)
-                p = self._find(contexts, weights, own >> BITS, 1.0) * p + self._find(keys, values, own, 0.0)
+                at, found = self._find(contexts, own >> BITS)
+                total = np.where(found, totals[at], 1)
+                p *= np.where(found, discount * types[at] / total, 1.0)
+                at, found = self._find(keys, own)
+                p += np.where(found, (counts[at] - discount) / total, 0.0)
             out[:, column] = np.log(p)
         return out
 
     @staticmethod
-    def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, otherwise: float) -> np.ndarray:
+    def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[at] == wanted, values[at], otherwise)
+        return at, keys[at] == wanted
 
 
 class Scorer:
@@ -181,7 +246,7 @@ _SCORERS: dict[str, Scorer] = {}
 
 def likelihoods(docs: DataFrame, model: Model, keep: list[str], fields: str) -> DataFrame:
     """The columns ``keep`` of ``docs``, with the sums for each text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MODEL_NGRAMS and what follows from them
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a discount for each language and order
     key = uuid.uuid4().hex
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,10 +268,7 @@ def likelihoods(docs: DataFrame, model: Model, keep: list[str], fields: str) ->
 
 def train(docs: DataFrame) -> Model:
     """A calibrated model of ``docs`` (doc_id, text, lang), all of which are training documents."""
-    found = ngram_counts(docs).orderBy(F.desc("n"), "lang", "ngram").limit(MODEL_NGRAMS).toArrow()  # bounded, see above
-    langs, ngrams, counts = found["lang"].to_pandas().astype("category"), found["ngram"].to_numpy(), found["n"].to_numpy()
-    model = Model.fit({str(x): (ngrams[own], counts[own]) for k, x in enumerate(langs.cat.categories) if len(own := np.flatnonzero(langs.cat.codes == k))})
-    del found, langs, ngrams, counts
+    model = Model.fit(ngram_counts(docs))
     if not model.langs:
         return model
     labelled = docs.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))

@@ -275,3 +275,37 @@ def test_partial_and_long_copies_are_retrieved(spark):
             docs.append((len(docs), " ".join(noise + part + noise)))
     got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(table, "item_id long, text string"))
     assert want <= {(r.doc_id, r.item_id) for r in got.collect()}
+
+
+def test_language_model_keeps_rare_ngrams_and_small_languages(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [("en", " ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) for _ in range(60))) for _ in range(20)] + [("xx", "abcab zzz abd")]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_id, "PART_ROWS", 500, raising=False)
+    monkeypatch.setattr(language_id, "MODEL_NGRAMS", 200, raising=False)  # where there is a cap, it binds
+    model = language_id.train(docs)
+    assert model.langs == ["en", "xx"]
+    windows = [w for word in ("abcab", "zzz", "hgq", "abdabd") for w in language_id.word_windows([word])[0].tolist()]
+    for column, lang in enumerate(model.langs):
+        counts = {}
+        for own, t in texts:
+            for word in t.split() if own == lang else []:
+                for w in language_id.word_windows([word])[0].tolist():
+                    counts[w] = counts.get(w, 0) + 1
+        p = dict.fromkeys(windows, 1 / (language_id.CHARS + 2))
+        orders = {5: counts}
+        for k in (4, 3, 2, 1):
+            shorter = {}
+            for w in orders[k + 1]:
+                w &= (1 << 12 * k) - 1
+                shorter[w] = shorter.get(w, 0) + 1
+            orders[k] = shorter
+        for k in (1, 2, 3, 4, 5):
+            n = list(orders[k].values())
+            d = min(max(n.count(1) / max(n.count(1) + 2 * n.count(2), 1), 0.1), 0.9)
+            for w in p:
+                own = w & ((1 << 12 * k) - 1)
+                same = [x for g, x in orders[k].items() if g >> 12 == own >> 12]
+                if same:
+                    p[w] = (max(orders[k].get(own, 0) - d, 0) + d * len(same) * p[w]) / sum(same)
+        assert np.allclose(model.log_probabilities(np.array(windows))[:, column], [np.log(p[w]) for w in windows])
