@@ -151,8 +151,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
-    """Documents as often as the mix takes them: words taken over size, rounded (0, 1 or 2 times). Blank texts stay once."""
-    kept = taken_words(docs).select("row", F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int").alias("times"))
+    """Documents as often as the mix takes them: words taken over size, with one more or none for the fraction, by a seeded draw. Blank texts stay once.
+
+    Each document is expected as often as its words are taken, whatever its length, so that sources meet their targets in expectation.
+    """
+    draw = F.pmod(F.xxhash64(F.lit(SEED), F.lit("copies"), "row"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + draw))
+    kept = taken_words(docs).select("row", times.cast("int").alias("times"))
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
     return numbered.join(kept, "row").withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select(*docs.columns)
 

@@ -309,3 +309,13 @@ def test_language_model_keeps_rare_ngrams_and_small_languages(spark, monkeypatch
                 if same:
                     p[w] = (max(orders[k].get(own, 0) - d, 0) + d * len(same) * p[w]) / sum(same)
         assert np.allclose(model.log_probabilities(np.array(windows))[:, column], [np.log(p[w]) for w in windows])
+
+
+def test_mixed_documents_meet_targets_whatever_the_length(spark):
+    rows = [(10_000 * s + i, " ".join(["w"] * n), name) for s, (name, many, n) in enumerate([("a", 1800, 100), ("b", 1800, 100), ("c", 300, 600)]) for i in range(many)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mixed_documents(spark, docs).collect()
+    assert sorted(out) == sorted(mixing.mixed_documents(spark, docs).collect())
+    targets = {r.source: float(r.target) for r in mixing.source_targets(mixing.document_sizes(docs)).collect()}
+    got = {s: sum(len(r.text.split()) for r in out if r.source == s) for s in targets}
+    assert all(0.9 <= got[s] / t <= 1.1 for s, t in targets.items()), (got, targets)
