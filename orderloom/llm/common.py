@@ -6,16 +6,19 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset and Spark runs locally (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -56,3 +59,39 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+#: Bits of a row number that count the rows of a file; the others number the files.
+FILE_ROW_BITS = 36
+
+
+def is_file_scan(df: DataFrame) -> bool:
+    """Is ``df`` a Parquet table as it was read, so that each row has a file and a place there?"""
+    if df._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        return False
+    try:
+        return len(df.select("_metadata.file_path", "_metadata.row_index").columns) == 2
+    except AnalysisException:  # no Parquet
+        return False
+
+
+def with_rows(df: DataFrame, name: str = "row") -> DataFrame:
+    """``df`` with the column ``name``, a number for each row that is the same in every job, however the files are split into tasks.
+
+    It is made of the row's file and its place there; a frame that is no table as read is written to the shared folder first.
+    """
+    if not is_file_scan(df):
+        df = through_table(df, "numbered")
+    file, at, no = (free_name(df, x) for x in ("file", "file_row", "file_number"))
+    path = F.xxhash64("_metadata.file_path").alias(file)
+    # a row for each file; by name, so that a rewritten table has the same order
+    files = df.select(path, F.col("_metadata.file_name").alias(at)).distinct()
+    files = files.select(file, F.row_number().over(Window.orderBy(at, file)).cast("long").alias(no))
+    placed = df.select("*", path, F.col("_metadata.row_index").alias(at))
+    number = (F.shiftleft(no, FILE_ROW_BITS) + F.col(at)).alias(name)
+    return placed.join(F.broadcast(files), file).select(*own_columns(df), number)
