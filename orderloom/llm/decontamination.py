@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, own_columns, table, with_rows
 
 #: A passage is PASSAGE_WORDS words, a multiple of STRIDE; the last ones of a text are shorter.
 PASSAGE_WORDS, STRIDE = 96, 32
@@ -241,9 +241,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of ``docs`` without a confirmed benchmark item."""
-    row = docs.withColumn("row", F.monotonically_increasing_id())
-    hits = contaminated(row.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("row")).distinct()
-    return row.join(hits, "row", "left_anti").select(*docs.columns)
+    row = free_name(docs, "row")
+    numbered = with_rows(docs, row)
+    hits = contaminated(numbered.select(F.col(row).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(row)).distinct()
+    return numbered.join(hits, row, "left_anti").select(*own_columns(docs))
 
 
 QUERIES = {"op2_decontamination": op2_decontamination}

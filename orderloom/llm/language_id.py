@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, table, through_table
+from .common import new_path, own_columns, table, through_table
 
 ORDER = 5
 BITS = 12
@@ -329,7 +329,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
     """The rows of ``docs`` that the calibrated models do not reject."""
     model = train(docs.select("doc_id", "text", "lang"))
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "text")
+    whole = docs.select(F.struct(*own_columns(docs)).alias("doc"), "text")
     judged = predict(whole, model, ["doc"], f"doc {whole.schema['doc'].dataType.simpleString()}")
     return judged.where("not rejected").select("doc.*")
 

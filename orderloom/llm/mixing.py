@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table, tasks_for, through_table
+from .common import WORD, free_name, own_columns, table, tasks_for, through_table, with_rows
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -27,17 +27,16 @@ ROUNDS = 14
 SEED = 20_011
 
 
-def document_sizes(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, source, size, bucket), written once: the only pass over the texts."""
+def document_sizes(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """(row, doc_id, source, size, bucket), written once: the only pass over the texts. ``row`` names a column made by ``with_rows``."""
+    docs = docs if row else with_rows(docs.select("doc_id", "text", "source"))
     out = docs.select(
+        F.col(row or "row").alias("row"),
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
-    return through_table(
-        out.withColumn("row", F.monotonically_increasing_id()).withColumn("bucket", F.pmod(F.xxhash64("row", F.lit(SEED)), F.lit(BUCKETS)).cast("int")),
-        "mix-sizes",
-    )
+    return through_table(out.withColumn("bucket", F.pmod(F.xxhash64("row", F.lit(SEED)), F.lit(BUCKETS)).cast("int")), "mix-sizes")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_PASSES) -> DataFrame:
@@ -128,17 +127,17 @@ def mix(sizes: DataFrame, targets: DataFrame, shards: int = 64, block_words: int
     return pieces.join(slots.hint("merge"), met).drop("s", "b")
 
 
-def mixed_texts(docs: DataFrame, sizes: DataFrame, mixed: DataFrame) -> DataFrame:
-    """(shard, source, k, words array): the blocks with their words. ``docs`` must be the frame that ``sizes`` was made of."""
-    words = docs.select(F.monotonically_increasing_id().alias("row"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({WORD})"), F.lit(1)).alias("all"))
+def mixed_texts(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """(shard, source, k, words array): the blocks with their words. ``docs``: (row, text), with the row numbers that ``mixed`` has."""
+    words = docs.select("row", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({WORD})"), F.lit(1)).alias("all"))
     cut = mixed.join(words, "row").withColumn("part", F.expr("slice(all, cast(from_word as int) + 1, cast(words as int))"))
     pieces = F.array_sort(F.collect_list(F.struct("block", "row", "part")))  # at most block_words pieces
     return cut.groupBy("shard", "source", "k").agg(F.flatten(F.transform(pieces, lambda x: x["part"])).alias("words"))
 
 
-def taken_words(docs: DataFrame, **how) -> DataFrame:
+def taken_words(docs: DataFrame, row: str | None = None, **how) -> DataFrame:
     """One row for each document: row, doc_id, source, size, source_size, target, taken."""
-    sizes = document_sizes(docs)
+    sizes = document_sizes(docs, row)
     targets = source_targets(sizes)
     taken = mix(sizes, targets, **how).groupBy("row").agg(F.sum("words").alias("taken"))
     per = targets.select(F.col("source").alias("s"), "source_size", "target")
@@ -147,7 +146,7 @@ def taken_words(docs: DataFrame, **how) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taken_words(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.col("target").cast("double"), "taken", "source")
+    return taken_words(with_rows(table(spark, sf_dir, "documents")), "row").select("doc_id", "size", "source_size", F.col("target").cast("double"), "taken", "source")
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
@@ -157,9 +156,10 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str | None = N
     """
     draw = F.pmod(F.xxhash64(F.lit(SEED), F.lit("copies"), "row"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + draw))
-    kept = taken_words(docs).select("row", times.cast("int").alias("times"))
-    numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    return numbered.join(kept, "row").withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select(*docs.columns)
+    row, copies = free_name(docs, "row"), free_name(docs, "copies")
+    numbered = with_rows(docs, row)
+    kept = taken_words(numbered, row).select(F.col("row").alias(row), F.array_repeat(F.lit(1), times.cast("int")).alias(copies))
+    return numbered.join(kept, row).withColumn(copies, F.explode(copies)).select(*own_columns(docs))
 
 
 QUERIES = {"op7_mixing": op7_mixing}

@@ -1,9 +1,11 @@
 """Resharding by minimum-cost flow.
 
-Old shards have a size in bytes, new shards a capacity. A flow network (old shards, new shards, cost 0 for
+Old shards have a size in bytes, new shards a capacity. Old shards are groups of the table's
+files as they lie in storage. A flow network (old shards, new shards, cost 0 for
 bytes that stay and 1 for bytes that move) is solved on the driver; it has one node for each shard, whatever
 the size of the data. What leaves a shard is cut into runs of documents ("blocks"), smallest documents first,
-so that the sizes come out even; only files of shards that gain or lose documents are rewritten.
+so that the sizes come out even; only files of shards that gain or lose documents are rewritten, and the rows
+written are counted.
 
 Edge cases: a null text has 0 bytes (size 16, crc32 of nothing); repeated rows and equal texts are separate
 documents and may part; null ids sort first; an empty table gives no rows; further columns are ignored.
@@ -16,13 +18,13 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, table, tasks_for, text_bytes, text_crc32, through_table
+from .common import FILE_ROW_BITS, free_name, new_path, own_columns, table, tasks_for, text_bytes, text_crc32, through_table, with_rows
 
 OLD_SHARDS = 32
 SHARDS = 40
 ROW_BYTES = 16
-#: Documents of a shard fall into this many buckets by size and hash; windows run inside a bucket.
-SIZE_CLASSES, HASH_BUCKETS = 48, 64
+#: Documents of a shard fall into classes by size and buckets by hash, from 64 to 1,024 as the bytes grow; windows run inside a bucket.
+SIZE_CLASSES, HASH_BUCKETS, MOST_BUCKETS = 48, 64, 1_024
 #: A file of a shard has about this many bytes of text.
 FILE_BYTES = 128 << 20
 
@@ -110,16 +112,24 @@ def even_capacities(total: int, shards: int) -> dict[int, int]:
 PLACE = ["old_shard", "size_class", "bucket"]
 
 
-def placed_rows(docs: DataFrame, old_shards: int) -> DataFrame:
-    """``docs`` with row, size, the shard that a hash of the id gave, and the bucket there: functions of the row alone."""
-    out = docs.withColumns({"row": F.monotonically_increasing_id(), "size": text_bytes(F.col("text")) + ROW_BYTES, "old_shard": F.pmod(F.xxhash64("doc_id"), F.lit(old_shards)).cast("int")})
-    return out.withColumns({"size_class": F.least(F.floor(F.log2("size") * 2), F.lit(SIZE_CLASSES)).cast("int"), "bucket": F.pmod(F.xxhash64("row", F.lit(7)), F.lit(HASH_BUCKETS)).cast("int")})
+def with_places(rows: DataFrame, buckets: int, old_shards: int = OLD_SHARDS) -> DataFrame:
+    """``rows`` (row, size, ...) with the old shard, a group of the table's files, and the bucket there: functions of row and size alone."""
+    return rows.withColumns(
+        {
+            "old_shard": F.pmod(F.shiftright("row", FILE_ROW_BITS), F.lit(old_shards)).cast("int"),
+            "size_class": F.least(F.floor(F.log2("size") * 2), F.lit(SIZE_CLASSES)).cast("int"),
+            "bucket": F.pmod(F.xxhash64("row", F.lit(7)), F.lit(buckets)).cast("int"),
+        }
+    )
 
 
-def old_layout(docs: DataFrame, old_shards: int = OLD_SHARDS) -> DataFrame:
-    """The placed documents without their texts: (row, doc_id, size, text_crc32, old_shard, size_class, bucket), written once."""
-    rows = placed_rows(docs.select("doc_id", "text"), old_shards)
-    return through_table(rows.withColumn("text_crc32", text_crc32(F.col("text"))).drop("text"), "shard-sizes")
+def old_layout(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(row, doc_id, size, text_crc32) and the place of each of ``docs`` (row, doc_id, text), without the texts; and the number of buckets."""
+    sized = docs.select("row", "doc_id", (text_bytes(F.col("text")) + ROW_BYTES).alias("size"), text_crc32(F.col("text")).alias("text_crc32"))
+    sized = through_table(sized, "shard-sizes")
+    total = sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
+    buckets = min(MOST_BUCKETS, max(HASH_BUCKETS, total // (FILE_BYTES * SHARDS)))
+    return with_places(sized, buckets), buckets
 
 
 def plan_moves(sized: DataFrame, capacities: dict[int, int] | None = None, shards: int = SHARDS) -> tuple[DataFrame, dict[tuple[int, int], int]]:
@@ -141,8 +151,8 @@ def plan_moves(sized: DataFrame, capacities: dict[int, int] | None = None, shard
     bases = sized.groupBy(*PLACE).agg(F.sum("size").alias("bytes")).select(*PLACE, F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy(*PLACE).orderBy("size", "row")
     placed = sized.withColumn("middle", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.expr("size div 2"))
-    # at most OLD_SHARDS * SIZE_CLASSES * HASH_BUCKETS rows, and one row for each transfer
-    placed = placed.join(F.broadcast(bases), PLACE).withColumn("middle", F.col("base") + F.col("middle"))
+    # both sides lie by place already; of the cuts there is one row for each transfer
+    placed = placed.join(bases, PLACE).withColumn("middle", F.col("base") + F.col("middle"))
     placed = placed.join(F.broadcast(cuts), F.expr("old_shard = i and middle >= cut_from and middle < cut_to")).drop("i", "cut_from", "cut_to", "middle", "base")
     placed = through_table(placed, "shard-moves")
 
@@ -166,42 +176,52 @@ def changed_shards(plan: DataFrame) -> DataFrame:
     return moved.select("shard").union(moved.select(F.col("old_shard").alias("shard"))).distinct()
 
 
-def rewrite(docs: DataFrame, plan: DataFrame, to: str, old_shards: int = OLD_SHARDS) -> DataFrame:
+def rewrite(docs: DataFrame, plan: DataFrame, buckets: int, to: str) -> DataFrame:
     """Write the shards that change, as files below ``to``/shard=N with their slots; returns a reader of them.
 
-    ``docs`` must be the frame that the plan was made of. What goes from an old shard to a new one is a stretch of the old shard's
+    ``docs`` has the row numbers that the plan was made of. What goes from an old shard to a new one is a stretch of the old shard's
     order, so the ends of the stretches tell the shard, and the texts move once: to the files of their shard, several for a large one.
     """
+    spark = docs.sparkSession
     key = F.struct("size_class", "bucket", "size", "row")
     ends = plan.groupBy("old_shard", "shard").agg(F.min(key).alias("low"), F.max(key).alias("high"))
     ends = ends.join(changed_shards(plan), "shard").withColumnRenamed("old_shard", "i")  # a row for each transfer
     ahead = slots_ahead(plan)  # at most one row for each bucket and transfer
-    files = plan.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n // (FILE_BYTES * SHARDS) + 1
-    rows = placed_rows(docs, old_shards).withColumn("key", key)
+    found = plan.join(F.broadcast(changed_shards(plan)), "shard", "left_semi").agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    files = found.bytes // (FILE_BYTES * SHARDS) + 1
+    rows = docs.select("row", (text_bytes(F.col("text")) + ROW_BYTES).alias("size"), F.struct(*own_columns(docs.drop("row"))).alias("doc"))
+    rows = with_places(rows, buckets).withColumn("key", key)
     rows = rows.join(F.broadcast(ends), F.expr("old_shard = i and key >= low and key <= high")).drop("i", "low", "high", "key")
-    rows = rows.withColumn("part", F.pmod("bucket", F.lit(files))).repartition(max(SHARDS * files, tasks_for(docs.sparkSession)), "shard", "part")
+    rows = rows.withColumn("part", F.pmod("bucket", F.lit(files))).repartition(max(SHARDS * files, tasks_for(spark)), "shard", "part")
     rows = rows.withColumn("nth", F.row_number().over(in_bucket("part"))).join(F.broadcast(ahead), ["shard", *PLACE])
-    named = rows.withColumn("slot", (F.col("ahead") + F.col("nth") - 1).cast("long")).select(*docs.columns, "shard", "slot")
-    named.write.option("compression", "zstd").partitionBy("shard").parquet(to)
-    return docs.sparkSession.read.parquet(to)
+    slot = (F.col("ahead") + F.col("nth") - 1).cast("long").alias("slot")
+    rows.select("doc", "shard", slot).write.option("compression", "zstd").partitionBy("shard").parquet(to)
+    written = spark.read.schema(rows.select("doc", slot, "shard").schema).parquet(to)
+    if (n := written.count()) != found.rows:
+        raise RuntimeError(f"{n} rows were written, {found.rows} were planned")
+    return written
 
 
 def op4_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    sized = old_layout(docs)
-    plan, _ = plan_moves(sized)
-    plan = through_table(plan, "shard-plan")
-    written = rewrite(docs, plan, new_path(spark, "shards"))
+    docs = with_rows(table(spark, sf_dir, "documents")).select("row", "doc_id", "text")
+    sized, buckets = old_layout(docs)
+    plan = through_table(plan_moves(sized)[0], "shard-plan")
+    written = rewrite(docs, plan, buckets, new_path(spark, "shards"))
     # shards that no document enters or leaves keep their files
     kept = plan.join(F.broadcast(changed_shards(plan)), "shard", "left_anti").select("doc_id", "size", "text_crc32", "shard", "slot")
-    back = written.select("doc_id", (text_bytes(F.col("text")) + ROW_BYTES).alias("size"), text_crc32(F.col("text")).alias("text_crc32"), F.col("shard").cast("int"), "slot")
+    text = F.col("doc.text")
+    back = written.select("doc.doc_id", (text_bytes(text) + ROW_BYTES).alias("size"), text_crc32(text).alias("text_crc32"), F.col("shard").cast("int"), "slot")
     return back.unionByName(kept).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def sharded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
-    """All rows of ``docs`` with shard and slot."""
-    plan, _ = plan_moves(old_layout(docs))
-    return docs.withColumn("row", F.monotonically_increasing_id()).join(plan.select("row", "shard", "slot"), "row").select(*docs.columns, "shard", "slot")
+    """All rows of ``docs`` with shard and slot (lengthened by _ if ``docs`` has such columns)."""
+    row, shard, slot = (free_name(docs, x) for x in ("row", "shard", "slot"))
+    numbered = with_rows(docs, row)
+    sized, _ = old_layout(numbered.select(F.col(row).alias("row"), "doc_id", "text"))
+    plan, _ = plan_moves(sized)
+    plan = plan.select(F.col("row").alias(row), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    return numbered.join(plan, row).select(*own_columns(docs), shard, slot)
 
 
 QUERIES = {"op4_resharding": op4_resharding}

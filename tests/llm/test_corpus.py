@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from orderloom.llm import decontamination, html_text, language_id, media, mixing, ngram_join, sharding, token_files, toxicity, url_filters
-from orderloom.llm.common import new_path
+from orderloom.llm.common import new_path, with_rows
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, score double"
 WORDS = [f"w{i}" for i in range(400)]
+UPPER_TO_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def docs_of(spark, texts, extra=None):
@@ -42,7 +43,7 @@ def near_texts(seed=3):
 def brute_components(texts):
     sets = []
     for t in texts:
-        w = [x for x in (t or "").translate(str.maketrans("\t\n\v\f\r", "     ")).translate(ngram_join.UPPER_TO_LOWER).split(" ") if x]
+        w = [x for x in (t or "").translate(str.maketrans("\t\n\v\f\r", "     ")).translate(UPPER_TO_LOWER).split(" ") if x]
         sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
     comp = list(range(len(texts)))
     for i in range(len(sets)):
@@ -73,12 +74,18 @@ def test_tree_traversal_loses_no_link():
     base = rng.integers(0, 2**63, 60, dtype=np.uint64)
     sets = [np.unique(np.concatenate([base[rng.random(60) < 0.97], rng.integers(0, 2**63, rng.integers(0, 6), dtype=np.uint64)])) for _ in range(40)]
     sets += [np.unique(rng.integers(0, 2**63, rng.integers(30, 80), dtype=np.uint64)) for _ in range(40)]
-    width = min(len(ngram_join.bitmap(s)) for s in sets)
-    maps = np.stack([ngram_join.folded(np.frombuffer(ngram_join.bitmap(s), "u1"), width) for s in sets])
-    tree = ngram_join.signature_tree(np.array([len(s) for s in sets]), maps, np.arange(len(sets)))
-    found = {tuple(sorted(p)) for p in ngram_join.tree_pairs(tree, tree)}
-    links = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if ngram_join.links(sets[i], sets[j])}
-    assert links and links <= found and len(found) < len(sets) * (len(sets) - 1) // 2
+    sets += [np.unique(rng.integers(0, 2**63, k, dtype=np.uint64)) for k in (1, 2, 3, 3000)] + [sets[0], sets[-1]]
+
+    def linked(x, y):
+        both = len(np.intersect1d(x, y))
+        return 100 * both >= 80 * (len(x) + len(y) - both)
+
+    comps = np.arange(len(sets))
+    found = {tuple(sorted(p)) for x, y in ngram_join.candidates(np.array([len(s) for s in sets]), [ngram_join.bitmap(s) for s in sets], comps, comps) for p in zip(x.tolist(), y.tolist())}
+    links = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if linked(sets[i], sets[j])}
+    assert links and links <= found and len(found) < len(sets) * (len(sets) - 1) // 4
+    joins = ngram_join.group_links(sets, comps)
+    assert {tuple(sorted(p)) for p in joins} <= links and len(joins) < len(sets)
 
 
 def test_components_of_a_chain(spark):
@@ -107,10 +114,10 @@ def test_permutation_is_one(spark):
 
 
 def test_mixed_texts_hold_whole_blocks(spark):
-    docs = docs_of(spark, [" ".join(WORDS[:300]), " ".join(WORDS[:50]), "a b c"])
-    sizes = mixing.document_sizes(docs)
+    docs = with_rows(docs_of(spark, [" ".join(WORDS[:300]), " ".join(WORDS[:50]), "a b c"]).drop("row"))
+    sizes = mixing.document_sizes(docs, "row")
     mixed = mixing.mix(sizes, mixing.source_targets(sizes))
-    blocks = mixing.mixed_texts(docs, sizes, mixed).collect()
+    blocks = mixing.mixed_texts(docs, mixed).collect()
     assert sum(len(b.words) for b in blocks) == mixed.agg(F.sum("words")).first()[0]
     assert all(len(b.words) <= mixing.BLOCK_WORDS for b in blocks)
 
@@ -134,8 +141,9 @@ def test_flow_moves_the_fewest_bytes():
 
 def test_resharding_is_even_and_whole(spark):
     rng = random.Random(2)
-    docs = docs_of(spark, ["x" * rng.randint(0, 300) for _ in range(3000)])
-    plan, transfers = sharding.plan_moves(sharding.old_layout(docs))
+    docs = with_rows(docs_of(spark, ["x" * rng.randint(0, 300) for _ in range(3000)]).drop("row"))
+    sized, buckets = sharding.old_layout(docs)
+    plan, transfers = sharding.plan_moves(sized)
     rows = plan.collect()
     assert len(rows) == 3000 and transfers
     sizes = {}
@@ -144,8 +152,8 @@ def test_resharding_is_even_and_whole(spark):
     assert len(sizes) == 40 and max(sizes.values()) - min(sizes.values()) <= 2 * 316
     for s in sizes:
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
-    back = sharding.rewrite(docs, plan, new_path(spark, "shards"))
-    assert sorted((r.doc_id, r.text) for r in back.collect()) == sorted((r.doc_id, r.text) for r in docs.collect())
+    back = sharding.rewrite(docs, plan, buckets, new_path(spark, "shards"))
+    assert sorted((r.doc.doc_id, r.doc.text) for r in back.collect()) == sorted((r.doc_id, r.text) for r in docs.collect())
     assert sharding.sharded_documents(spark, awkward(spark)).count() == 10
     assert sharding.sharded_documents(spark, awkward(spark).limit(0)).count() == 0
 
