@@ -8,7 +8,8 @@ folder (a path that driver and executors can open), which workers memory-map and
 gets a row for each language and order and for each file.
 A document's language has the lowest cross-entropy for each symbol. The score is a probability
 from the tempered likelihoods; temperature and the highest plausible entropy come from a bounded sample of
-training documents.
+labelled documents that the models did not count. The limit is an order statistic of theirs (a conformal bound); with fewer than
+about 1 / REJECT_SHARE of them, only texts without letters are rejected.
 
 Edge cases: null texts and texts without letters get ``und`` and score 0; so do all if nothing was learnt; ties
 go to the first language in order; repeated rows are judged alike; extra columns are ignored.
@@ -28,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from .common import new_path, own_columns, table, through_table
 
@@ -37,9 +39,10 @@ CHARS = (1 << BITS) - 3
 START, END = CHARS + 1, CHARS + 2
 #: Rows of the model that a task sorts and writes.
 PART_ROWS = 250_000
-CALIBRATION_DOCS = 3_000
-#: Rejected is what needs this many times the bits a symbol of the worst calibration document.
-SLACK = 1.3
+#: Calibrated is with at most so many texts, and at most one in so many, of languages with at least so many documents.
+CALIBRATION_DOCS, CALIBRATION_SHARE, FEW_DOCS = 3_000, 20, 100
+#: Rejected is a text whose cross-entropy, less MARGIN / sqrt(symbols) for its uncertainty, is one that so small a share of texts of known languages has.
+REJECT_SHARE, MARGIN = 0.001, 2.0
 MEMORY_WORDS = 300_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -244,7 +247,7 @@ class Scorer:
 _SCORERS: dict[str, Scorer] = {}
 
 
-def likelihoods(docs: DataFrame, model: Model, keep: list[str], fields: str) -> DataFrame:
+def likelihoods(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs``, with the sums for each text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a discount for each language and order
     key = uuid.uuid4().hex
@@ -263,19 +266,34 @@ def likelihoods(docs: DataFrame, model: Model, keep: list[str], fields: str) ->
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype="i4") * width), flat)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], lists], [*keep, "sums"])
 
-    return docs.select(*keep, "text").mapInArrow(score, f"{fields}, sums array<double>")
+    return docs.select(*keep, "text").mapInArrow(score, docs.select(*keep).schema.add("sums", ArrayType(DoubleType())))
+
+
+def entropy_limit(entropies: np.ndarray, symbols: np.ndarray) -> float:
+    """What a document of the kind that calibrates exceeds with a probability of at most REJECT_SHARE: an order statistic of the held-out ones."""
+    rank = int(np.ceil((len(entropies) + 1) * (1 - REJECT_SHARE)))
+    found = np.sort(entropies - MARGIN / np.sqrt(symbols))
+    return float(found[rank - 1]) if rank <= len(found) else float("inf")
+
+
+def calibration_cut(labelled: DataFrame) -> int | None:
+    """The text hash up to which documents (lang, h) calibrate: at most 1 of CALIBRATION_SHARE texts and CALIBRATION_DOCS texts."""
+    share = -(2**63) + 2**64 // CALIBRATION_SHARE
+    # the smallest hashes, then their texts: no text is sorted
+    return labelled.where(F.col("h") <= F.lit(share)).select("h").distinct().orderBy("h").limit(CALIBRATION_DOCS).agg(F.max("h")).first()[0]
 
 
 def train(docs: DataFrame) -> Model:
-    """A calibrated model of ``docs`` (doc_id, text, lang), all of which are training documents."""
-    model = Model.fit(ngram_counts(docs))
-    if not model.langs:
+    """A calibrated model of ``docs`` (doc_id, text, lang), all of which are training documents. Those that calibrate do not count."""
+    labelled = docs.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("text").alias("h"))
+    few = [r.lang for r in labelled.groupBy("lang").count().where(F.col("count") < FEW_DOCS).select("lang").collect()]  # at most a row for each language
+    cut = calibration_cut(labelled.where(~F.col("lang").isin(few)))
+    held = F.lit(False) if cut is None else (F.col("h") <= F.lit(cut)) & ~F.col("lang").isin(few)
+    model = Model.fit(ngram_counts(labelled.where(~held)))
+    if not model.langs or cut is None:
         return model
-    labelled = docs.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
-    # the smallest hashes first, then their texts: no text is sorted
-    cut = labelled.select("h").orderBy("h").limit(CALIBRATION_DOCS).agg(F.max("h")).first()[0]
-    sample = labelled.where(F.col("h") <= F.lit(cut)).limit(2 * CALIBRATION_DOCS)
-    seen = likelihoods(sample, model, ["lang"], "lang string").toPandas()
+    sample = labelled.where(held).limit(2 * CALIBRATION_DOCS)  # a bounded sample, also if texts repeat
+    seen = likelihoods(sample, model, ["lang"]).toPandas()
     sums = np.array([np.asarray(x) for x in seen["sums"]]).reshape(len(seen), -1)
     at = {x: i for i, x in enumerate(model.langs)}
     good = (sums[:, -1] > 0) & seen["lang"].isin(at).to_numpy()
@@ -288,16 +306,16 @@ def train(docs: DataFrame) -> Model:
             x = x - x.max(1, keepdims=True)
             loss[float(beta)] = float((np.log(np.exp(x).sum(1)) - x[np.arange(len(x)), own]).mean())
         model.beta = min(loss, key=lambda b: (loss[b], b))
-        model.limit = float((-logs.max(1) / n).max() * SLACK)
+        model.limit = entropy_limit(-logs.max(1) / n, n)
     return model
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str], fields: str) -> DataFrame:
+def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``keep`` with lang_pred, score, entropy (nats a symbol, in the best language) and rejected."""
     if not model.langs:
         none = {"lang_pred": F.lit("und"), "score": F.lit(0.0), "entropy": F.lit(None).cast("double"), "rejected": F.lit(True)}
         return docs.select(*keep).withColumns(none)
-    sums = likelihoods(docs, model, keep, fields)
+    sums = likelihoods(docs, model, keep)
     logs = F.slice("sums", 1, len(model.langs))
     n = F.element_at("sums", -1)
     best = F.array_max(logs)
@@ -311,7 +329,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], fields: str) -> Data
         F.when(real, F.element_at(names, F.array_position(logs, F.col("best")).cast("int"))).otherwise("und").alias("lang_pred"),
         F.when(real, 1 / share).otherwise(0.0).alias("score"),
         entropy.alias("entropy"),
-        F.coalesce(entropy > F.lit(model.limit), F.lit(True)).alias("rejected"),
+        F.coalesce(entropy - MARGIN / F.sqrt("symbols") > F.lit(model.limit), F.lit(True)).alias("rejected"),
     )
 
 
@@ -322,7 +340,7 @@ def held_out(doc_id: Column) -> Column:
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs.where(~held_out(F.col("doc_id"))))
-    out = predict(docs, model, ["doc_id"], "doc_id long")
+    out = predict(docs, model, ["doc_id"])
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "entropy")
 
 
@@ -330,7 +348,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str | None = No
     """The rows of ``docs`` that the calibrated models do not reject."""
     model = train(docs.select("doc_id", "text", "lang"))
     whole = docs.select(F.struct(*own_columns(docs)).alias("doc"), "text")
-    judged = predict(whole, model, ["doc"], f"doc {whole.schema['doc'].dataType.simpleString()}")
+    judged = predict(whole, model, ["doc"])
     return judged.where("not rejected").select("doc.*")
 
 

@@ -211,12 +211,12 @@ def test_language_id(spark):
     rows = [(i, make(["the", "er", "ing", "wh"]) if i % 2 else make(["que", "ción", "ado", "ll"]), "en" if i % 2 else "es") for i in range(120)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))))
-    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs, model, ["doc_id"], "doc_id long").collect()}
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs, model, ["doc_id"]).collect()}
     assert all(got[i] == lang for i, _, lang in rows)
-    odd = language_id.predict(awkward(spark), model, ["doc_id"], "doc_id long").collect()
+    odd = language_id.predict(awkward(spark), model, ["doc_id"]).collect()
     assert sum(r.lang_pred == "und" for r in odd) == 3 and all(0 <= r.score <= 1 for r in odd)
     nothing = language_id.train(docs.limit(0))
-    assert language_id.predict(docs, nothing, ["doc_id"], "doc_id long").first().lang_pred == "und"
+    assert language_id.predict(docs, nothing, ["doc_id"]).first().lang_pred == "und"
     assert language_id.known_language(spark, docs.withColumn("score", F.lit(1))).count() == 120
 
 
