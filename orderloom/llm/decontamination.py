@@ -4,12 +4,13 @@ The index holds, for each term, its postings (item, BM25 impact) in item order,
 largest impact of each block. A passage is scored by block-max pruning: the largest impacts of its terms in groups of
 blocks are summed; below every threshold the passage is skipped; otherwise only blocks whose summed block maxima reach a
 threshold are opened, and their items scored exactly. All items above their threshold are retrieved, none is cut off by
-a top-k. A threshold is a share of what a copy of the item scores, and never above what the shortest excerpt that would
-be confirmed scores, wherever the passages cut it. A retrieved pair is confirmed if the document has most of the word
-n-grams of the item's question and of its answer (its last sentence).
+a top-k. (Blocks are aligned over all terms, so one sum of block maxima for each block stands for the pivots of WAND: it opens
+just the blocks that a pivot may stop in.) A threshold is a share of what a copy of the item scores, and never above what the shortest excerpt that would
+be confirmed scores, wherever the passages cut it. A retrieved pair is confirmed if the document has, around one of the passages
+retrieved, most of the word n-grams of the item's question and of its answer (its last sentence).
 
-Items are a stated query set: they are read in chunks of ITEM_CHUNK, each with an index of its own, and each chunk
-meets all documents; nothing of the documents is shuffled.
+Items are a stated query set: distinct item texts are read in chunks of about ITEM_CHUNK, each with an index of its own, and each
+chunk meets all documents; nothing of the documents is shuffled. Document frequencies and the mean length are those of all items.
 
 Edge cases: null or blank texts and items match nothing; repeated rows give repeated results; equal items are reported
 each; an empty table on either side gives no rows; further columns are ignored.
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, own_columns, table, with_rows
+from .common import free_name, own_columns, table, through_table, with_rows
 
 #: A passage is PASSAGE_WORDS words, a multiple of STRIDE; the last ones of a text are shorter.
 PASSAGE_WORDS, STRIDE = 96, 32
@@ -34,7 +35,7 @@ THRESHOLD = 0.5
 OVERLAP, GRAM = 0.6, 5
 BLOCK_ITEMS = 4
 GROUPS = 64
-#: Items of one index (with its text, at most ITEM_CHUNK rows on the driver and in each worker).
+#: Items of one index: about so many texts, dealt by hash, are on the driver and in each worker.
 ITEM_CHUNK = 20_000
 K1, B = 1.2, 0.75
 MEMORY_WORDS = 1_000_000
@@ -92,17 +93,19 @@ def worst_passage(words: list[str], impact: dict[str, float]) -> float:
 
 
 class Index:
-    """Postings with block maxima over (item_id, text) rows."""
+    """Postings with block maxima over (item, text) rows. ``all_items`` has their number, mean length and document frequencies if
+    these rows are only a part of the items."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[int, str | None]], all_items: tuple[int, float, dict[str, int]] | None = None):
         items = [(i, t) for i, t in items if words_of(t)]
         counts = [Counter(words_of(t)) for _, t in items]
         n, lengths = len(items), [sum(c.values()) for c in counts]
-        df, mean = Counter(w for c in counts for w in c), max(1.0, sum(lengths) / max(1, n))
+        many, mean, df = all_items or (n, sum(lengths) / max(1, n), Counter(w for c in counts for w in c))
+        mean = max(1.0, mean)
         impacts = []
         for c, length in zip(counts, lengths, strict=True):
             norm = K1 * (1 - B + B * length / mean)
-            impacts.append({w: float(np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + norm)) for w, tf in c.items()})
+            impacts.append({w: float(np.log(1 + (many - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + norm)) for w, tf in c.items()})
         parts = [question_and_answer(t) for _, t in items]
         # a passage cannot hold more than its words of a long item; a little less, as sums are rounded
         own = [(1 - 1e-9) * min(THRESHOLD * worst_passage(q + a, x), worst_passage(shortest_excerpt(q, a), x)) for (q, a), x in zip(parts, impacts, strict=True)]
@@ -111,7 +114,7 @@ class Index:
         self.items = [items[i] for i in order]
         self.threshold = np.array([own[i] for i in order])
         self.parts = [parts[i] for i in order]
-        self.terms = {w: k for k, w in enumerate(sorted(df))}
+        self.terms = {w: k for k, w in enumerate(sorted({w for x in impacts for w in x}))}
         postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         for k, i in enumerate(order):
             for w, x in impacts[i].items():
@@ -189,38 +192,66 @@ def matches(index: Index, memory: Memory, text: str | None) -> list[tuple[int, f
     bounds = np.zeros((-(-len(raw) // STRIDE) + PASSAGE_WORDS // STRIDE - 1, index.group_most.shape[1]))
     bounds[stretch[begins]] = np.add.reduceat(index.group_most[own], begins)
     passages = sum(bounds[k : len(bounds) - PASSAGE_WORDS // STRIDE + 1 + k] for k in range(PASSAGE_WORDS // STRIDE))
-    found: dict[int, tuple[float, int]] = {}
+    found: dict[int, list[tuple[int, float]]] = {}
     for a in (np.flatnonzero((passages * 1.0001 >= index.group_threshold).any(1)) * STRIDE).tolist():
         own = np.unique(terms[a : a + PASSAGE_WORDS])
         own = own[own >= 0]
         for i, score in index.search(own):
-            if score > found.get(i, (0.0, 0))[0]:
-                found[i] = (score, a)
+            found.setdefault(i, []).append((a, score))
     out = []
-    for i, (score, a) in sorted(found.items()):
+    for i, hits in sorted(found.items()):
         question, answer = index.parts[i]
-        # an item may reach over its best passage on both sides
+        # an item may reach over its passage on both sides; passages that are near are looked at together
         reach = len(question) + len(answer)
-        near = [w for t in raw[max(0, a - reach) : a + PASSAGE_WORDS + reach] if (w := t.strip(MARKS))]
-        overlaps = []
-        for part in (question, answer):
-            n = min(GRAM, len(part))
-            want = grams(part, n) if n else set()
-            overlaps.append(len(want & grams(near, n)) / len(want) if want else 1.0)
-        if min(overlaps) >= OVERLAP:
-            out.append((i, score, *overlaps, a))
+        wanted = [(n, grams(part, n) if n else set()) for part in (question, answer) for n in [min(GRAM, len(part))]]
+        stretches: list[list] = []
+        for a, score in hits:
+            if stretches and a - reach <= stretches[-1][1]:
+                stretches[-1][1] = a + PASSAGE_WORDS + reach
+                stretches[-1][2] = max(stretches[-1][2], (score, -a))
+            else:
+                stretches.append([max(0, a - reach), a + PASSAGE_WORDS + reach, (score, -a)])
+        best = None
+        for begin, end, (score, a) in stretches:
+            near = [w for t in raw[begin:end] if (w := t.strip(MARKS))]
+            overlaps = [len(want & grams(near, n)) / len(want) if want else 1.0 for n, want in wanted]
+            if min(overlaps) >= OVERLAP:
+                best = max(best or (0.0,), (min(overlaps), score, *overlaps, a))
+        if best:
+            out.append((i, best[1], best[2], best[3], -best[4]))
     return out
 
 
+def term_statistics(texts: DataFrame) -> tuple[int, float, DataFrame]:
+    """The number of ``texts`` (text) with words, their mean length, and (word, df)."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([list(set(w)) for w in words], pa.list_(pa.string())), pa.array(list(map(len, words)), pa.int64())], ["words", "length"])
+
+    cut = through_table(texts.select("text").mapInArrow(split, "words array<string>, length long"), "item-words").where("length > 0")
+    total = cut.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
+    return total.n, total.mean or 0.0, through_table(cut.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")), "item-df")
+
+
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap, at_word): every confirmed pair. docs: doc_id, text; items: item_id, text."""
     spark = docs.sparkSession
-    numbered = items.select("item_id", "text").where("text is not null")
-    chunks = max(1, -(-numbered.count() // ITEM_CHUNK))
+    named = items.select(F.col("item_id").cast("long"), "text").where("text is not null")
+    texts = with_rows(through_table(named.select("text").distinct(), "items"), "item")
+    count = texts.count()
+    chunks = max(1, -(-count // ITEM_CHUNK))
+    many, mean, df = term_statistics(texts) if chunks > 1 else (0, 0.0, None)
     parts = []
     for k in range(chunks):
-        own = numbered.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == k)
-        index = spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in own.orderBy("item_id", "text").limit(2 * ITEM_CHUNK).collect()]))
+        own = texts.where(F.pmod(F.xxhash64("item"), F.lit(chunks)) == k)
+        rows = [(r.item, r.text) for r in own.orderBy("item").collect()]  # about ITEM_CHUNK texts
+        known = None
+        if df is not None:
+            words = spark.createDataFrame([(w,) for w in sorted({w for _, t in rows for w in words_of(t)})], "word string")
+            known = (many, mean, {r.word: r.df for r in words.join(df, "word").collect()})  # the words of this chunk
+        index = spark.sparkContext.broadcast(Index(rows, known))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=index) -> Iterator[pa.RecordBatch]:
             found = shared.value
@@ -229,10 +260,11 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
                 rows = [(i, found.items[m[0]][0], *m[1:]) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in matches(found, memory, t)]
                 columns = list(zip(*rows, strict=True)) or [[]] * 6
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "at_word"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item", "score", "question_overlap", "answer_overlap", "at_word"])
 
-        parts.append(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, RESULT))
-    return reduce(DataFrame.unionByName, parts)
+        parts.append(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, RESULT.replace("item_id", "item")))
+    ids = named.join(texts, "text").select("item", "item_id")
+    return reduce(DataFrame.unionByName, parts).join(ids, "item").select("doc_id", "item_id", "score", "question_overlap", "answer_overlap", "at_word")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
