@@ -1,19 +1,24 @@
 """Main text of web pages: flat text blocks, shallow features, a decision tree.
 
 A page is cut into blocks at block-level tags. A block has its word count and link density and those of the blocks
-before and after it, and whether it lies in a part that is by its tag or class the article or the surroundings (menu, advert,
-comments and so on). A small CART tree, fitted to the labelled pages of ``html_labels``, tells article blocks.
+before and after it; whether it is a heading; whether the innermost part that tells by its tag or class says article or
+surroundings (menu, advert, comments and so on); whether it comes after a heading of comments or reads like a notice. A
+CART tree, fitted to the labelled pages of ``html_labels``, tells article blocks; no mark decides by itself. A part that is
+called surroundings by a weak name, but holds most of the page's words, counts as unmarked.
 White space inside a block becomes one space; blocks are joined in page order by one line break.
 
-Edge cases: null or empty html gives an empty text; tags that are not closed, stray closing tags and
-comments that never end are read as browsers do, roughly: a part ends with the element around it, and what is
-open at the end is closed there; repeated rows are treated alike; an empty table gives no rows.
+The parser takes time in proportion to the page. As in browsers, a tag, comment, script or title that never ends swallows the
+rest of the page; other parts end with the element around them, and what is open at the end is closed there.
+
+Edge cases: null or empty html gives an empty text; stray closing tags are skipped; repeated rows are treated alike; further
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -27,115 +32,209 @@ from .html_labels import PAGES
 
 # fixed values of HTML
 BLOCK_TAGS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 VOID_TAGS = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = set("script style noscript template textarea title svg math iframe object select button".split())
+#: Their content is no markup, and no text of the page.
+RAW_TAGS = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in "script style noscript template textarea title iframe xmp".split()}
+
+#: What an element says about its text: nothing, article, surroundings, or surroundings whatever is inside.
+PLAIN, MAIN, SIDE, FAR_SIDE = range(4)
 MAIN_TAGS = set("article main".split())
-SIDE_TAGS = set("nav footer aside form menu dialog".split())
-SIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|aside|footer|foot|header|masthead|comments?|comment-?list|respond|disqus|replies|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|sign-up|login|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|copyright|legal|disclaimer|skip|search)(?:$|[\s_-])",
-    re.I,
-)
-MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|post|content|entry|story|main|body)(?:$|[\s_-])", re.I)
-
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
-NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+SIDE_TAGS = set("header form label fieldset select button option optgroup svg menu dialog".split())
+FAR_SIDE_TAGS = set("nav footer aside".split())
+MAIN_NAMES = set("article post content entry story main body text".split())
+SIDE_NAMES = set("header masthead banner promo promoted teaser notice alert popup modal overlay signup login share sharing social related recommended widget toolbar pagination pager legal disclaimer skip search form side".split())
+FAR_SIDE_NAMES = set("ad ads advert adverts advertisement advertising adsense sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer copyright comment comments commentlist respond disqus replies cookie cookies consent gdpr newsletter subscribe".split())
+NO_NAMES = set("no not has with without is".split())
+
+OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+BLANK, NAME, EQUALS, VALUE = (re.compile(x) for x in (r"[\s/]*", r"=?[^\s/>=]*", r"\s*=\s*", r"[^\s>]+"))
+PART = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
+COMMENTS = re.compile(r"(?:\d+\s+)?(?:comments?|repl(?:y|ies)|responses?|leave a (?:reply|comment)|reader comments)(?:\s*\(\d+\))?:?$", re.I)
+NOTICE = re.compile(r"\u00a9|\(c\) \d|copyright|all rights reserved|cookies?\b|\bsign up\b|\bsubscribe\b|\blog in\b", re.I)
 
 
 class Block(NamedTuple):
     text: str
     words: int
     link_density: float
-    in_main: bool
-    in_side: bool
+    mark: int
     heading: bool
 
 
+def mark_of(tag: str, names: list[str]) -> int:
+    """What a tag and its class, id and role say."""
+    if tag in ("html", "body"):
+        return PLAIN
+    parts = [PART.findall(x) for value in names for x in value.lower().split()]
+    told = {p for own in parts if not own or own[0] not in NO_NAMES for p in own}
+    if tag in FAR_SIDE_TAGS or told & FAR_SIDE_NAMES:
+        return FAR_SIDE
+    if tag in MAIN_TAGS or told & MAIN_NAMES:
+        return MAIN
+    return SIDE if tag in SIDE_TAGS or told & SIDE_NAMES else PLAIN
+
+
+def tag_end(page: str, at: int) -> tuple[int, list[str], bool]:
+    """From behind a tag's name: where the tag ends (-1: never), its class, id and role, and whether it closes itself."""
+    names: list[str] = []
+    while True:
+        begin, at = at, BLANK.match(page, at).end()
+        if at >= len(page):
+            return -1, names, False
+        if page[at] == ">":
+            return at + 1, names, at > begin and page[at - 1] == "/"
+        m = NAME.match(page, at)
+        name, at = m[0].lower(), m.end()
+        m = EQUALS.match(page, at)
+        if not m:
+            continue
+        at = m.end()
+        if page[at : at + 1] in ("'", '"'):
+            end = page.find(page[at], at + 1)
+            if end < 0:
+                return -1, names, False
+            value, at = page[at + 1 : end], end + 1
+        else:
+            m = VALUE.match(page, at)
+            value, at = (m[0], m.end()) if m else ("", at)
+        if name in ("class", "id", "role"):
+            names.append(value)
+
+
+class Page:
+    """The state of reading one page."""
+
+    def __init__(self):
+        self.blocks: list[Block] = []
+        self.parts: list[int] = []  # the element that makes a block SIDE, by number
+        self.pieces: list[str] = []
+        self.linked: list[str] = []
+        self.open: list[tuple[str, int, int]] = []  # tag, mark with all around it, element that made it SIDE
+        self.block_tags: list[int] = []  # places of block-level tags in open
+        self.count: Counter = Counter()
+        self.number = 0
+        self.heading = False
+
+    def take(self, text: str) -> None:
+        self.pieces.append(text)
+        if self.count["a"]:
+            self.linked.append(text)
+
+    def flush(self) -> None:
+        text = SPACE.sub(" ", html.unescape("".join(self.pieces))).strip()
+        if text:
+            words, links = len(text.split()), len(html.unescape(" ".join(self.linked)).split())
+            _, mark, part = self.open[-1] if self.open else ("", PLAIN, 0)
+            self.blocks.append(Block(text, words, min(1.0, links / words), mark, self.heading))
+            self.parts.append(part)
+        self.pieces.clear()
+        self.linked.clear()
+
+    def push(self, tag: str, own: int) -> None:
+        _, around, part = self.open[-1] if self.open else ("", PLAIN, 0)
+        if tag == "header" and around == MAIN:
+            own = PLAIN
+        if own == PLAIN or around == FAR_SIDE:
+            own = around
+        elif own == SIDE and around != SIDE:
+            self.number += 1
+            part = self.number
+        if tag in BLOCK_TAGS:
+            self.block_tags.append(len(self.open))
+        self.open.append((tag, own, part))
+        self.count[tag] += 1
+
+    def pop(self) -> str:
+        tag = self.open.pop()[0]
+        self.count[tag] -= 1
+        if self.block_tags and self.block_tags[-1] == len(self.open):
+            self.block_tags.pop()
+        return tag
+
+    def close(self, tag: str) -> None:
+        if self.count[tag]:
+            while self.pop() != tag:
+                pass
+
+    def start(self, tag: str, mark: int) -> None:
+        for before in ("p", "li") if tag == "li" else ("p",) if tag in BLOCK_TAGS else ():  # these end with the next block
+            if self.block_tags and self.open[self.block_tags[-1]][0] == before:
+                self.close(before)
+        self.push(tag, mark)
+
+    def finished(self) -> list[Block]:
+        self.flush()
+        words: Counter = Counter()
+        for b, part in zip(self.blocks, self.parts, strict=True):
+            if b.mark == SIDE:
+                words[part] += b.words
+        most = sum(b.words for b in self.blocks) / 2
+        # what holds most of the words is no surroundings
+        return [b._replace(mark=PLAIN) if b.mark == SIDE and words[part] > most else b for b, part in zip(self.blocks, self.parts, strict=True)]
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """The text blocks of a page, in order."""
-    page = page or ""
-    out: list[Block] = []
-    pieces: list[str] = []
-    linked: list[str] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # name, main, side
-    heading = False
-
-    def flush() -> None:
-        nonlocal heading
-        text = SPACE.sub(" ", html.unescape("".join(pieces))).strip()
-        if text:
-            words, links = len(text.split()), len(html.unescape(" ".join(linked)).split())
-            main, side = any(x[1] for x in open_tags), any(x[2] for x in open_tags)
-            out.append(Block(text, words, min(1.0, links / words), main, side, heading))
-        pieces.clear()
-        linked.clear()
-
-    def take(text: str) -> None:
-        pieces.append(text)
-        if any(x[0] == "a" for x in open_tags):
-            linked.append(text)
-
-    at, end = 0, len(page)
-    while at < end:
-        m = TOKEN.search(page, at)
-        if not m:
-            take(page[at:])
+    page, read, at = page or "", Page(), 0
+    while 0 <= at < len(page):
+        begin = page.find("<", at)
+        if begin < 0:
+            read.take(page[at:])
             break
-        if m.start() > at:
-            take(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            continue
-        name, closing = m[2].lower(), bool(m[1])
-        if name in RAW_TAGS and not closing:
-            if name == "title":
-                flush()
-            if not m[3].endswith("/"):
-                close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else end
-            continue
-        if name == "br":
-            take(" ")
+        if begin > at:
+            read.take(page[at:begin])
+        m = OPEN.match(page, begin)
+        if not m:
+            if page.startswith("<!--", begin):
+                end = page.find("-->", begin + 2)
+                at = end + 3 if end >= 0 else -1
+            elif page[begin + 1 : begin + 2] in ("!", "?", "/"):
+                at = page.find(">", begin) + 1 or -1
+            else:
+                read.take("<")
+                at = begin + 1
             continue
-        if name in BLOCK_TAGS:
-            flush()
-            heading = name in ("h1", "h2", "h3", "h4", "h5", "h6") and not closing
-        if closing:
-            for k in range(len(open_tags) - 1, -1, -1):
-                if open_tags[k][0] == name:
-                    del open_tags[k:]
-                    break
-        elif name not in VOID_TAGS and not m[3].endswith("/"):
-            if name == "p" or name == "li":  # these close the one before
-                for k in range(len(open_tags) - 1, -1, -1):
-                    if open_tags[k][0] == name:
-                        del open_tags[k:]
-                        break
-                    if open_tags[k][0] in BLOCK_TAGS:
-                        break
-            names = " ".join(x for found in NAMED.findall(m[3]) for x in found if x) if m[3] else ""
-            main = name in MAIN_TAGS or bool(names and MAIN_NAMES.search(names))
-            side = name in SIDE_TAGS or name == "header" and not any(x[1] for x in open_tags) or bool(names and name not in ("html", "body") and name not in MAIN_TAGS and SIDE_NAMES.search(names))
-            open_tags.append((name, main, side))
-    flush()
-    return out
+        tag, closing = m[2].lower(), bool(m[1])
+        at, names, closed = tag_end(page, m.end())
+        if at < 0:
+            break
+        if tag in RAW_TAGS and not closing:
+            if tag == "title":
+                read.flush()
+            close = RAW_TAGS[tag].search(page, at)
+            at = tag_end(page, close.end())[0] if close else -1
+        elif tag == "br":
+            read.take(" ")
+        else:
+            if tag in BLOCK_TAGS:
+                read.flush()
+                read.heading = tag in HEADINGS and not closing
+            if closing:
+                read.close(tag)
+            elif tag not in VOID_TAGS and not closed:
+                read.start(tag, mark_of(tag, names))
+    return read.finished()
 
 
 def features_of(blocks: list[Block]) -> np.ndarray:
-    """A row for each block: words and link density of the one before, itself and the one after; heading; in the article; in the surroundings; the page has an article."""
+    """A row for each block: words and link density of the one before, itself and the one after; heading; reads like a notice;
+    after a heading of comments; surroundings; in the article; the page has an article."""
     if not blocks:
-        return np.zeros((0, 10))
+        return np.zeros((0, 12))
     words = np.array([0, *(b.words for b in blocks), 0], "f8")
     links = np.array([0, *(b.link_density for b in blocks), 0], "f8")
-    flags = np.array([(b.heading, b.in_main, b.in_side) for b in blocks], "f8")
-    marked = np.full((len(blocks), 1), float(any(b.in_main for b in blocks)))
+    comments = np.cumsum([b.mark != MAIN and bool(COMMENTS.match(b.text)) for b in blocks]) > 0
+    flags = np.array([(b.heading, b.words < 40 and bool(NOTICE.search(b.text)), c, b.mark >= SIDE, b.mark == MAIN) for b, c in zip(blocks, comments, strict=True)], "f8")
+    marked = np.full((len(blocks), 1), float(any(b.mark == MAIN for b in blocks)))
     return np.column_stack([words[:-2], words[1:-1], words[2:], links[:-2], links[1:-1], links[2:], flags, marked])
 
 
 class Tree:
     """A CART tree on Gini impurity, as nested tuples (feature, cut, low, high) or a share of positives."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 1):
         self.root = self._grow(x, y, depth, least)
 
     @classmethod

@@ -197,14 +197,6 @@ def test_urls(spark):
     assert url_filters.judge(pages.limit(0), rules).count() == 0
 
 
-def test_main_text(spark):
-    tree = html_text.fit()
-    assert all("".join("+" if k else "-" for k in tree.predict(html_text.features_of(html_text.blocks_of(p))) >= 0.5) == marks for p, marks in html_text.PAGES)
-    page = "<html><head><title>T</title><script>var t='</p>';</script></head><body><nav><a href=/>Home</a></nav><div class=\"ad\">Buy</div><article><h1>A &amp; B</h1><p><b>One\n two<br><p>Of.</article><footer>&copy; x</footer>"
-    assert html_text.main_text(page, tree) == "A & B\nOne two\nOf."
-    assert html_text.main_text(None, tree) == "" and html_text.main_text("<p", tree) in ("", "<p")
-
-
 def test_language_id(spark):
     rng = random.Random(4)
     make = lambda parts: " ".join("".join(rng.choices(parts, k=rng.randint(1, 3))) for _ in range(40))
