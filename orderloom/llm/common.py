@@ -5,7 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -95,3 +99,13 @@ def with_rows(df: DataFrame, name: str = "row") -> DataFrame:
     placed = df.select("*", path, F.col("_metadata.row_index").alias(at))
     number = (F.shiftleft(no, FILE_ROW_BITS) + F.col(at)).alias(name)
     return placed.join(F.broadcast(files), file).select(*own_columns(df), number)
+
+
+def pieces(batch: pa.RecordBatch, rows: int, size: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` of at most ``rows`` rows and about ``size`` bytes of text; a longer text is alone."""
+    total, begin = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)), 0
+    while begin < batch.num_rows:
+        done = total[begin - 1] if begin else 0
+        end = min(begin + rows, max(begin + 1, int(np.searchsorted(total, done + size, "right"))))
+        yield batch.slice(begin, end - begin)
+        begin = end

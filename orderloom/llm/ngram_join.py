@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, own_columns, table, tasks_for, through_table, with_rows
+from .common import free_name, own_columns, pieces, table, tasks_for, through_table, with_rows
 
 SHINGLE = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -143,18 +143,6 @@ def shingle_sets(texts: pa.Array | list, n: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches in slices of at most TEXTS rows and about PIECE bytes of text; a longer text is alone."""
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        total, begin = np.cumsum(sizes), 0
-        while begin < batch.num_rows:
-            done = total[begin - 1] if begin else 0
-            end = min(begin + TEXTS, max(begin + 1, int(np.searchsorted(total, done + PIECE, "right"))))
-            yield batch.slice(begin, end - begin)
-            begin = end
-
-
 def overlap_needed(a, b, percent: int = PERCENT):
     """The least intersection with which sets of these sizes link."""
     return -(-percent * (a + b) // (100 + percent))
@@ -186,7 +174,7 @@ def document_sets(docs: DataFrame, n: int) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["row", "doc_id", "size", "digest", "bits"]
         cells = np.zeros(CELLS, "i8")
-        for part in pieces(batches):
+        for part in (p for batch in batches for p in pieces(batch, TEXTS, PIECE)):
             found = shingle_sets(part.column("text"), n)
             np.add.at(cells, (np.concatenate(found) % np.uint64(CELLS)).astype("i8"), 1)
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found]
@@ -233,7 +221,7 @@ def block_rows(reps: DataFrame, cells: np.ndarray, n: int, percent: int) -> Data
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, salts = shared.value
-        for part in pieces(batches):
+        for part in (p for batch in batches for p in pieces(batch, TEXTS, PIECE)):
             tokens, sizes = [], []
             for s in shingle_sets(part.column("text"), n):
                 keep = len(s) - -(-percent * len(s) // 100) + 1
@@ -422,7 +410,7 @@ def linked(groups: DataFrame, texts: DataFrame, n: int, percent: int, tasks: int
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, 2):
             cls = group.column("cls").to_numpy()
-            sets = [s for part in pieces(iter(group.to_batches())) for s in shingle_sets(part.column("text"), n)]
+            sets = [s for batch in group.to_batches() for part in pieces(batch, TEXTS, PIECE) for s in shingle_sets(part.column("text"), n)]
             found = group_links(sets, group.column("comp").to_numpy(), percent)
             yield edge_batch([int(cls[i]) for i, _ in found], [int(cls[j]) for _, j in found])
 

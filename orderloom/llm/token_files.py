@@ -12,6 +12,7 @@ their text's hash; null ids come first; an empty table writes files without rows
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 import zlib
@@ -19,26 +20,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, table, tasks_for, through_table
+from .common import new_path, pieces, table, tasks_for, through_table
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 STRIPE_BYTES = 8 << 20
 INDEX_ROWS = 1_000
+#: Texts are encoded so many, or so many bytes, at once: the more, the fewer words are looked up.
+PIECE_ROWS, PIECE_BYTES = 4_000, 8 << 20
 #: Words whose ids a Python worker remembers at once.
 MEMORY_WORDS = 1_000_000
 
 
+#: What a tokenizer does to text before its merges, if it never joins text across a space and each word of letters is a piece of its own.
+WORD_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+MARKS = ".,"
+
+
+def gathered(values: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of ``values`` one after another."""
+    return values[np.repeat(begins - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))]
+
+
 class Encoder:
     """The tokenizer's ids for whole texts.
 
-    This tokenizer never joins text across a space, and a word of letters alone is one piece of its own. So
-    texts are cut at spaces, and each distinct word is encoded by the library once and remembered. Texts
-    for which that may not hold (not in Unicode's composed form, or with letters whose lower case depends on
-    their place) go to the library whole.
+    If it works by WORD_STEPS, texts are cut at spaces, and each distinct word is encoded by the library once and remembered;
+    a stop or comma behind letters is a piece of its own. Texts for which that may not hold (not in Unicode's composed form, or
+    with letters whose lower case depends on their place) go to the library whole, as do all texts with another tokenizer.
     """
 
     def __init__(self, path: str):
@@ -46,63 +68,95 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        steps = json.loads(self.tokenizer.to_str())
+        self.by_words = all(steps[k] == v for k, v in WORD_STEPS.items()) and steps["model"].get("end_of_word_suffix") == "</w>"
         ends = [i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[ends] = True
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: set[str]) -> None:
-        stems = {w[:-1] if w[-1] in ".," and len(w) > 1 else w for w in words} | {".", ","}
-        stems = {w for w in stems if w not in self.known}
-        plain = [w for w in stems if w.isalpha()]
+        self.forget()
+
+    def forget(self) -> None:
+        #: For each word the number of its entry, or -1 - (2 * the entry of its letters + the mark behind them).
+        self.known: dict[str, int] = {}
+        self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
+        self.begins, self.lengths = np.zeros(1 << 14, "i8"), np.zeros(1 << 14, "i8")
+        self.entries = 0
+        self.add([""], np.zeros(0, "<u4"), np.zeros(1, "i8"))
+        for mark in MARKS:
+            ids = self.whole(mark)
+            self.add([mark], ids, np.array([len(ids)]))
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Remember the ids of ``words``, which follow each other in ``ids``."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.entries + len(words) > len(self.begins):
+            self.begins, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begins, self.lengths))
+        self.ids[self.used : self.used + len(ids)] = ids
+        own = slice(self.entries, self.entries + len(words))
+        self.lengths[own], self.begins[own] = lengths, self.used + np.cumsum(lengths) - lengths
+        self.known.update(zip(words, range(self.entries, self.entries + len(words)), strict=True))
+        self.used, self.entries = self.used + len(ids), self.entries + len(words)
+
+    def learn(self, words: list[str]) -> None:
+        """Remember new ``words``."""
+        stems = {w: w[:-1] for w in words if w[-1] in MARKS and w[:-1].isalpha()}
+        new = {x for w in words if (x := stems.get(w, w)) not in self.known}
+        plain, rest = [w for w in new if w.isalpha()], [w for w in new if not w.isalpha()]
         parts = [plain[i : i + 500] for i in range(0, len(plain), 500)]
         lines = self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)
         for part, line in zip(parts, lines, strict=True):
             ids = np.array(line.ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part):
-                raw, at = ids.tobytes(), 0
-                for w, cut in zip(part, cuts.tolist(), strict=True):
-                    self.known[w] = raw[4 * at : 4 * cut]
-                    at = cut
+                self.add(part, ids, np.diff(cuts, prepend=0))
             else:
-                for w in part:
-                    self.known[w] = self.whole(w)
-        for w in stems:
-            if w not in self.known:
-                self.known[w] = self.whole(w)
-        for w in words:
-            if w not in self.known:
-                # a stop or comma behind letters is a piece of its own
-                self.known[w] = self.known[w[:-1]] + self.known[w[-1]] if w[:-1].isalpha() else self.whole(w)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes | None] = []
-        cut: list[list[str] | None] = []
-        for text in texts:
-            if not text or not unicodedata.is_normalized("NFC", text) or "İ" in text or "Σ" in text or "<|" in text:
-                cut.append(None)
+                rest += part
+        for w, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.add([w], np.array(found.ids, "<u4"), np.array([len(found.ids)]))
+        for w, stem in stems.items():
+            self.known[w] = -1 - (2 * self.known[stem] + MARKS.index(w[-1]))
+
+    def by_word(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of ``texts``, and where each text's begin; they are in lower case and cut at spaces."""
+        words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        distinct = words.flatten().dictionary_encode()
+        names = distinct.dictionary.to_pylist()
+        new = [w for w in names if w not in self.known]
+        if len(self.known) + len(new) > MEMORY_WORDS:
+            self.forget()
+            new = [w for w in names if w not in self.known]
+        self.learn(new)
+        codes = np.fromiter(map(self.known.__getitem__, names), "i8", len(names))[distinct.indices.to_numpy()]
+        double = codes < 0
+        stem, mark = np.where(double, (-1 - codes) >> 1, codes), 1 + ((-1 - codes) & 1)
+        entries = np.repeat(stem, 1 + double)
+        entries[(np.cumsum(1 + double) - 1)[double]] = mark[double]
+        lengths = self.lengths[entries]
+        ends = np.concatenate([[0], np.cumsum(self.lengths[stem] + np.where(double, self.lengths[mark], 0))])
+        return gathered(self.ids, self.begins[entries], lengths), ends[words.offsets.to_numpy()]
+
+    def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all ``texts``, each followed by ``end_id``, and where each text's begin."""
+        lines, odd = [], []
+        for i, text in enumerate(texts):
+            if self.by_words and (not text or unicodedata.is_normalized("NFC", text) and not ("İ" in text or "Σ" in text or "<|" in text)):
+                lines.append((text or "").lower().replace("\n", " "))
             else:
-                cut.append(text.lower().replace("\n", " ").split(" "))
-        all_words: set[str] = set()
-        for words in cut:
-            if words:
-                all_words.update(words)
-        all_words.discard("")
-        new = {w for w in all_words if w not in self.known}
-        if new:
-            if len(self.known) + len(new) > MEMORY_WORDS:
-                self.known.clear()
-                new = all_words
-            self.learn(new)
-        self.known[""] = b""
-        get = self.known.__getitem__
-        for text, words in zip(texts, cut, strict=True):
-            out.append(b"".join(map(get, words)) if words is not None else self.whole(text or ""))
-        return out
+                lines.append("")
+                odd.append(i)
+        ids, begins = self.by_word(lines)
+        if odd:
+            parts = [ids[a:b] for a, b in zip(begins, begins[1:], strict=False)]
+            for i in odd:
+                parts[i] = self.whole(texts[i] or "")
+            ids, begins = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        out = np.full(len(ids) + len(texts), end_id, "<u4")
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), np.diff(begins))] = ids
+        return out, begins + np.arange(len(begins))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -125,14 +179,11 @@ def write_tokens(docs: DataFrame, to: str, tokenizer: str = TOKENIZER, end_id: i
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer_path(tokenizer))
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = [x + end for x in coder.encode(part.column(1).to_pylist())]
-                offsets = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype="i4")
-                values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "token_ids"])
+            for part in pieces(batch, PIECE_ROWS, PIECE_BYTES):
+                ids, begins = coder.encode(part.column(1).to_pylist(), end_id)
+                values = pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(begins.astype("i4")), values)], ["doc_id", "token_ids"])
 
     tasks = tasks or tasks_for(docs.sparkSession)
     dealt = docs.select("doc_id", "text").repartitionByRange(tasks, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
