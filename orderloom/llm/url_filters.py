@@ -2,10 +2,12 @@
 
 Every URL becomes all pairs of a suffix of its host (whole labels) and a prefix of its path (of the lengths that
 rules have). Expressions and rules meet in an equi-join on the first 32 bits of SHA-256; the whole digest
-confirms; of the rules that fit, the longest wins (then the one with the longer host).
+confirms; of the rules that fit, the longest wins (then the one with the longer host). Where one host and path is given with
+several verdicts, the last in code point order holds: block before allow.
 
 Edge cases: a url that is null or has no ``://`` has an empty host and path and fits no rule; an empty path
-fits only rules with an empty path; repeated rows and null ids stay separate rows; an empty table gives no rows.
+fits only rules with an empty path; repeated rows and null ids stay separate rows; an empty table gives no rows; the names of
+added columns are lengthened by _ where ``urls`` has such columns.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, own_columns, table, with_rows
 
 #: (verdict, host, path) of the contract.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -50,14 +52,15 @@ def short(d: Column) -> Column:
 
 def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url") -> DataFrame:
     """``urls`` with host, path, rule and verdict. ``rules``: (verdict, host, path), a row for each rule."""
-    known = rules.select("verdict", "host", "path").dropDuplicates(["host", "path"])
+    known = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     known = known.withColumn("digest", digest(F.col("host"), F.col("path"))).withColumn("short", short(F.col("digest")))
     lengths = sorted(r[0] for r in rules.select(F.char_length("path")).distinct().collect())  # lengths of paths, not rules
     known = known.select(F.struct((F.char_length("host") + F.char_length("path")).alias("length"), F.char_length("host").alias("host_length"), F.concat("host", "path").alias("rule"), "verdict", "digest").alias("found"), "short")
     few = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
 
-    own = [F.col(c) for c in urls.columns]
-    rows = urls.select(F.struct(*own).alias("page"), F.monotonically_increasing_id().alias("row"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
+    row = free_name(urls, "row")
+    numbered = with_rows(urls, row)
+    rows = numbered.select(F.struct(*own_columns(urls)).alias("page"), F.col(row).alias("row"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
     tried = rows.select("row", F.explode(expressions(F.col("host"), F.col("path"), lengths or [0])).alias("e"))
     tried = tried.withColumn("digest", digest(F.col("e.host"), F.col("e.path"))).select("row", "digest", short(F.col("digest")).alias("short"))
     if few:
@@ -67,12 +70,13 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", url: str =
         met = tried.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["short", "salt"])
     best = met.where("digest = found.digest").groupBy("row").agg(F.max("found").alias("best"))
     out = rows.join(best, "row", "left")
-    return out.select("page.*", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    names = [free_name(urls, x) for x in ("host", "path", "rule", "verdict")]
+    return out.select("page.*", *(c.alias(x) for c, x in zip([F.col("host"), F.col("path"), F.col("best.rule"), F.coalesce("best.verdict", F.lit(default))], names, strict=True)))
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
-    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+    return judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES = {"op5_url_filters": op5_url_filters}
