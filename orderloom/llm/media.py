@@ -1,7 +1,7 @@
 """Media columns: Netpbm and BMP images as numpy arrays, area-resized, tiled as NPY, with difference hashes.
 
 ``decode`` reads binary PGM and PPM (P5, P6; 8 bits) and uncompressed BMP (8-bit palette, 24 and 32 bits; bottom-up or top-down).
-``resize`` averages over areas with integral images, fractional edges weighted. Tiles are NPY files in a
+``resize`` averages over areas with integral images, fractional edges weighted; it takes memory for a strip of lines, not for the image. Tiles are NPY files in a
 binary column. The images here carry texts: 192 bytes are one line of 64 RGB pixels, padded with spaces.
 
 Edge cases: a null or empty text is one line of spaces; images of any height, down to one line, can be resized; repeated rows give
@@ -83,22 +83,37 @@ def decode(data: bytes) -> np.ndarray:
     return _decode_bmp(data) if data[:2] == b"BM" else _decode_netpbm(data)
 
 
+#: Samples of an image that are summed up at once.
+STRIP = 1 << 18
+
+
 def resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Means over the areas of a height x width grid, in float64, from an integral image."""
-
-    def along(sums: np.ndarray, parts: int) -> np.ndarray:
-        """Sums up to each of parts + 1 fractional edges of axis 0."""
-        edges = np.arange(parts + 1) * ((len(sums) - 1) / parts)
-        low = np.minimum(edges.astype("i8"), len(sums) - 2)
-        share = (edges - low).reshape(-1, *[1] * (sums.ndim - 1))
-        return sums[low] * (1 - share) + sums[low + 1] * share
-
-    integral = np.zeros((pixels.shape[0] + 1, pixels.shape[1] + 1, *pixels.shape[2:]))
-    integral[1:, 1:] = pixels.cumsum(0, dtype="f8").cumsum(1)
-    at = along(integral, height)
-    at = along(at.swapaxes(0, 1), width).swapaxes(0, 1)
+    """Means over the areas of a height x width grid, in float64, from an integral image that is made in strips of lines."""
+    lines, columns = pixels.shape[:2]
+    down, across = np.arange(height + 1) * (lines / height), np.arange(width + 1) * (columns / width)
+    low = np.minimum(across.astype("i8"), columns - 1)
+    share = (across - low).reshape(1, -1, *[1] * (pixels.ndim - 2))
+
+    def edges(sums: np.ndarray) -> np.ndarray:
+        """Of sums along the lines, those up to each fractional edge."""
+        return sums[:, low] * (1 - share) + sums[:, low + 1] * share
+
+    above = np.zeros((1, width + 1, *pixels.shape[2:]))
+    at = np.zeros((height + 1, *above.shape[1:]))
+    step = max(1, STRIP // max(1, int(np.prod(pixels.shape[1:]))))
+    for begin in range(0, lines, step):
+        strip = pixels[begin : begin + step]
+        sums = np.zeros((len(strip), columns + 1, *pixels.shape[2:]))
+        sums[:, 1:] = strip.cumsum(1, dtype="f8")
+        integral = np.concatenate([above, above + edges(sums).cumsum(0)])
+        last = begin + len(strip)
+        own = np.flatnonzero((down > begin) & ((down <= last) | (last == lines)))
+        line = np.minimum(down[own].astype("i8"), last - 1) - begin
+        part = (down[own] - begin - line).reshape(-1, *[1] * (pixels.ndim - 1))
+        at[own] = integral[line] * (1 - part) + integral[line + 1] * part
+        above = integral[-1:]
     areas = np.diff(np.diff(at, axis=0), axis=1)
-    return areas * (height * width / (pixels.shape[0] * pixels.shape[1]))
+    return areas * (height * width / (lines * columns))
 
 
 def npy(pixels: np.ndarray) -> bytes:
@@ -108,12 +123,12 @@ def npy(pixels: np.ndarray) -> bytes:
 
 
 def grey(pixels: np.ndarray) -> np.ndarray:
-    return pixels @ np.array([0.299, 0.587, 0.114]) if pixels.ndim == 3 else pixels.astype("f8")
+    return pixels @ np.array([0.299, 0.587, 0.114]) if pixels.ndim == 3 else pixels
 
 
 def difference_hash(pixels: np.ndarray, side: int = HASH_SIDE) -> str:
     """side * side bits in hex: is a cell brighter than its right neighbour?"""
-    small = np.round(resize(grey(pixels), side, side + 1), 6)
+    small = np.round(grey(resize(pixels, side, side + 1)), 6)
     return np.packbits(small[:, :-1] > small[:, 1:]).tobytes().hex()
 
 
