@@ -17,6 +17,7 @@ import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,7 @@ WORD_STEPS = {
     },
 }
 MARKS = ".,"
+UNKNOWN = -(1 << 62)
 
 
 def gathered(values: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -125,12 +127,15 @@ class Encoder:
         words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         distinct = words.flatten().dictionary_encode()
         names = distinct.dictionary.to_pylist()
-        new = [w for w in names if w not in self.known]
+        codes = np.fromiter(map(self.known.get, names, repeat(UNKNOWN)), "i8", len(names))
+        new = np.flatnonzero(codes == UNKNOWN).tolist()
         if len(self.known) + len(new) > MEMORY_WORDS:
             self.forget()
-            new = [w for w in names if w not in self.known]
-        self.learn(new)
-        codes = np.fromiter(map(self.known.__getitem__, names), "i8", len(names))[distinct.indices.to_numpy()]
+            new = [k for k, w in enumerate(names) if w not in self.known]
+            codes = np.fromiter(map(self.known.get, names, repeat(UNKNOWN)), "i8", len(names))
+        self.learn([names[k] for k in new])
+        codes[new] = [self.known[names[k]] for k in new]
+        codes = codes[distinct.indices.to_numpy()]
         double = codes < 0
         stem, mark = np.where(double, (-1 - codes) >> 1, codes), 1 + ((-1 - codes) & 1)
         entries = np.repeat(stem, 1 + double)
