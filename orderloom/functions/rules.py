@@ -73,6 +73,7 @@ def order_value_tier(amount: Column | str, high: float = 1000, medium: float = 1
     return band(amount, [(high, "high_value"), (medium, "medium_value")], "low_value")
 
 
+# fixed values
 STATUS_GROUPS = {"active": ("pending", "processing"), "fulfilled": ("shipped", "delivered"), "cancelled": ("cancelled", "refunded")}
 SHIPMENT_GROUPS = {"preparing": ("pending", "processing"), "in_transit": ("shipped", "in_transit"), "delivered": ("delivered",), "exception": ("returned", "lost", "damaged")}
 
@@ -81,6 +82,7 @@ def grouped(value: Column | str, groups: dict[str, tuple[str, ...]], otherwise:
     return first_match([(col(value).isin(*members), name) for name, members in groups.items()], otherwise)
 
 
+# fixed values
 LTV_FACTORS = {"vip": 2.5, "champion": 2.0, "loyal_customer": 1.8, "potential_loyalist": 1.5}
 
 
@@ -112,6 +114,7 @@ def record_hash(*columns: Column | str) -> Column:
     return F.sha2(F.concat_ws("|", *(F.coalesce(col(c).cast("string"), F.lit("")) for c in columns)), 256)
 
 
+# fixed values
 AGE_STEPS = [(65, "65+"), (55, "55-64"), (45, "45-54"), (35, "35-44"), (25, "25-34"), (18, "18-24")]
 
 
@@ -130,8 +133,8 @@ def customer_tier(clv: Column | str) -> Column:
 # fixed values: countries of each region
 REGIONS = {
     "North America": ("US", "CA", "MX"),
-    "Europe": ("GB", "DE", "FR", "IT", "ES", "NL", "BE", "CH", "AT", "SE", "NO", "DK", "FI"),
-    "Asia Pacific": ("JP", "CN", "KR", "IN", "SG", "TH", "MY", "ID", "PH", "VN"),
+    "Europe": ("GB", "DE", "FR", "IT", "ES", "NL", "BE", "AT", "CH", "SE", "NO", "DK", "FI"),
+    "Asia Pacific": ("JP", "KR", "CN", "IN", "SG", "TH", "MY", "ID", "PH", "VN"),
     "Oceania": ("AU", "NZ"),
     "South America": ("BR", "AR", "CL", "CO", "PE", "VE"),
     "Africa": ("ZA", "NG", "EG", "KE", "MA"),

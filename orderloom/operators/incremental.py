@@ -90,3 +90,12 @@ def current_watermarks(log: DataFrame) -> DataFrame:
     """The state of each (table, column) from an append-only log (table_name, column_name, watermark, written_at); a schema prefix does not count."""
     name = F.element_at(F.split("table_name", r"\."), -1)
     return log.withColumn("table_name", name).groupBy("table_name", "column_name").agg(F.max_by("watermark", "written_at").alias("watermark"), F.max("written_at").alias("written_at"))
+
+
+def numbered(df: DataFrame, bucket: Column, *order: str, name: str = "id") -> DataFrame:
+    """Rows numbered from 1 in the order of ``bucket``, then ``order``: no task gets more than a bucket, one row for each bucket is summed up."""
+    df = df.withColumn("bucket_", bucket)
+    before = F.sum("n").over(Window.orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = df.groupBy("bucket_").agg(F.count(F.lit(1)).alias("n")).select("bucket_", F.coalesce(before, F.lit(0)).alias("ahead_"))
+    nth = F.row_number().over(Window.partitionBy("bucket_").orderBy(*order))
+    return df.withColumn("nth_", nth).join(ahead, "bucket_").withColumn(name, F.col("ahead_") + F.col("nth_")).drop("bucket_", "nth_", "ahead_")

@@ -227,24 +227,44 @@ def order_business_metrics() -> dict[str, Column]:
 
 
 def customer_history() -> dict[str, Column]:
-    """Order number, gap and running totals inside a customer, in order of date and id; one sort for all."""
-    w = Window.partitionBy("customer_id").orderBy("order_date", "order_id")
+    """Order number, gap and running totals inside a customer, in order of date and id; one sort for all. ``part_`` cuts orders without a customer by day."""
+    w = Window.partitionBy("customer_id", "part_").orderBy("order_date", "order_id")
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return {
         "customer_order_sequence": F.row_number().over(w).cast("long"),
-        "days_since_previous_order": F.coalesce(days_between(F.col("order_date"), F.lag("order_date").over(w)), F.lit(0)),
+        "previous_": F.lag("order_date").over(w),
         "cumulative_customer_value": F.sum("total_amount").over(so_far),
         "cumulative_order_count": F.count(F.lit(1)).over(so_far),
     }
 
 
+def days_without_customer(orders: DataFrame) -> DataFrame:
+    """(part_, orders, value and last date of the days before) of orders without a customer: a row for each day."""
+    days = orders.where("customer_id is null").groupBy(F.to_date("order_date").alias("part_")).agg(F.count(F.lit(1)).alias("n"), F.sum("total_amount").alias("v"), F.max("order_date").alias("d"))
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    return days.select("part_", F.sum("n").over(before).alias("orders_before_"), F.sum("v").over(before).alias("value_before_"), F.max("d").over(before).alias("date_before_"))
+
+
 CUSTOMER_COLUMNS = ("customer_segment", "customer_frequency_segment", "customer_value_segment", "loyalty_segment", "is_active_buyer")
 
 
-def fact_orders(combined: DataFrame, customers: DataFrame) -> DataFrame:
+def fact_orders(combined: DataFrame, customers: DataFrame, orders: DataFrame | None = None) -> DataFrame:
+    """Orders with shipments, customer and history. ``orders``: the orders alone, if at hand; orders without a customer are one long history."""
     who = customers.select("customer_id", *CUSTOMER_COLUMNS, F.col("country").alias("customer_country"))
-    j = combined.join(who, "customer_id", "left")
-    return j.withColumns(calendar_parts("order_date") | order_business_metrics()).withColumns(customer_history())
+    j = combined.join(who, "customer_id", "left").withColumn("part_", F.when(F.col("customer_id").isNull(), F.to_date("order_date")))
+    j = j.withColumns(calendar_parts("order_date") | order_business_metrics()).withColumns(customer_history())
+    j = j.join(F.broadcast(days_without_customer(combined if orders is None else orders)), "part_", "left")  # a row for each day
+    none = F.lit(0)
+    ahead = F.coalesce("orders_before_", none)
+    j = j.withColumns(
+        {
+            "customer_order_sequence": F.col("customer_order_sequence") + ahead,
+            "cumulative_order_count": F.col("cumulative_order_count") + ahead,
+            "cumulative_customer_value": F.when(F.col("value_before_").isNull(), F.col("cumulative_customer_value")).otherwise(F.coalesce("cumulative_customer_value", none) + F.col("value_before_")),
+            "days_since_previous_order": F.coalesce(days_between(F.col("order_date"), F.coalesce("previous_", "date_before_")), none),
+        }
+    )
+    return j.drop("part_", "previous_", "orders_before_", "value_before_", "date_before_")
 
 
 def revenue_daily(fact: DataFrame) -> DataFrame:
@@ -293,7 +313,7 @@ def segment_analysis(customers: DataFrame, now: Column) -> DataFrame:
     return s.withColumn("avg_customer_value", safe_divide("segment_revenue", "customer_count"))
 
 
-#: action and priority by segment, for customers who may be written to
+# fixed values: action and priority by segment, for customers who may be written to
 ACTIONS = {
     "vip": ("vip_exclusive_offers", 9),
     "champion": ("loyalty_rewards", 7),

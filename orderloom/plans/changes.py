@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import cached_property, reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import incremental as I
 from ..operators import quality as Q
+from ..operators import replication as P
 from ..operators import runlog as L
 from ..sources import retail
+from ..sources.storage import scan_since, scratch, write_sink
 from .results import parse, result, result_sql
 from .warehouse import FACT, MODELS_SQL, NOW, Warehouse
 
@@ -18,27 +22,33 @@ CUT = "2024-01-20 00:00:00"
 class Changes(Warehouse):
     """The warehouse, a replication source and target, a change feed and a run log, all derived from the given tables."""
 
-    def __init__(self, spark, sf_dir):
-        super().__init__(spark, sf_dir)
-        ev = retail.read(spark, sf_dir, "events")
-        self.events = ev
-        self.source = ev.select("event_id", "ts", "event_type", F.round(F.col("value") * 100).cast("long").alias("cents"))
-        self.target = self.source.where(F.col("ts") < self.cut).withColumn("cents", F.when(F.col("event_id") % 10 == 0, F.col("cents") + 1).otherwise(F.col("cents")))
-        o = retail.read(spark, sf_dir, "orders")
+    events = cached_property(lambda self: retail.read(self.spark, self.sf_dir, "events"))
+    source = cached_property(lambda self: self.events.select("event_id", "ts", "event_type", F.round(F.col("value") * 100).cast("long").alias("cents")))
+    runs = cached_property(lambda self: L.task_metrics(self.log).join(L.performance(self.log).select("run_id", "success_rate", "failure_rate", "avg_seconds", "score"), "run_id"))
+
+    @cached_property
+    def target(self) -> DataFrame:
+        changed = F.when(F.col("event_id") % 10 == 0, F.col("cents") + 1).otherwise(F.col("cents"))
+        return self.source.where(F.col("ts") < self.cut).withColumn("cents", changed)
+
+    @cached_property
+    def feed(self) -> DataFrame:
         k = F.col("o_orderkey")
-        feed = o.withColumn("nth", F.explode(F.sequence(F.lit(0), (k % 3).cast("int"))))
-        self.feed = feed.select(
+        feed = retail.read(self.spark, self.sf_dir, "orders").withColumn("nth", F.explode(F.sequence(F.lit(0), (k % 3).cast("int"))))
+        return feed.select(
             k.alias("order_key"), "nth", retail.plus_days(F.col("o_orderdate"), F.col("nth") * 2).alias("changed_at"),
             F.when((k % 100 == 99) & (F.col("nth") == k % 3), "DELETE").when(F.col("nth") == 0, "INSERT").otherwise("UPDATE").alias("operation_type"),
             F.when((F.col("nth") == 2) & (k % 2 == 0), "closed").when(F.col("nth") == 0, "new").otherwise("open").alias("status"),
         )
+
+    @cached_property
+    def log(self) -> DataFrame:
         e = F.col("event_id")
-        self.log = ev.select(
+        return self.events.select(
             F.col("user_id").alias("run_id"), e.alias("task_id"), F.col("event_type").alias("task_kind"), F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("state"),
             (F.round(F.col("value") * 100).cast("long") / 10.0).alias("seconds"), (e % 3).alias("retries"),
             F.when(e % 4 == 0, "Connection refused").when(e % 4 == 1, "read TIMEOUT").when(e % 4 == 2, "validation failed").otherwise("out of disk").alias("error"),
         )
-        self.runs = L.task_metrics(self.log).join(L.performance(self.log).select("run_id", "success_rate", "failure_rate", "avg_seconds", "score"), "run_id")
 
     @property
     def cut(self) -> Column:
@@ -127,6 +137,58 @@ def versions_of(w) -> DataFrame:
     return I.versions(w.feed, ["order_key"], "changed_at", "nth")
 
 
+COLUMN_COUNTS = {"region": 2, "nation": 3, "customer": 5, "orders": 6, "events": 6}
+
+
+def _column_counts(w) -> DataFrame:
+    """The columns that each given table has, against what is expected of it."""
+    return w.spark.createDataFrame([(t, len(retail.read(w.spark, w.sf_dir, t).columns), n) for t, n in COLUMN_COUNTS.items()], "table_name string, columns long, n long").withColumn("as_expected", F.col("columns") == F.col("n"))
+
+
+def _replicated(w) -> DataFrame:
+    """A batch upserted into a stored target, which is written and read back."""
+    to = scratch(w.spark, "replicated")
+    I.upsert(w.target, _late(w), ["event_id"], ["ts"]).write.parquet(to)
+    return I.upsert_counts(w.target, _late(w), ["event_id"]).join(w.spark.read.parquet(to).agg(F.count(F.lit(1)).alias("held")))  # one row each
+
+
+def _run_three_times(w) -> tuple[list[DataFrame], str]:
+    """The target's rows, then the source's, then nothing new, replicated into one table."""
+    to, state = scratch(w.spark, "replica"), scratch(w.spark, "replica-state")
+    checks = [Q.not_null("event_id"), Q.not_null("ts"), Q.row_count(1, None)]
+    how = {"target": to, "state": state, "table": "events", "watermark": "ts", "keys": ["event_id"], "at": w.now, "checks": checks, "lag_tolerance": 3600}
+    return [P.replicate(source, **how) for source in (w.target, w.source, w.source)], to
+
+
+def _replication_runs(w) -> DataFrame:
+    return reduce(DataFrame.unionByName, (r.withColumn("run", F.lit(k + 1)) for k, r in enumerate(_run_three_times(w)[0])))
+
+
+def _replication_target(w) -> DataFrame:
+    _, to = _run_three_times(w)
+    return P.target_table(w.spark, to, 2)
+
+
+def _scanned(w) -> DataFrame:
+    to = scratch(w.spark, "scan")
+    write_sink(w.source, to)
+    return scan_since(w.spark, "ts", w.cut, path=to)
+
+
+def _sunk(w) -> DataFrame:
+    to = scratch(w.spark, "sink")
+    write_sink(w.target, to)
+    write_sink(w.source, to)
+    return w.spark.read.parquet(to)
+
+
+def _saved_checks(w) -> DataFrame:
+    to = scratch(w.spark, "quality-results")
+    for name in SUITES:
+        Q.save_results(_suite(name)[0](w), to, f"batch-{name}", w.now)
+    return w.spark.read.parquet(to)
+
+
 #: query: (function, columns, SQL after the derived tables)
 QUERIES = {
     "check_not_null": _suite("orders", "not_null"),
@@ -143,7 +205,7 @@ QUERIES = {
     "duplicate_count": (lambda w: Q.rows_beyond_first(w.raw_customers, ["country"]), "duplicates:l", "SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT country FROM raw_customers)) AS duplicates FROM raw_customers"),
     "batch_range_check": (lambda w: w.raw_orders.agg(Q.failing(F.col("total_amount") < 20).alias("below"), Q.failing(F.col("total_amount") > 5000).alias("above")), "below:l above:l", "SELECT count(*) FILTER (total_amount < 20) AS below, count(*) FILTER (total_amount > 5000) AS above FROM raw_orders"),
     "batch_count_check": (lambda w: w.raw_orders.agg(F.count(F.lit(1)).alias("n")).select("n", F.when(F.col("n").between(1, 10000000), "ok").otherwise("error").alias("severity")), "n:l severity", "SELECT count(*) AS n, CASE WHEN count(*) BETWEEN 1 AND 10000000 THEN 'ok' ELSE 'error' END AS severity FROM raw_orders"),
-    "check_column_count": (lambda w: w.fact.agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(len(w.fact.select(*(n for n, _ in parse(FACT)), w.now.alias("last_updated_at")).columns))), "rows:l columns:l", "SELECT count(*) AS rows, 55 AS columns FROM fact"),
+    "check_column_count": (_column_counts, "table_name columns:l as_expected:b", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS columns, count(*) = {n} AS as_expected FROM information_schema.columns WHERE table_name = '{t}'" for t, n in COLUMN_COUNTS.items())),
     "business_rules": (
         lambda w: w.raw_customers.agg(Q.failing(~F.col("email").contains("@")).alias("bad_email"), Q.failing(~F.col("registration_date").between(F.lit("2000-01-01").cast("timestamp_ntz"), w.now)).alias("bad_date")),
         "bad_email:l bad_date:l", f"SELECT count(*) FILTER (NOT contains(email, '@')) AS bad_email, count(*) FILTER (registration_date NOT BETWEEN TIMESTAMP '2000-01-01' AND {NOW}) AS bad_date FROM raw_customers"),
@@ -162,7 +224,15 @@ QUERIES = {
     "data_freshness": (lambda w: w.source.agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("latest")).select("n", "latest", ((F.col("n") >= 10) & (F.col("latest") >= w.cut)).alias("available")), "n:l latest available:b", f"SELECT count(*) AS n, max(ts) AS latest, count(*) >= 10 AND max(ts) >= TIMESTAMP '{CUT}' AS available FROM source"),
     "table_row_counts": (lambda w: w.raw_orders.agg(F.lit("orders").alias("t"), F.count(F.lit(1)).alias("n")).unionByName(w.raw_customers.agg(F.lit("customers").alias("t"), F.count(F.lit(1)).alias("n"))).unionByName(w.raw_shipments.agg(F.lit("shipments").alias("t"), F.count(F.lit(1)).alias("n"))), "t n:l", "SELECT 'orders' AS t, count(*) AS n FROM raw_orders UNION ALL SELECT 'customers', count(*) FROM raw_customers UNION ALL SELECT 'shipments', count(*) FROM raw_shipments"),
     "upsert": (lambda w: I.upsert(w.target, _late(w), ["event_id"], ["ts"]), EVENT, f"SELECT * FROM target WHERE event_id NOT IN (SELECT event_id FROM {BATCH}) UNION ALL SELECT * FROM {BATCH}"),
-    "replicate_upsert": (lambda w: I.upsert_counts(w.target, _late(w), ["event_id"]), "inserted:l updated:l", f"SELECT count(*) FILTER (event_id NOT IN (SELECT event_id FROM target)) AS inserted, count(*) FILTER (event_id IN (SELECT event_id FROM target)) AS updated FROM {BATCH}"),
+    "replicate_upsert": (_replicated, "inserted:l updated:l held:l", f"SELECT count(*) FILTER (event_id NOT IN (SELECT event_id FROM target)) AS inserted, count(*) FILTER (event_id IN (SELECT event_id FROM target)) AS updated, (SELECT count(*) FROM target WHERE event_id NOT IN (SELECT event_id FROM {BATCH})) + count(*) AS held FROM {BATCH}"),
+    "replication_run": (_replication_runs, "run:l extracted:l inserted:l updated:l held:l version:l watermark_before watermark_after", f"""
+SELECT 1 AS run, count(*) AS extracted, count(*) AS inserted, 0 AS updated, count(*) AS held, 1 AS version, NULL AS watermark_before, max(ts) AS watermark_after FROM target
+UNION ALL SELECT 2, count(*), count(*) FILTER (event_id NOT IN (SELECT event_id FROM target)), count(*) FILTER (event_id IN (SELECT event_id FROM target)), (SELECT count(DISTINCT event_id) FROM source), 2, (SELECT max(ts) FROM target), max(ts) FROM source WHERE ts > (SELECT max(ts) FROM target)
+UNION ALL SELECT 3, 0, 0, 0, count(DISTINCT event_id), 2, max(ts), max(ts) FROM source"""),
+    "replication_target": (_replication_target, EVENT, "SELECT * FROM target UNION ALL SELECT * FROM source WHERE ts > (SELECT max(ts) FROM target)"),
+    "jdbc_scan_incremental": (_scanned, EVENT, f"SELECT * FROM source WHERE ts > TIMESTAMP '{CUT}'"),
+    "jdbc_sink": (_sunk, EVENT, "SELECT * FROM target UNION ALL SELECT * FROM source"),
+    "quality_results_sink": (_saved_checks, CHECK + " batch_id", " UNION ALL ".join(f"SELECT *, 'batch-{n}' AS batch_id FROM ({_suite(n)[2]})" for n in SUITES)),
     "replicate_insert": (lambda w: w.target.unionByName(I.newer_than(w.source, w.target, "ts")), EVENT, "SELECT * FROM target UNION ALL SELECT * FROM source WHERE ts > (SELECT max(ts) FROM target)"),
     "watermark_store": (lambda w: I.current_watermarks(_watermark_log(w)), "table_name column_name watermark", "SELECT event_type AS table_name, 'ts' AS column_name, max(ts) AS watermark FROM events GROUP BY 1"),
     "replication_lag": (lambda w: I.replication_lag(w.source, w.target.groupBy("event_type").agg(F.max("ts").alias("watermark")), "ts"), "lag_seconds:l status breach:b", "SELECT CAST(floor(epoch(max(s.ts))) - floor((SELECT epoch(max(ts)) FROM target)) AS BIGINT) AS lag_seconds, 'lagging' AS status, true AS breach FROM source s"),
@@ -177,7 +247,7 @@ QUERIES = {
     "order_history": (lambda w: versions_of(w).where("effective_from >= timestamp_ntz '2000-01-01 00:00:00'").orderBy("order_key", "record_version"), VERSION, f"SELECT * FROM ({VERSION_SQL}) WHERE effective_from >= TIMESTAMP '2000-01-01'"),
     "scd2_dimension": (lambda w: I.scd2(w.feed, ["order_key"], ["status"], "changed_at", "nth"), "order_key:l status effective_date end_date is_current:b", "SELECT order_key, status, CAST(changed_at AS DATE) AS effective_date, coalesce(nxt, DATE '9999-12-31') AS end_date, nxt IS NULL AS is_current FROM (SELECT *, lead(CAST(changed_at AS DATE)) OVER w AS nxt FROM (SELECT * FROM feed QUALIFY coalesce(lag(operation_type || '|' || status) OVER (PARTITION BY order_key ORDER BY changed_at, nth) <> operation_type || '|' || status, true)) WINDOW w AS (PARTITION BY order_key ORDER BY changed_at, nth)) WHERE operation_type <> 'DELETE'"),
     "stateful_dedupe": (lambda w: w.feed.select("order_key", "status").dropDuplicates(["order_key", "status"]), "order_key:l status", "SELECT DISTINCT order_key, status FROM feed"),
-    "row_number_global": (lambda w: w.source.select("event_id", F.xxhash64("event_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids")), "n:l ids:l", "SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM source"),
+    "row_number_global": (lambda w: I.numbered(w.source, F.to_date("ts"), "ts", "event_id"), "event_id:l id:l", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS id FROM source"),
     "lateral_generate": (lambda w: w.raw_orders.select("order_id", F.explode(F.sequence(F.lit(1), (F.substring("order_id", 5, 9).cast("int") % 3 + 1))).alias("line")), "order_id line:l", "SELECT order_id, line FROM raw_orders, LATERAL (SELECT unnest(generate_series(1, CAST(substr(order_id, 5, 9) AS INTEGER) % 3 + 1)) AS line)"),
     "task_metrics": (lambda w: w.runs, "run_id:l tasks:l succeeded:l failed:l total_seconds:d retries:l longest_task:l", "SELECT * FROM runs"),
     "performance_metrics": (lambda w: w.runs, "run_id:l success_rate:d failure_rate:d avg_seconds:d score:d", "SELECT * FROM runs"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,27 +12,35 @@ from ..functions import rules as R
 from ..operators import models as M
 from ..sources import retail
 from ..sources.retail import AS_OF, RAW_SQL
+from ..sources.storage import materialize, scratch
 from .results import result, result_sql
 
 
 class Warehouse:
-    """The models over one data folder; plans compose lazily, nothing runs here."""
+    """The models over one data folder: each is built when a query asks for it, and plans compose lazily."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self.now = spark, sf_dir, retail.as_of()
-        raw = {n: getattr(retail, n)(spark, sf_dir) for n in ("raw_orders", "raw_shipments", "raw_customers", "order_items", "dim_products")}
-        self.raw_orders, self.raw_shipments, self.raw_customers, self.order_items, self.dim_products = raw.values()
-        self.stg_orders = M.stg_orders(self.raw_orders)
-        self.stg_customers = M.stg_customers(self.raw_customers, self.now)
-        self.stg_shipments = M.stg_shipments(self.raw_shipments)
-        self.metrics = M.customer_order_metrics(self.stg_orders, self.now)
-        self.summary = M.order_shipment_summary(self.stg_shipments)
-        self.combined = M.order_shipment_combined(self.stg_orders, self.summary)
-        self.dim = M.dim_customers(self.stg_customers, self.metrics)
-        self.fact = M.fact_orders(self.combined, self.dim)
-        self.daily = M.revenue_daily(self.fact)
-        self.segments = M.segment_analysis(self.dim, self.now)
-        self.segmentation = M.customer_segmentation(self.dim, self.segments)
+
+    def raw(self, name: str) -> DataFrame:
+        return getattr(retail, name)(self.spark, self.sf_dir)
+
+    raw_orders = cached_property(lambda self: self.raw("raw_orders"))
+    raw_shipments = cached_property(lambda self: self.raw("raw_shipments"))
+    raw_customers = cached_property(lambda self: self.raw("raw_customers"))
+    order_items = cached_property(lambda self: self.raw("order_items"))
+    dim_products = cached_property(lambda self: self.raw("dim_products"))
+    stg_orders = cached_property(lambda self: M.stg_orders(self.raw_orders))
+    stg_customers = cached_property(lambda self: M.stg_customers(self.raw_customers, self.now))
+    stg_shipments = cached_property(lambda self: M.stg_shipments(self.raw_shipments))
+    metrics = cached_property(lambda self: M.customer_order_metrics(self.stg_orders, self.now))
+    summary = cached_property(lambda self: M.order_shipment_summary(self.stg_shipments))
+    combined = cached_property(lambda self: M.order_shipment_combined(self.stg_orders, self.summary))
+    dim = cached_property(lambda self: M.dim_customers(self.stg_customers, self.metrics))
+    fact = cached_property(lambda self: M.fact_orders(self.combined, self.dim, self.stg_orders))
+    daily = cached_property(lambda self: M.revenue_daily(self.fact))
+    segments = cached_property(lambda self: M.segment_analysis(self.dim, self.now))
+    segmentation = cached_property(lambda self: M.customer_segmentation(self.dim, self.segments))
 
 
 EMAIL_SQL = r"'^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$'"
@@ -189,13 +200,19 @@ PLAIN = {
 
 
 def _monthly(w: Warehouse) -> DataFrame:
-    days = dim_date(w.spark, "1995-01-01", "2002-12-31")
+    days = dim_date(order_days(w))
     return w.fact.withColumn("date_key", F.date_format("order_date", "yyyyMMdd").cast("long")).join(F.broadcast(days), "date_key").groupBy("year", "month", "month_name").agg(F.count(F.lit(1)).alias("orders"), F.sum("total_amount").alias("revenue")).orderBy("year", "month")  # a row for each day
 
 
-def dim_date(spark: SparkSession, first: str, last: str) -> DataFrame:
-    """A row for each day: key, parts, names, weekend."""
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("date"))
+def order_days(w: Warehouse) -> DataFrame:
+    """The whole years in which orders were placed, as one row (first, last)."""
+    day = F.to_date("order_date")
+    return w.raw_orders.agg(F.trunc(F.min(day), "year").alias("first"), F.date_sub(F.add_months(F.trunc(F.max(day), "year"), 12), 1).alias("last"))
+
+
+def dim_date(span: DataFrame) -> DataFrame:
+    """A row for each day from first to last: key, parts, names, weekend."""
+    days = span.select(F.explode(F.sequence("first", "last")).alias("date"))
     dow = F.dayofweek("date")
     return days.select(
         F.date_format("date", "yyyyMMdd").cast("long").alias("date_key"), "date", F.year("date").alias("year"), F.quarter("date").alias("quarter"), F.month("date").alias("month"), F.date_format("date", "MMMM").alias("month_name"),
@@ -203,7 +220,23 @@ def dim_date(spark: SparkSession, first: str, last: str) -> DataFrame:
     )
 
 
-DATE_SQL = """SELECT CAST(strftime(d, '%Y%m%d') AS BIGINT) AS date_key, d AS date, year(d) AS year, quarter(d) AS quarter, month(d) AS month, monthname(d) AS month_name, weekofyear(d) AS week, dayofyear(d) AS day_of_year, day(d) AS day, dayofweek(d) AS day_of_week, dayname(d) AS day_name, dayofweek(d) IN (0, 6) AS is_weekend, false AS is_holiday FROM (SELECT CAST(unnest(generate_series(DATE '{0}', DATE '{1}', INTERVAL 1 DAY)) AS DATE) AS d)"""
+def _per_file(w: Warehouse) -> DataFrame:
+    """Shipments stored with files of their own for each carrier, counted by file."""
+    to = scratch(w.spark, "by-carrier")
+    w.raw_shipments.repartition("carrier").write.partitionBy("carrier").parquet(to)
+    name = F.regexp_extract(F.col("_metadata.file_path"), "carrier=([^/]+)/", 1)
+    return w.spark.read.parquet(to).groupBy(name.alias("source_file")).count()
+
+
+def _materialized(w: Warehouse) -> DataFrame:
+    """A staging model as a view and a mart as a table, both read by name."""
+    view, mart = (f"{n}_{uuid.uuid4().hex}" for n in ("stg_orders", "dim_customers"))
+    materialize(w.stg_orders, view, "staging")
+    materialize(w.dim, mart, "marts", path=scratch(w.spark, "marts"))
+    return w.spark.table(mart).join(w.spark.table(view), "customer_id").groupBy("customer_id", "customer_segment").agg(F.count("order_id").alias("orders"))
+
+
+DATE_SQL = """SELECT CAST(strftime(d, '%Y%m%d') AS BIGINT) AS date_key, d AS date, year(d) AS year, quarter(d) AS quarter, month(d) AS month, monthname(d) AS month_name, weekofyear(d) AS week, dayofyear(d) AS day_of_year, day(d) AS day, dayofweek(d) AS day_of_week, dayname(d) AS day_name, dayofweek(d) IN (0, 6) AS is_weekend, false AS is_holiday FROM (SELECT CAST(unnest(generate_series(low, high, INTERVAL 1 DAY)) AS DATE) AS d FROM (SELECT date_trunc('year', min(order_date)) AS low, date_trunc('year', max(order_date)) + INTERVAL 1 YEAR - INTERVAL 1 DAY AS high FROM raw_orders))"""
 STATUSES = ["pending", "processing", "shipped", "delivered", "cancelled", "refunded"]
 
 #: query: (function of the warehouse, columns, sql after the models)
@@ -211,7 +244,7 @@ OTHER = {
     "valid_row_filter": (lambda w: M.valid_rows(w.raw_orders), "order_id total_amount:d", "SELECT * FROM raw_orders WHERE is_valid"),
     "non_null_key_filter": (lambda w: M.with_key(w.stg_orders, "customer_id"), "order_id customer_id", "SELECT * FROM stg_orders WHERE customer_id IS NOT NULL"),
     "run_date_filter": (lambda w: w.stg_orders.where(F.to_date("order_date") == F.date_sub(F.to_date(w.now), 1)), "order_id order_date total_amount:d", f"SELECT * FROM stg_orders WHERE CAST(order_date AS DATE) = CAST({NOW} AS DATE) - 1"),
-    "monthly_order_trend": (_monthly, "year:l month:l month_name orders:l revenue:d", f"SELECT year, month, month_name, count(*) AS orders, sum(total_amount) AS revenue FROM fact JOIN ({DATE_SQL.format('1995-01-01', '2002-12-31')}) ON date_key = CAST(strftime(order_date, '%Y%m%d') AS BIGINT) GROUP BY 1, 2, 3"),
+    "monthly_order_trend": (_monthly, "year:l month:l month_name orders:l revenue:d", f"SELECT year, month, month_name, count(*) AS orders, sum(total_amount) AS revenue FROM fact JOIN ({DATE_SQL}) ON date_key = CAST(strftime(order_date, '%Y%m%d') AS BIGINT) GROUP BY 1, 2, 3"),
     "category_performance": (
         lambda w: w.fact.select("order_id").join(w.order_items, "order_id").join(w.dim_products.where("is_current"), "product_key").groupBy("category").agg(F.countDistinct("order_id").alias("orders"), F.sum("line_amount").alias("revenue"), F.avg(R.product_margin("unit_price", "unit_cost")).alias("margin")),
         "category orders:l revenue:d margin:d",
@@ -228,13 +261,14 @@ OTHER = {
         "tier customers:l avg_clv:d",
         "SELECT CASE WHEN total_order_value = 0 THEN 'New' WHEN total_order_value >= 10000 THEN 'Platinum' WHEN total_order_value >= 5000 THEN 'Gold' WHEN total_order_value >= 1000 THEN 'Silver' ELSE 'Bronze' END AS tier, count(*) AS customers, avg(CAST(total_order_value AS DOUBLE)) AS avg_clv FROM dim GROUP BY 1",
     ),
-    "records_per_source_file": (lambda w: w.raw_orders.groupBy("source_system").count(), "source_system count:l", "SELECT source_system, count(*) AS count FROM raw_orders GROUP BY 1"),
+    "records_per_source_file": (_per_file, "source_file count:l", "SELECT carrier AS source_file, count(*) AS count FROM raw_shipments GROUP BY 1"),
+    "materialize_model": (_materialized, "customer_id customer_segment orders:l", "SELECT customer_id, customer_segment, count(order_id) AS orders FROM dim JOIN stg_orders USING (customer_id) GROUP BY 1, 2"),
     "pivot_order_status": (
         lambda w: R.pivot_counts(w.stg_orders, "customer_id", "order_status", STATUSES),
         "customer_id " + " ".join(f"{s}_count:l" for s in STATUSES),
         "SELECT customer_id, " + ", ".join(f"count(*) FILTER (order_status = '{s}') AS {s}_count" for s in STATUSES) + " FROM stg_orders GROUP BY 1",
     ),
-    "dim_date": (lambda w: dim_date(w.spark, "2024-01-01", "2026-12-31").join(w.raw_orders.agg(F.min("order_date").alias("since")), F.col("date") >= F.to_date("since")), "date_key:l date year:l quarter:l month:l month_name week:l day_of_year:l day:l day_of_week:l day_name is_weekend:b is_holiday:b", f"SELECT * FROM ({DATE_SQL.format('2024-01-01', '2026-12-31')})"),
+    "dim_date": (lambda w: dim_date(order_days(w)), "date_key:l date year:l quarter:l month:l month_name week:l day_of_year:l day:l day_of_week:l day_name is_weekend:b is_holiday:b", DATE_SQL),
     "ordered_output": (lambda w: w.daily.orderBy("date_day"), "date_day total_orders:l", "SELECT * FROM daily"),
     "business_metric_checks": (
         lambda w: w.fact.agg(F.count(F.lit(1)).alias("n"), F.sum("total_amount").cast("double").alias("v")).select(F.expr("stack(2, 'daily_orders', cast(n as double), n between 100 and 50000, 'daily_revenue', v, v between 1000 and 10000000) as (check_name, observed, passed)")),

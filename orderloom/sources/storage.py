@@ -6,11 +6,14 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -35,9 +38,16 @@ def read_jdbc(spark: SparkSession, url: str, table: str, where: Column | None =
     return df if where is None else df.where(where)
 
 
-def materialize(df: DataFrame, name: str, layer: str, partition_by: list[str] | None = None) -> None:
-    """A view for staging and intermediate models, a table for marts."""
+def scan_since(spark: SparkSession, watermark: str, last: Column, path: str | None = None, url: str | None = None, table: str | None = None) -> DataFrame:
+    """Rows of a JDBC table, or of a Parquet one where no URL is set, above the last watermark; the source applies the filter."""
+    newer = F.col(watermark) > last
+    return read_jdbc(spark, url, table, newer) if url else spark.read.parquet(path).where(newer)
+
+
+def materialize(df: DataFrame, name: str, layer: str, partition_by: list[str] | None = None, path: str | None = None) -> None:
+    """A view for staging and intermediate models, a table for marts, at ``path`` if it is given."""
     if layer in ("staging", "intermediate"):
         df.createOrReplaceTempView(name)
     else:
-        df.write.mode("overwrite").partitionBy(*(partition_by or [])).saveAsTable(name)
+        where = {"path": path} if path else {}
+        df.write.mode("overwrite").options(**where).partitionBy(*(partition_by or [])).saveAsTable(name)
