@@ -252,8 +252,12 @@ def fact_orders(combined: DataFrame, customers: DataFrame, orders: DataFrame | N
     """Orders with shipments, customer and history. ``orders``: the orders alone, if at hand; orders without a customer are one long history."""
     who = customers.select("customer_id", *CUSTOMER_COLUMNS, F.col("country").alias("customer_country"))
     j = combined.join(who, "customer_id", "left").withColumn("part_", F.when(F.col("customer_id").isNull(), F.to_date("order_date")))
-    j = j.withColumns(calendar_parts("order_date") | order_business_metrics()).withColumns(customer_history())
-    j = j.join(F.broadcast(days_without_customer(combined if orders is None else orders)), "part_", "left")  # a row for each day
+    return with_history(j.withColumns(calendar_parts("order_date") | order_business_metrics()), combined if orders is None else orders)
+
+
+def with_history(j: DataFrame, orders: DataFrame) -> DataFrame:
+    """``j`` (with part_) and the history columns; ``orders`` are the same orders."""
+    j = j.withColumns(customer_history()).join(F.broadcast(days_without_customer(orders)), "part_", "left")  # a row for each day
     none = F.lit(0)
     ahead = F.coalesce("orders_before_", none)
     j = j.withColumns(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,9 +11,10 @@ from ..sources import shipment_files as S
 from ..sources.storage import load_table, scratch
 from ..streaming import ingest
 from .results import result, result_sql
-from .warehouse import MODELS_SQL, Warehouse
+from .warehouse import MODELS_SQL, NOW, Warehouse
 
-PARTS = 4
+#: Files of shipments: at least so many, and one for so many rows.
+PARTS, FILE_ROWS = 4, 250_000
 
 
 class Files(Warehouse):
@@ -25,7 +27,8 @@ class Files(Warehouse):
 
     def folder(self) -> str:
         to = scratch(self.spark, "shipments-csv")
-        self.flat().repartition(PARTS, "shipment_id").write.option("header", True).option("escape", '"').csv(to)
+        parts = max(PARTS, self.raw_shipments.count() // FILE_ROWS)
+        self.flat().repartition(parts, "shipment_id").write.option("header", True).option("escape", '"').csv(to)
         return to
 
     def lines(self) -> DataFrame:
@@ -49,27 +52,62 @@ def _csv(w):
     return S.read_csv(w.spark, w.folder())[0]
 
 
-def _name(df: DataFrame) -> DataFrame:
-    """Files by their number in the folder, as their names differ from run to run."""
-    return df.withColumn("path", F.regexp_extract("path", r"part-(\d+)", 1))
+def _months(w) -> DataFrame:
+    """A manifest with a file for each month of shipments."""
+    month = F.date_format("shipped_date", "yyyy-MM")
+    return w.raw_shipments.groupBy(month.alias("path")).agg(F.sum(F.char_length("shipment_id")).alias("size"), F.max("shipped_date").cast("timestamp").alias("modified"), F.md5(F.min("shipment_id")).alias("hash"))
 
 
-def _manifest(w) -> DataFrame:
-    return S.manifest(w.spark, w.folder())
+#: the month's number, by which files are done, failed, open or not seen yet
+NTH = "CAST(substr(path, 6, 2) AS INT) % 4"
+MONTHS = "(SELECT *, CAST(substr(path, 6, 2) AS INT) % 4 AS nth FROM (SELECT strftime(shipped_date, '%Y-%m') AS path, sum(length(shipment_id)) AS size, max(shipped_date) AS modified FROM raw_shipments GROUP BY 1))"
+LOGGED = f"(SELECT path, CASE nth WHEN 0 THEN 'processed' WHEN 1 THEN 'failed' ELSE 'processing' END AS status, CASE nth WHEN 0 THEN size END AS records, CASE nth WHEN 1 THEN 'broken' END AS error FROM {MONTHS} WHERE nth < 3)"
 
 
 def _log(w, files: DataFrame) -> DataFrame:
-    part = F.regexp_extract("path", r"part-(\d+)", 1).cast("int")
-    done = S.ledger_mark(files.where(part == 0), "processed", _now(w), F.col("size"))
-    failed = S.ledger_mark(files.where(part == 1), "failed", _now(w), error="broken")
-    return done.unionByName(failed).unionByName(S.ledger_mark(files.where(part == 2), "processing", _now(w)))
+    first = S.ledger_mark(files.where(f"{NTH} < 3"), "processing", _now(w) - F.expr("interval 1 minute"))
+    done = S.ledger_mark(files.where(f"{NTH} = 0"), "processed", _now(w), F.col("size"))
+    failed = S.ledger_mark(files.where(f"{NTH} = 1"), "failed", _now(w), error="broken")
+    return first.unionByName(done).unionByName(failed)
 
 
 def _changes(w):
-    files = _manifest(w)
-    part = F.regexp_extract("path", r"part-(\d+)", 1).cast("int")
-    before = files.where(part > 0).withColumn("size", F.when(part == 1, F.col("size") + 1).otherwise(F.col("size"))).unionByName(files.where(part == 2).withColumn("path", F.lit("gone/part-99999.csv")))
-    return _name(S.file_changes(files, before))
+    files = _months(w)
+    before = files.where(f"{NTH} > 0").withColumn("size", F.when(F.expr(f"{NTH} = 1"), F.col("size") + 1).otherwise(F.col("size")))
+    return S.file_changes(files, before.unionByName(files.where(f"{NTH} = 2").withColumn("path", F.concat(F.lit("gone-"), "path"))))
+
+
+def _ready(w):
+    size = F.when(F.expr(f"{NTH} = 1"), 0).when(F.expr(f"{NTH} = 2"), 1 << 40).when(F.expr(f"{NTH} < 3"), F.col("size"))
+    return S.file_ready(_months(w).withColumn("size", size))
+
+
+def _exported(w):
+    to = scratch(w.spark, "ledger-json")
+    S.ledger_export(_log(w, _months(w)), to)
+    return w.spark.read.schema("path string, status string, records long, totals struct<files: long, failed: long>").json(to).select("path", "status", "records", "totals.files", "totals.failed")
+
+
+def _without_ids(w):
+    """Files whose header lacks a required column."""
+    to = scratch(w.spark, "no-order-ids")
+    w.flat().drop("order_id").repartition(PARTS, "shipment_id").write.option("header", True).option("escape", '"').csv(to)
+    df, warnings = S.read_with_fallback(w.spark, to)
+    return df.withColumns({"inferred": F.lit("schema was inferred" in warnings), "kind": F.lit(dict(df.dtypes)["package_count"])})
+
+
+def _schema(w):
+    """The declared columns: their order, whether they may be null, and whether a file of shipments fills them."""
+    df = _csv(w)
+    one = df.agg(*(F.count(c).alias(c) for c in S.COLUMNS))
+    rows = [F.struct(F.lit(f.name).alias("column_name"), F.lit(k).alias("place"), F.lit(f.nullable).alias("nullable"), (F.col(f.name) > 0).alias("filled")) for k, f in enumerate(S.declared_schema().fields)]
+    return one.select(F.inline(F.array(*rows)))
+
+
+FILLED = "shipment_id order_id carrier shipping_method shipment_status shipped_date estimated_delivery_date actual_delivery_date package_count shipping_cost insurance_cost is_return".split()
+SCHEMA_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, {k} AS place, {c not in S.REQUIRED} AS nullable, {f'count({c}) > 0' if c in FILLED else 'count(*) > 0' if c in ('delivery_notes', 'currency') else 'count(*) < 0'} AS filled FROM raw_shipments" for k, c in enumerate(S.COLUMNS)
+)
 
 
 def _ingested(w):
@@ -78,42 +116,68 @@ def _ingested(w):
     return ingest.ingested(w.spark, to)
 
 
-def _saved(w):
-    to = scratch(w.spark, "table")
-    load_table(w.stg_orders, to, "fail")
-    load_table(w.stg_orders.limit(0), to, "append")
-    return w.spark.read.parquet(to)
+def _archived(w):
+    to = scratch(w.spark, "ingested")
+    ingest.ingest_files(w.spark, w.folder(), to, scratch(w.spark, "ingest-state"), w.now, most_files=1, archive=scratch(w.spark, "archive"))
+    return ingest.ingested(w.spark, to)
 
 
-COUNT = "SELECT count(*) AS n FROM raw_shipments"
+def _saved(w):
+    """A table written anew, appended to, refused where it exists, and another one replaced."""
+    to, other = scratch(w.spark, "table"), scratch(w.spark, "table")
+    early = F.col("order_date") < F.lit("1998-01-01").cast("timestamp_ntz")
+    load_table(w.stg_orders.where(early), to, "fail")
+    load_table(w.stg_orders.where(~early), to, "append")
+    try:
+        load_table(w.stg_orders, to, "fail")
+        raise RuntimeError("a table that exists was written")
+    except AnalysisException:
+        pass
+    load_table(w.stg_orders, other, "fail")
+    load_table(w.stg_orders.where(early), other, "replace")
+    rows = w.spark.read.parquet(to).withColumn("how", F.lit("append"))
+    return rows.unionByName(w.spark.read.parquet(other).withColumn("how", F.lit("replace")))
+
+
+#: API records by order: the first form has the total as it is, the second one may have a bad total or currency
+API = """(SELECT order_id, customer_id, n, form, CASE WHEN form = 1 OR n % 4 <> 0 THEN CAST(total_amount AS VARCHAR) ELSE 'invalid_amount' END AS total_amount,
+  CASE WHEN form = 1 THEN 'EUR' WHEN n % 3 = 0 THEN 'INVALID' ELSE 'USD' END AS currency
+  FROM (SELECT *, CAST(substr(order_id, 5, 9) AS BIGINT) AS n, CASE WHEN CAST(substr(order_id, 5, 9) AS BIGINT) % 2 = 0 THEN 1 ELSE 2 END AS form FROM raw_orders)
+  CROSS JOIN (VALUES (1), (2)) AS copies(c) WHERE c = 1 OR n % 10 = 0)"""
+ERRORS = "concat_ws(',', CASE WHEN total_amount = 'invalid_amount' THEN 'total is no number' END, CASE WHEN length(currency) <> 3 THEN 'bad currency' END)"
+API_CHECKED = f"(SELECT *, {ERRORS} AS errors, {ERRORS} = '' AS is_valid FROM {API})"
 
 #: query: (function, columns, SQL or None)
 QUERIES = {
     "csv_scan": (lambda w: _csv(w).select("shipment_id", "carrier", "delivery_notes"), "shipment_id carrier delivery_notes", "SELECT shipment_id, carrier, 'x, \"y\"' AS delivery_notes FROM raw_shipments"),
-    "csv_scan_fallback": (lambda w: S.read_with_fallback(w.spark, w.folder())[0].agg(F.count(F.lit(1)).alias("n")), "n:l", COUNT),
-    "shipments_csv_schema": (lambda w: _csv(w).select(*S.COLUMNS).agg(F.count(F.lit(1)).alias("n")).withColumn("columns", F.lit(len(S.declared_schema()))), "n:l columns:l", "SELECT count(*) AS n, 36 AS columns FROM raw_shipments"),
-    "validate_shipments": (lambda w: S.validated(_csv(w)).where("is_valid"), "shipment_id order_id is_return currency shipping_cost:d is_valid:b", None),
+    "csv_scan_fallback": (_without_ids, "shipment_id carrier inferred:b kind", "SELECT shipment_id, carrier, true AS inferred, 'int' AS kind FROM raw_shipments"),
+    "shipments_csv_schema": (_schema, "column_name place:l nullable:b filled:b", SCHEMA_SQL),
+    "validate_shipments": (lambda w: S.validated(_csv(w)).where("is_valid"), "shipment_id order_id carrier shipping_cost:d is_valid:b", "SELECT shipment_id, order_id, carrier, shipping_cost, true AS is_valid FROM raw_shipments WHERE package_count IS NULL OR package_count <> 3"),
     "validate_shipments_stats": (lambda w: S.validation_stats(S.validated(_csv(w))), "original_rows:l valid_rows:l invalid_rows:l validation_rate:d", "SELECT count(*) AS original_rows, count(*) FILTER (package_count IS NULL OR package_count <> 3) AS valid_rows, count(*) FILTER (package_count = 3) AS invalid_rows, 1 - CAST(count(*) FILTER (package_count = 3) AS DOUBLE) / count(*) AS validation_rate FROM raw_shipments"),
     "shipments_target_schema": (lambda w: S.target_schema(S.validated(_csv(w))), "shipment_id shipped_date package_count:l shipping_cost:d weight_unit", "SELECT shipment_id, shipped_date, package_count, shipping_cost, 'kg' AS weight_unit FROM raw_shipments"),
-    "add_lineage": (lambda w: S.add_lineage(S.validated(_csv(w)), "csv", "b1", w.now).agg(F.countDistinct("record_hash").alias("hashes"), F.countDistinct("row_id").alias("rows")), "hashes:l rows:l", "SELECT count(DISTINCT shipment_id) AS hashes, count(*) AS rows FROM raw_shipments"),
+    "add_lineage": (
+        lambda w: S.add_lineage(S.validated(_csv(w)), "csv", "b1", w.now).withColumns({"hashed": F.char_length("record_hash"), "is_part": F.col("source_file").rlike(r"^part-\d+.*\.csv$"), "numbered": F.col("row_id").isNotNull()}),
+        "shipment_id source_system batch_id ingestion_timestamp hashed:l is_part:b numbered:b", f"SELECT shipment_id, 'csv' AS source_system, 'b1' AS batch_id, {NOW} AS ingestion_timestamp, 64 AS hashed, true AS is_part, true AS numbered FROM raw_shipments"),
     "load_shipments_file": (lambda w: S.load_file(w.spark, w.folder(), "b1", w.now)[0], "shipment_id order_id carrier shipping_cost:d", "SELECT shipment_id, order_id, carrier, shipping_cost FROM raw_shipments WHERE package_count IS NULL OR package_count <> 3"),
     "file_stream_ingest": (_ingested, "shipment_id order_id carrier shipping_cost:d", "SELECT shipment_id, order_id, carrier, shipping_cost FROM raw_shipments WHERE package_count IS NULL OR package_count <> 3"),
-    "raw_api_orders": (lambda w: A.raw_orders(w.lines(), "api", "b1"), "order_id customer_id total_amount currency order_items", None),
-    "validate_api_order": (lambda w: _api(w).withColumn("errors", F.array_join("errors", ",")), "order_id errors is_valid:b", None),
+    "raw_api_orders": (lambda w: A.raw_orders(w.lines(), "api", "b1"), "order_id customer_id total_amount currency order_items", f"SELECT order_id, coalesce(customer_id, '') AS customer_id, total_amount, currency, '[]' AS order_items FROM {API}"),
+    "validate_api_order": (lambda w: _api(w).withColumn("errors", F.array_join("errors", ",")), "order_id errors is_valid:b", f"SELECT order_id, errors, is_valid FROM {API_CHECKED}"),
     "api_order_dedupe_load": (lambda w: A.new_orders(_api(w), w.raw_orders.where("order_status = 'pending'")), "order_id total_amount:d", "SELECT order_id, total_amount FROM (SELECT *, CAST(substr(order_id, 5, 9) AS BIGINT) AS n FROM raw_orders) WHERE order_status <> 'pending' AND (n % 2 = 0 OR n % 3 <> 0)"),
-    "ingestion_stats": (lambda w: A.ingestion_stats(c := _api(w), A.new_orders(c, w.raw_orders.limit(0))), "fetched:l valid:l invalid:l inserted:l skipped:l success_rate:d validation_rate:d", None),
-    "table_load": (_saved, "order_id total_amount:d", "SELECT order_id, total_amount FROM stg_orders"),
-    "file_manifest": (lambda w: _name(_manifest(w)).select("path", (F.col("size") > 0).alias("filled"), (F.char_length("hash") == 32).alias("hashed")), "path filled:b hashed:b", None),
-    "file_changes": (_changes, "path change", None),
-    "file_filter": (lambda w: _name(S.file_filter(_manifest(w), least=1, most=1 << 40)), "path", None),
-    "file_priority_topk": (lambda w: _name(S.file_priority(_manifest(w), "largest", 2)), "path size:l", None),
-    "file_stats": (lambda w: S.file_stats(_manifest(w)), "files:l total:l mean:l least:l most:l", None),
-    "file_ready_check": (lambda w: _name(S.file_ready(_manifest(w))), "path is_ready:b reason", None),
-    "file_ledger_pending": (lambda w: _name(S.ledger_pending(m := _manifest(w), _log(w, m), _now(w))), "path decision", None),
-    "file_ledger_mark": (lambda w: _name(S.ledger_state(_log(w, _manifest(w)))), "path status records:l error", None),
-    "file_ledger_stats": (lambda w: S.ledger_stats(_log(w, _manifest(w))), "files:l processed:l failed:l processing:l records:l success_rate:d", None),
-    "file_ledger_failed": (lambda w: _name(S.ledger_reset_failed(_log(w, _manifest(w)), _now(w))), "path status", None),
-    "file_ledger_retention": (lambda w: _name(S.ledger_retained(_log(w, m := _manifest(w)), m, _now(w) + F.expr("interval 40 days"), 30)), "path status", None),
+    "ingestion_stats": (lambda w: A.ingestion_stats(c := _api(w), A.new_orders(c, w.raw_orders.limit(0))), "fetched:l valid:l invalid:l inserted:l skipped:l success_rate:d validation_rate:d", f"SELECT *, fetched - valid AS invalid, valid - inserted AS skipped, inserted / CAST(fetched AS DOUBLE) AS success_rate, valid / CAST(fetched AS DOUBLE) AS validation_rate FROM (SELECT count(*) AS fetched, count(*) FILTER (is_valid) AS valid, count(DISTINCT order_id) FILTER (is_valid) AS inserted FROM {API_CHECKED})"),
+    "table_load": (_saved, "how order_id total_amount:d", "SELECT 'append' AS how, order_id, total_amount FROM stg_orders UNION ALL SELECT 'replace', order_id, total_amount FROM stg_orders WHERE order_date < TIMESTAMP '1998-01-01'"),
+    "archive_processed": (_archived, "shipment_id order_id carrier shipping_cost:d", "SELECT shipment_id, order_id, carrier, shipping_cost FROM raw_shipments WHERE package_count IS NULL OR package_count <> 3"),
+    "file_manifest": (lambda w: S.manifest(w.spark, w.folder()).select(F.count(F.lit(1)).alias("files"), F.count_if(F.col("size") > 0).alias("filled"), F.countDistinct("hash").alias("hashes")), "files:l filled:l hashes:l", f"SELECT greatest({PARTS}, count(*) // {FILE_ROWS}) AS files, greatest({PARTS}, count(*) // {FILE_ROWS}) AS filled, greatest({PARTS}, count(*) // {FILE_ROWS}) AS hashes FROM raw_shipments"),
+    "file_changes": (_changes, "path change", f"SELECT path, CASE nth WHEN 0 THEN 'new' ELSE 'changed' END AS change FROM {MONTHS} WHERE nth < 2 UNION ALL SELECT 'gone-' || path, 'deleted' FROM {MONTHS} WHERE nth = 2"),
+    "file_filter": (lambda w: S.file_filter(_months(w), least=5_000, most=1 << 40, hours=24 * 365 * 3, now=_now(w)), "path", f"SELECT path FROM {MONTHS} WHERE size BETWEEN 5000 AND 1099511627776 AND modified >= {NOW} - INTERVAL 1095 DAY"),
+    "file_priority_topk": (lambda w: S.file_priority(_months(w), "largest", 20), "path size:l", f"SELECT path, size FROM {MONTHS} ORDER BY size DESC, path LIMIT 20"),
+    "file_stats": (lambda w: S.file_stats(_months(w)), "files:l total:l mean:l least:l most:l", f"SELECT count(*) AS files, sum(size) AS total, floor(avg(size)) AS mean, min(size) AS least, max(size) AS most FROM {MONTHS}"),
+    "file_ready_check": (_ready, "path is_ready:b reason", f"SELECT path, nth = 0 AS is_ready, CASE nth WHEN 0 THEN 'ok' WHEN 1 THEN 'empty' WHEN 2 THEN 'too large' ELSE 'missing' END AS reason FROM {MONTHS}"),
+    "file_ledger_pending": (lambda w: S.ledger_pending(m := _months(w), _log(w, m), _now(w)), "path decision", f"SELECT path, CASE nth WHEN 1 THEN 'retry' WHEN 3 THEN 'new' ELSE 'skip' END AS decision FROM {MONTHS}"),
+    "file_ledger_mark": (lambda w: S.ledger_state(_log(w, _months(w))), "path status records:l error", f"SELECT * FROM {LOGGED}"),
+    "file_ledger_stats": (lambda w: S.ledger_stats(_log(w, _months(w))), "files:l processed:l failed:l processing:l records:l success_rate:d", f"SELECT *, processed / CAST(files AS DOUBLE) AS success_rate FROM (SELECT count(*) AS files, count(*) FILTER (status = 'processed') AS processed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'processing') AS processing, coalesce(sum(records), 0) AS records FROM {LOGGED})"),
+    "file_ledger_failed": (lambda w: S.ledger_reset_failed(_log(w, _months(w)), _now(w)), "path status", f"SELECT path, 'pending' AS status FROM {LOGGED} WHERE status = 'failed'"),
+    "file_ledger_export": (_exported, "path status records:l files:l failed:l", f"SELECT path, status, records, (SELECT count(*) FROM {LOGGED}) AS files, (SELECT count(*) FROM {LOGGED} WHERE status = 'failed') AS failed FROM {LOGGED}"),
+    "file_ledger_retention": (lambda w: S.ledger_retained(_log(w, m := _months(w)), m.where("path >= '1995'"), _now(w) + F.expr("interval 40 days"), 30), "path status", f"SELECT path, unnest(CASE status WHEN 'failed' THEN ['processing', 'failed'] ELSE ['processing'] END) AS status FROM {LOGGED} WHERE status <> 'processed' AND path >= '1995'"),
 }
 
 

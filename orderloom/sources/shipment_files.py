@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,14 +26,16 @@ def declared_schema(columns: list[str] = COLUMNS) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType(), c not in REQUIRED) for c in columns])
 
 
-def read_csv(spark: SparkSession, paths: str | list[str], columns: list[str] = COLUMNS) -> tuple[DataFrame, list[str]]:
+def read_csv(spark: SparkSession, paths: str | list[str], columns: list[str] = COLUMNS, multi_line: bool = True, header: list[str] | None = None) -> tuple[DataFrame, list[str]]:
     """Text columns bound by the header's names: missing ones are null, others only give a warning; and the warnings.
 
-    All files of one call must share a header; broken rows keep their text in _corrupt_record.
+    All files of one call must share a header; broken rows keep their text in _corrupt_record. Without ``multi_line``, for files whose
+    quoted fields hold no line breaks, a large file is read by several tasks.
     """
-    header = spark.read.options(**CSV).csv(paths).columns
+    options = CSV | {"multiLine": multi_line}
+    header = header or spark.read.options(**options).csv(paths).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, "_corrupt_record"]])
-    df = spark.read.options(**CSV).schema(schema).csv(paths)
+    df = spark.read.options(**options).schema(schema).csv(paths)
     missing, extra = [c for c in columns if c not in header], [c for c in header if c not in columns]
     warnings = [f"missing column {c}" for c in missing] + [f"unknown column {c}" for c in extra]
     return df.select(*((F.col(c) if c in header else F.lit(None).cast("string").alias(c)) for c in columns), "_corrupt_record", F.col("_metadata.file_name").alias("source_file")), warnings
@@ -96,9 +100,16 @@ def target_schema(df: DataFrame) -> DataFrame:
     )
 
 
-def load_file(spark: SparkSession, paths: str | list[str], batch_id: str, at: Column) -> tuple[DataFrame, DataFrame]:
+def headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """The header of each file, read in one job: a row for each file."""
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), "value")
+    first = lines.where("block = 0").groupBy("path").agg(F.min_by("value", "nth").alias("line"))
+    return {r.path: next(csv.reader([r.line])) for r in first.collect()}
+
+
+def load_file(spark: SparkSession, paths: str | list[str], batch_id: str, at: Column, **how) -> tuple[DataFrame, DataFrame]:
     """The valid rows of files in the target schema, and the statistics of all rows."""
-    df, _ = read_csv(spark, paths)
+    df, _ = read_csv(spark, paths, **how)
     checked = validated(df.drop("_corrupt_record"))
     return target_schema(add_lineage(checked, "csv", batch_id, at)).where("is_valid"), validation_stats(checked)
 
@@ -107,9 +118,16 @@ def load_file(spark: SparkSession, paths: str | list[str], batch_id: str, at: Co
 
 
 def manifest(spark: SparkSession, folder: str, pattern: str = "*.csv", hashes: bool = True) -> DataFrame:
-    """(path, size, modified, hash) of the files of a folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
-    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), (F.md5("content") if hashes else F.lit(None).cast("string")).alias("hash"))
+    """(path, size, modified, hash) of the files of a folder. The hash sums up the lines of a text file, so that large files are read in pieces. Spark lists no empty files."""
+    where = {"pathGlobFilter": pattern, "recursiveFileLookup": True}
+    files = spark.read.format("binaryFile").options(**where).load(folder)
+    files = files.select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    if not hashes:
+        return files.withColumn("hash", F.lit(None).cast("string"))
+    line = F.xxhash64("value")
+    summed = F.md5(F.concat_ws(":", F.count(F.lit(1)), F.bit_xor(line), F.sum(line.cast("decimal(38,0)"))))
+    lines = spark.read.options(**where).text(folder).groupBy(F.col("_metadata.file_path").alias("path")).agg(summed.alias("hash"))
+    return files.join(lines, "path", "left")
 
 
 def file_changes(now: DataFrame, before: DataFrame, tolerance: float = 1.0) -> DataFrame:
@@ -190,3 +208,9 @@ def ledger_retained(log: DataFrame, files: DataFrame, now: Column, days: int) ->
     state = ledger_state(log).join(files.select("path"), "path", "left_semi")
     old = (F.col("status") == "processed") & (F.datediff(now, "at") > days)
     return log.join(state.where(~old).select("path"), "path", "left_semi")
+
+
+def ledger_export(log: DataFrame, path: str) -> None:
+    """The last entry of each file as JSON, with the totals of all files in every line."""
+    totals = ledger_stats(log).select(F.struct("*").alias("totals"))
+    ledger_state(log).join(F.broadcast(totals)).write.json(path)  # one row

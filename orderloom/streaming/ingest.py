@@ -1,31 +1,38 @@
 """Exactly-once ingestion of shipment files with Structured Streaming.
 
 The stream carries the paths of new files; its checkpoint remembers those seen. Each batch reads its files by their own header
-and writes its rows under the batch's number, so that a batch run again replaces what it wrote.
+and writes its rows under the batch's number, so that a batch run again replaces what it wrote. Rows that another batch has stored
+are left out, by their hash.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import shipment_files as S
 
 
-def ingest_files(spark: SparkSession, folder: str, to: str, checkpoint: str, at: Column, most_files: int = 100, archive: str | None = None) -> None:
+def ingest_files(spark: SparkSession, folder: str, to: str, checkpoint: str, at: Column, most_files: int = 100, archive: str | None = None, multi_line: bool = True) -> None:
     """Load all new files of ``folder`` into ``to`` and stop. With ``archive``, files done go there."""
 
     def load(batch: DataFrame, number: int) -> None:
         paths = [r.path for r in batch.select("path").distinct().collect()]  # at most most_files
         groups: dict[tuple[str, ...], list[str]] = {}
-        for p in paths:
-            groups.setdefault(tuple(spark.read.options(**S.CSV).csv(p).columns), []).append(p)
-        parts = [S.load_file(spark, same, f"batch-{number}", at)[0] for same in groups.values()]
+        for path, names in S.headers(spark, paths).items():
+            groups.setdefault(tuple(names), []).append(path)
+        parts = [S.load_file(spark, same, f"batch-{number}", at, header=list(names), multi_line=multi_line)[0] for names, same in groups.items()]
         if parts:
-            rows = parts[0]
-            for p in parts[1:]:
-                rows = rows.unionByName(p)
-            rows.dropDuplicates(["record_hash"]).write.mode("overwrite").parquet(f"{to}/batch={number}")
+            rows = reduce(DataFrame.unionByName, parts).dropDuplicates(["record_hash"])
+            if number:
+                try:
+                    rows = rows.join(with_batch(spark, to).where(F.col("batch") < number).select("record_hash"), "record_hash", "left_anti")
+                except AnalysisException:  # no batch before has stored anything
+                    pass
+            rows.write.mode("overwrite").parquet(f"{to}/batch={number}")
 
     schema = "path string, modificationTime timestamp, length long, content binary"
     stream = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.csv").option("maxFilesPerTrigger", most_files)
@@ -35,5 +42,9 @@ def ingest_files(spark: SparkSession, folder: str, to: str, checkpoint: str, at:
     query.awaitTermination()
 
 
+def with_batch(spark: SparkSession, to: str) -> DataFrame:
+    return spark.read.option("basePath", to).parquet(f"{to}/batch=*")
+
+
 def ingested(spark: SparkSession, to: str) -> DataFrame:
-    return spark.read.option("basePath", to).parquet(f"{to}/batch=*").drop("batch")
+    return with_batch(spark, to).drop("batch")
