@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, table, tasks_for, with_rows
+from .common import free_name, pieces, table, tasks_for, with_rows
 
 PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
 #: The order of the parts in the output of each form.
@@ -264,8 +264,9 @@ def round_trip(docs: DataFrame, row: str = "row") -> DataFrame:
 
 
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_rows(table(spark, sf_dir, "documents"))
-    return round_trip(docs).select(F.col("doc_id_").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+    docs = table(spark, sf_dir, "documents")
+    row = free_name(docs, "row")
+    return round_trip(with_rows(docs, row), row).select(F.col("doc_id_").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
 
 
 SQL_TEXT = f"""

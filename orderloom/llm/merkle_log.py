@@ -320,7 +320,7 @@ def _sql(levels: int = 7, top_levels: int = 3) -> str:
     crc = f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bits}), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END))"
     out = [
         f"d AS (SELECT *, CAST(doc_id AS VARCHAR) AS s, {leaf_sql('text')} AS leaf FROM documents)",
-        f"l0 AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, CASE WHEN {crc} % 3 = 0 THEN {leaf_sql(lower)} ELSE leaf END AS claim FROM d)",
+        f"l0 AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, CASE WHEN s IS NOT NULL AND {crc} % 3 = 0 THEN {leaf_sql(lower)} ELSE leaf END AS claim FROM d)",
         "n0 AS (SELECT lang AS tree, i, leaf AS d FROM l0)",
     ]
 

@@ -2,7 +2,7 @@
 
 Each document is measured and held against five rules. Failures are added up by host and rule; the rate of a host is shrunk
 towards the rate of all hosts with a beta prior, whose strength comes from how much hosts differ beyond chance (method of moments).
-A host whose shrunk rate for any rule is above ``BLOCK`` is blocked: all of its documents go. Of other hosts, documents that fail a
+A host whose shrunk rate for any rule is above ``BLOCK``, and above STANDS_OUT times that of all hosts, is blocked: all of its documents go. Of other hosts, documents that fail a
 rule go, unless hardly any document there does (rate below ``TRUST``); the base rules (short, repetitive) forgive nothing.
 
 No host goes to one task: failures are pre-aggregated where documents are read, verdicts of hosts with more than one document in
@@ -16,6 +16,7 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -36,7 +37,7 @@ RULES = {
 }
 BASE = ("short", "repetitive")
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
-BLOCK, TRUST = 0.5, 0.01
+BLOCK, STANDS_OUT, TRUST = 0.5, 2.0, 0.01
 #: The prior counts as so many documents at least and at most.
 WEAKEST, STRONGEST = 1.0, 1e6
 HOT_SHARE = 64
@@ -106,7 +107,7 @@ def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def host_rates(measures: DataFrame, host: str) -> DataFrame:
-    """(host, n, rate_...): the documents of each host and its shrunk rates."""
+    """(host, n, all_n, rate_..., limit_...): the documents of each host and of all, its shrunk rates, and those above which it is blocked."""
     hosts = through_table(measures.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.expr(sql)).alias(f"f_{r}") for r, sql in RULES.items())), "quality-hosts")
     n = F.col("n").cast("double")
     sums = [F.sum(n).alias("all_n"), F.count(F.lit(1)).cast("double").alias("all_hosts"), F.sum(n * n).alias("all_n2")]
@@ -114,12 +115,13 @@ def host_rates(measures: DataFrame, host: str) -> DataFrame:
         f = F.col(f"f_{r}").cast("double")
         sums += [F.sum(f).alias(f"sum_{r}"), F.sum(f * f / n).alias(f"sum2_{r}")]
     both = hosts.join(F.broadcast(hosts.agg(*sums)))  # one row
-    rates = []
+    rates, limits = [], []
     for r in RULES:
         mean = F.col(f"sum_{r}") / F.col("all_n")
         strength = prior_strength(mean, F.col(f"sum2_{r}") - mean * F.col(f"sum_{r}"))
         rates.append(((F.col(f"f_{r}") + mean * strength) / (n + strength)).alias(f"rate_{r}"))
-    return both.select("host", "n", "all_n", *rates)
+        limits.append(F.greatest(F.lit(BLOCK), mean * STANDS_OUT).alias(f"limit_{r}"))
+    return both.select("host", "n", "all_n", *rates, *limits)
 
 
 def prior_strength(mean: Column, spread: Column) -> Column:
@@ -133,7 +135,7 @@ def judged(docs: DataFrame, keep: list[str], host: str = "source") -> DataFrame:
     """``keep`` (with ``host`` in it) and MEASURES of all documents, failed (names of rules), base_failed, host_blocked and kept."""
     measures = through_table(measured(docs, keep), "quality-measures")
     rates = through_table(host_rates(measures, host), "quality-rates")
-    blocked = F.greatest(*(F.col(f"rate_{r}") for r in RULES)) > BLOCK
+    blocked = reduce(Column.__or__, (F.col(f"rate_{r}") > F.col(f"limit_{r}") for r in RULES))
     forgiven = F.array_compact(F.array(*(F.when(F.col(f"rate_{r}") < TRUST, F.lit(r)) for r in RULES if r not in BASE)))
     verdicts = rates.select("host", (F.col("n") * HOT_SHARE > F.col("all_n")).alias("hot"), blocked.alias("host_blocked"), forgiven.alias("forgiven"))
     same = F.col(host).eqNullSafe(F.col("host"))
@@ -164,8 +166,9 @@ def _sql() -> str:
         mean = f"(sum_{r} / all_n)"
         alike = f"((sum2_{r} - {mean} * sum_{r}) / nullif({mean} * (1 - {mean}), 0) - (all_hosts - 1)) / nullif(all_n - all_hosts + 1 - all_n2 / all_n, 0)"
         strength.append(f"CASE WHEN {alike} > 0 THEN greatest({WEAKEST}, least({STRONGEST}, 1 / ({alike}) - 1)) ELSE {STRONGEST} END AS k_{r}")
-        rates.append(f"(f_{r} + {mean} * k_{r}) / (n + k_{r}) AS rate_{r}")
+        rates.append(f"(f_{r} + {mean} * k_{r}) / (n + k_{r}) AS rate_{r}, {mean} AS mean_{r}")
     soft = [r for r in RULES if r not in BASE]
+    blocked = " OR ".join(f"rate_{r} > greatest({BLOCK}, mean_{r} * {STANDS_OUT})" for r in RULES)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM (SELECT id, regexp_extract_all(text, '{word}') AS ws FROM d)),
@@ -181,8 +184,8 @@ t AS (SELECT sum(n) AS all_n, CAST(count(*) AS DOUBLE) AS all_hosts, sum(n * n)
 k AS (SELECT *, {", ".join(strength)} FROM t),
 r AS (SELECT source, {", ".join(rates)} FROM h, k)
 SELECT doc_id, {", ".join(f"CAST({x} AS BIGINT) AS {x}" for x in MEASURES)}, {" OR ".join(f"is_{x}" for x in BASE)} AS base_failed,
-  NOT ({" OR ".join(f"is_{x}" for x in BASE)} OR greatest({", ".join(f"rate_{x}" for x in RULES)}) > {BLOCK} OR {" OR ".join(f"(is_{x} AND rate_{x} >= {TRUST})" for x in soft)}) AS kept,
-  concat_ws(',', {", ".join(f"CASE WHEN is_{x} THEN '{x}' END" for x in RULES)}) AS failed, greatest({", ".join(f"rate_{x}" for x in RULES)}) > {BLOCK} AS host_blocked
+  NOT ({" OR ".join(f"is_{x}" for x in BASE)} OR {blocked} OR {" OR ".join(f"(is_{x} AND rate_{x} >= {TRUST})" for x in soft)}) AS kept,
+  concat_ws(',', {", ".join(f"CASE WHEN is_{x} THEN '{x}' END" for x in RULES)}) AS failed, {blocked} AS host_blocked
 FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source"""
 
 
