@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 
 from ..sources import api_orders as A
 from ..sources import shipment_files as S
-from ..sources.storage import load_table, scratch
+from ..sources.storage import load_table, move, put, remove, scratch
 from ..streaming import ingest
 from .results import result, result_sql
 from .warehouse import MODELS_SQL, NOW, Warehouse
 
 #: Files of shipments: at least so many, and one for so many rows.
 PARTS, FILE_ROWS = 4, 250_000
+#: Files without order ids.
+BAD = 2
 
 
 class Files(Warehouse):
@@ -52,15 +54,34 @@ def _csv(w):
     return S.read_csv(w.spark, w.folder())[0]
 
 
+def _month_files(w, rows: DataFrame | None = None) -> str:
+    """A folder with a text file of shipment ids for each month."""
+    to = scratch(w.spark, "months")
+    ids = (w.raw_shipments if rows is None else rows).select("shipment_id", F.date_format("shipped_date", "yyyy-MM").alias("month"))
+    ids.repartition("month").write.partitionBy("month").text(to)
+    return to
+
+
+def _by_month(files: DataFrame) -> DataFrame:
+    return files.withColumn("path", F.regexp_extract("path", "month=([0-9-]+)", 1))
+
+
+def _listed(w, folder: str, before: DataFrame | None = None) -> DataFrame:
+    """The listing of a folder as it is now, stored as a version."""
+    to = scratch(w.spark, "listing")
+    S.manifest(w.spark, folder, "*.txt", before=before).write.parquet(to)
+    return w.spark.read.parquet(to)
+
+
 def _months(w) -> DataFrame:
-    """A manifest with a file for each month of shipments."""
-    month = F.date_format("shipped_date", "yyyy-MM")
-    return w.raw_shipments.groupBy(month.alias("path")).agg(F.sum(F.char_length("shipment_id")).alias("size"), F.max("shipped_date").cast("timestamp").alias("modified"), F.md5(F.min("shipment_id")).alias("hash"))
+    """The listing of the months' files."""
+    return _by_month(_listed(w, _month_files(w)))
 
 
 #: the month's number, by which files are done, failed, open or not seen yet
 NTH = "CAST(substr(path, 6, 2) AS INT) % 4"
-MONTHS = "(SELECT *, CAST(substr(path, 6, 2) AS INT) % 4 AS nth FROM (SELECT strftime(shipped_date, '%Y-%m') AS path, sum(length(shipment_id)) AS size, max(shipped_date) AS modified FROM raw_shipments GROUP BY 1))"
+LINE = "CAST('0x' || substr(md5(shipment_id), 1, 15) AS BIGINT)"
+MONTHS = f"(SELECT *, CAST(substr(path, 6, 2) AS INT) % 4 AS nth FROM (SELECT strftime(shipped_date, '%Y-%m') AS path, sum(length(shipment_id) + 1) AS size, count(*) || ':' || bit_xor({LINE}) || ':' || sum({LINE}) AS hash FROM raw_shipments GROUP BY 1))"
 LOGGED = f"(SELECT path, CASE nth WHEN 0 THEN 'processed' WHEN 1 THEN 'failed' ELSE 'processing' END AS status, CASE nth WHEN 0 THEN size END AS records, CASE nth WHEN 1 THEN 'broken' END AS error FROM {MONTHS} WHERE nth < 3)"
 
 
@@ -72,9 +93,24 @@ def _log(w, files: DataFrame) -> DataFrame:
 
 
 def _changes(w):
-    files = _months(w)
-    before = files.where(f"{NTH} > 0").withColumn("size", F.when(F.expr(f"{NTH} = 1"), F.col("size") + 1).otherwise(F.col("size")))
-    return S.file_changes(files, before.unionByName(files.where(f"{NTH} = 2").withColumn("path", F.concat(F.lit("gone-"), "path"))))
+    """A folder is listed, then files come, grow and go, and it is listed again."""
+    nth = F.month("shipped_date") % 4
+    folder = _month_files(w, w.raw_shipments.where(nth > 0))
+    before = _listed(w, folder)
+    where = {"new": _month_files(w, w.raw_shipments.where(nth == 0)), "grown": _month_files(w, w.raw_shipments.where(nth == 1).unionByName(w.raw_shipments.where((nth == 1) & (F.col("package_count") == 1))))}
+    old = {_month(r.path): r.path for r in before.select("path").collect()}  # a row for each month
+    for kind, extra in where.items():
+        for r in S.manifest(w.spark, extra, "*.txt", hashes=False).select("path").collect():
+            move(w.spark, r.path, old[_month(r.path)] if kind == "grown" else r.path.replace(extra.rsplit("/", 1)[-1], folder.rsplit("/", 1)[-1]))
+    for month, path in old.items():
+        if int(month[5:7]) % 4 == 2:
+            remove(w.spark, path)
+    now = _listed(w, folder, before)
+    return _by_month(S.file_changes(now, before)).join(_by_month(now).select("path", "size", "hash"), "path", "left")
+
+
+def _month(path: str) -> str:
+    return path.split("month=", 1)[1][:7]
 
 
 def _ready(w):
@@ -110,16 +146,43 @@ SCHEMA_SQL = " UNION ALL ".join(
 )
 
 
-def _ingested(w):
-    folder, to = w.folder(), scratch(w.spark, "ingested")
-    ingest.ingest_files(w.spark, folder, to, scratch(w.spark, "ingest-state"), w.now, most_files=2)
-    return ingest.ingested(w.spark, to)
+def _ingested_folder(w) -> tuple[str, str]:
+    """Shipments, two kinds of bad files (no order ids in them; no gzip), ingested in two runs; and the state of that."""
+    folder, to, state = w.folder(), scratch(w.spark, "ingested"), scratch(w.spark, "ingest-state")
+    w.flat().where("package_count = 7").drop("order_id").repartition(BAD, "shipment_id").write.option("header", True).option("escape", '"').csv(f"{folder}/no-order-ids")
+    put(w.spark, f"{folder}/damaged.csv.gz", b"this is no gzip file")
+    for hours in (0, 1):
+        ingest.ingest_files(w.spark, folder, to, state, w.now + F.make_dt_interval(hours=F.lit(hours)), most_files=4)
+    return to, state
+
+
+def _ledger(w) -> DataFrame:
+    """What the ingestion's ledger holds: status, reason, attempts, files and their rows."""
+    log = S.ledger_state(w.spark.read.parquet(f"{_ingested_folder(w)[1]}/ledger"))
+    reason = F.when(F.col("error").startswith("ValueError: "), F.substring_index("error", ": ", -2)).when(F.col("error").isNotNull(), "unreadable")
+    return log.groupBy("status", reason.alias("reason"), "attempts").agg(F.count(F.lit(1)).alias("files"), F.sum("records").alias("records"))
+
+
+def _quarantined(w) -> DataFrame:
+    """Rows without an order id, and rows with too many fields, which are written with another quote than is read."""
+    to, five = scratch(w.spark, "broken"), F.col("package_count") == 5
+    w.flat().where(~F.coalesce(five, F.lit(False))).repartition(PARTS, "shipment_id").write.option("header", True).option("escape", '"').csv(to)
+    w.flat().where(five).withColumn("return_date", F.lit("a,b")).repartition(PARTS, "shipment_id").write.mode("append").option("header", True).option("quote", "\u0001").csv(to)
+    good, bad, seen = S.load_file(w.spark, to, "b1", w.now, scratch(w.spark, "loaded"))
+    counts = w.spark.range(1).select(*(F.lit(n).alias(k) for k, n in seen.items()))
+    rows = bad.select(F.substring_index("line", ",", 1).alias("shipment_id"), "reason").unionByName(good.select("shipment_id", F.lit("kept").alias("reason")))
+    return rows.join(F.broadcast(counts))  # one row
+
+
+def _loaded(w) -> DataFrame:
+    return S.load_file(w.spark, w.folder(), "b1", w.now, scratch(w.spark, "loaded"))[0]
 
 
 def _archived(w):
-    to = scratch(w.spark, "ingested")
-    ingest.ingest_files(w.spark, w.folder(), to, scratch(w.spark, "ingest-state"), w.now, most_files=1, archive=scratch(w.spark, "archive"))
-    return ingest.ingested(w.spark, to)
+    """The rows of the archived files, read back from the archive."""
+    archive = scratch(w.spark, "archive")
+    ingest.ingest_files(w.spark, w.folder(), scratch(w.spark, "ingested"), scratch(w.spark, "ingest-state"), w.now, most_files=2, archive=archive)
+    return S.read_csv(w.spark, archive)[0].withColumn("stamp", F.substring("source_file", 1, 15))
 
 
 def _saved(w):
@@ -158,17 +221,25 @@ QUERIES = {
     "add_lineage": (
         lambda w: S.add_lineage(S.validated(_csv(w)), "csv", "b1", w.now).withColumns({"hashed": F.char_length("record_hash"), "is_part": F.col("source_file").rlike(r"^part-\d+.*\.csv$"), "numbered": F.col("row_id").isNotNull()}),
         "shipment_id source_system batch_id ingestion_timestamp hashed:l is_part:b numbered:b", f"SELECT shipment_id, 'csv' AS source_system, 'b1' AS batch_id, {NOW} AS ingestion_timestamp, 64 AS hashed, true AS is_part, true AS numbered FROM raw_shipments"),
-    "load_shipments_file": (lambda w: S.load_file(w.spark, w.folder(), "b1", w.now)[0], "shipment_id order_id carrier shipping_cost:d", "SELECT shipment_id, order_id, carrier, shipping_cost FROM raw_shipments WHERE package_count IS NULL OR package_count <> 3"),
-    "file_stream_ingest": (_ingested, "shipment_id order_id carrier shipping_cost:d", "SELECT shipment_id, order_id, carrier, shipping_cost FROM raw_shipments WHERE package_count IS NULL OR package_count <> 3"),
+    "load_shipments_file": (_loaded, "shipment_id order_id carrier shipping_cost:d", "SELECT shipment_id, order_id, carrier, shipping_cost FROM raw_shipments WHERE package_count IS NULL OR package_count <> 3"),
+    "quarantined_rows": (
+        _quarantined, "shipment_id reason original_rows:l valid_rows:l invalid_rows:l",
+        "SELECT shipment_id, CASE package_count WHEN 3 THEN 'missing order_id' WHEN 5 THEN 'malformed' ELSE 'kept' END AS reason, count(*) OVER () AS original_rows, count(*) FILTER (package_count IS NULL OR package_count NOT IN (3, 5)) OVER () AS valid_rows, count(*) FILTER (package_count IN (3, 5)) OVER () AS invalid_rows FROM raw_shipments"),
+    "file_stream_ledger": (
+        _ledger, "status reason attempts:l files:l records:l",
+        f"SELECT 'processed' AS status, NULL AS reason, 1 AS attempts, greatest({PARTS}, count(*) // {FILE_ROWS}) AS files, count(*) FILTER (package_count IS NULL OR package_count <> 3) AS records FROM raw_shipments UNION ALL SELECT 'failed', 'missing required fields: order_id', 2, {BAD}, NULL UNION ALL SELECT 'failed', 'unreadable', 2, 1, NULL"),
+    "file_stream_ingest": (lambda w: ingest.ingested(w.spark, _ingested_folder(w)[0]), "shipment_id order_id carrier shipping_cost:d", "SELECT shipment_id, order_id, carrier, shipping_cost FROM raw_shipments WHERE package_count IS NULL OR package_count <> 3"),
     "raw_api_orders": (lambda w: A.raw_orders(w.lines(), "api", "b1"), "order_id customer_id total_amount currency order_items", f"SELECT order_id, coalesce(customer_id, '') AS customer_id, total_amount, currency, '[]' AS order_items FROM {API}"),
     "validate_api_order": (lambda w: _api(w).withColumn("errors", F.array_join("errors", ",")), "order_id errors is_valid:b", f"SELECT order_id, errors, is_valid FROM {API_CHECKED}"),
     "api_order_dedupe_load": (lambda w: A.new_orders(_api(w), w.raw_orders.where("order_status = 'pending'")), "order_id total_amount:d", "SELECT order_id, total_amount FROM (SELECT *, CAST(substr(order_id, 5, 9) AS BIGINT) AS n FROM raw_orders) WHERE order_status <> 'pending' AND (n % 2 = 0 OR n % 3 <> 0)"),
     "ingestion_stats": (lambda w: A.ingestion_stats(c := _api(w), A.new_orders(c, w.raw_orders.limit(0))), "fetched:l valid:l invalid:l inserted:l skipped:l success_rate:d validation_rate:d", f"SELECT *, fetched - valid AS invalid, valid - inserted AS skipped, inserted / CAST(fetched AS DOUBLE) AS success_rate, valid / CAST(fetched AS DOUBLE) AS validation_rate FROM (SELECT count(*) AS fetched, count(*) FILTER (is_valid) AS valid, count(DISTINCT order_id) FILTER (is_valid) AS inserted FROM {API_CHECKED})"),
     "table_load": (_saved, "how order_id total_amount:d", "SELECT 'append' AS how, order_id, total_amount FROM stg_orders UNION ALL SELECT 'replace', order_id, total_amount FROM stg_orders WHERE order_date < TIMESTAMP '1998-01-01'"),
-    "archive_processed": (_archived, "shipment_id order_id carrier shipping_cost:d", "SELECT shipment_id, order_id, carrier, shipping_cost FROM raw_shipments WHERE package_count IS NULL OR package_count <> 3"),
-    "file_manifest": (lambda w: S.manifest(w.spark, w.folder()).select(F.count(F.lit(1)).alias("files"), F.count_if(F.col("size") > 0).alias("filled"), F.countDistinct("hash").alias("hashes")), "files:l filled:l hashes:l", f"SELECT greatest({PARTS}, count(*) // {FILE_ROWS}) AS files, greatest({PARTS}, count(*) // {FILE_ROWS}) AS filled, greatest({PARTS}, count(*) // {FILE_ROWS}) AS hashes FROM raw_shipments"),
-    "file_changes": (_changes, "path change", f"SELECT path, CASE nth WHEN 0 THEN 'new' ELSE 'changed' END AS change FROM {MONTHS} WHERE nth < 2 UNION ALL SELECT 'gone-' || path, 'deleted' FROM {MONTHS} WHERE nth = 2"),
-    "file_filter": (lambda w: S.file_filter(_months(w), least=5_000, most=1 << 40, hours=24 * 365 * 3, now=_now(w)), "path", f"SELECT path FROM {MONTHS} WHERE size BETWEEN 5000 AND 1099511627776 AND modified >= {NOW} - INTERVAL 1095 DAY"),
+    "archive_processed": (_archived, "shipment_id carrier stamp", f"SELECT shipment_id, carrier, strftime({NOW}, '%Y%m%d_%H%M%S') AS stamp FROM raw_shipments"),
+    "file_manifest": (_months, "path size:l hash", f"SELECT path, size, hash FROM {MONTHS}"),
+    "file_changes": (_changes, "path change size:l hash", f"""SELECT path, CASE nth WHEN 0 THEN 'new' ELSE 'changed' END AS change, size, hash FROM {MONTHS} WHERE nth = 0
+UNION ALL SELECT path, 'deleted', NULL, NULL FROM {MONTHS} WHERE nth = 2
+UNION ALL SELECT strftime(shipped_date, '%Y-%m'), 'changed', sum(length(shipment_id) + 1), count(*) || ':' || bit_xor({LINE}) || ':' || sum({LINE}) FROM (SELECT * FROM raw_shipments UNION ALL SELECT * FROM raw_shipments WHERE package_count = 1) WHERE month(shipped_date) % 4 = 1 GROUP BY 1"""),
+    "file_filter": (lambda w: S.file_filter(_months(w), least=300, most=1 << 40, hours=24, now=F.current_timestamp()), "path", f"SELECT path FROM {MONTHS} WHERE size BETWEEN 300 AND 1099511627776"),
     "file_priority_topk": (lambda w: S.file_priority(_months(w), "largest", 20), "path size:l", f"SELECT path, size FROM {MONTHS} ORDER BY size DESC, path LIMIT 20"),
     "file_stats": (lambda w: S.file_stats(_months(w)), "files:l total:l mean:l least:l most:l", f"SELECT count(*) AS files, sum(size) AS total, floor(avg(size)) AS mean, min(size) AS least, max(size) AS most FROM {MONTHS}"),
     "file_ready_check": (_ready, "path is_ready:b reason", f"SELECT path, nth = 0 AS is_ready, CASE nth WHEN 0 THEN 'ok' WHEN 1 THEN 'empty' WHEN 2 THEN 'too large' ELSE 'missing' END AS reason FROM {MONTHS}"),

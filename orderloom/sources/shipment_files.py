@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import csv
+import io
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.rules import record_hash
+from .storage import first_bytes
 
 # fixed values: the declared columns of shipment files, all text
 COLUMNS = """shipment_id order_id tracking_number carrier shipping_method shipment_status shipped_date estimated_delivery_date actual_delivery_date
@@ -74,8 +77,8 @@ def add_lineage(df: DataFrame, source_system: str, batch_id: str, at: Column) ->
     return df.withColumns({"source_system": F.lit(source_system), "batch_id": F.lit(batch_id), "ingestion_timestamp": at, "record_hash": record_hash(*own), "row_id": F.monotonically_increasing_id()})
 
 
-def target_schema(df: DataFrame) -> DataFrame:
-    """Addresses and dimensions packed as JSON, defaults, typed columns."""
+def target_schema(df: DataFrame, *more: str) -> DataFrame:
+    """Addresses and dimensions packed as JSON, defaults, typed columns; and the columns ``more``."""
 
     def packed(prefix: str) -> Column:
         parts = ["street", "city", "state", "postal_code", "country"]
@@ -97,37 +100,71 @@ def target_schema(df: DataFrame) -> DataFrame:
         packed("destination").alias("destination_address"),
         F.when(F.coalesce("length", "width", "height").isNotNull(), size).alias("dimensions"),
         *kept,
+        *more,
     )
 
 
-def headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
-    """The header of each file, read in one job: a row for each file."""
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), "value")
-    first = lines.where("block = 0").groupBy("path").agg(F.min_by("value", "nth").alias("line"))
-    return {r.path: next(csv.reader([r.line])) for r in first.collect()}
+def header_of(spark: SparkSession, path: str) -> list[str]:
+    """The header's names, which may be quoted and hold line breaks: only the first bytes of the file are read."""
+    names = next(csv.reader(io.StringIO(first_bytes(spark, path).decode("utf-8-sig", "replace"), newline="")), None)
+    if not names:
+        raise ValueError("no header")
+    return names
 
 
-def load_file(spark: SparkSession, paths: str | list[str], batch_id: str, at: Column, **how) -> tuple[DataFrame, DataFrame]:
-    """The valid rows of files in the target schema, and the statistics of all rows."""
+def split_rows(df: DataFrame, batch_id: str, at: Column) -> DataFrame:
+    """Rows of ``read_csv`` in the target schema with kept; for those that are not, ``line`` is their text and ``reason`` what is wrong."""
+    missing = F.array_join(F.array_compact(F.array(*(F.when(F.nullif(F.trim(c), F.lit("")).isNull(), F.lit(c)) for c in REQUIRED))), ", ")
+    reason = F.when(F.col("_corrupt_record").isNotNull(), "malformed").when(missing != "", F.concat(F.lit("missing "), missing))
+    line = F.coalesce("_corrupt_record", F.to_csv(F.struct(*COLUMNS)))
+    told = df.withColumns({"reason_": reason, "line_": F.when(reason.isNotNull(), line)})
+    typed = target_schema(add_lineage(validated(told.drop("_corrupt_record")), "csv", batch_id, at), "reason_", "line_", *(c for c in ("path_",) if c in df.columns))
+    return typed.withColumn("kept", F.col("reason_").isNull()).withColumnsRenamed({"reason_": "reason", "line_": "line"})
+
+
+def load_file(spark: SparkSession, paths: str | list[str], batch_id: str, at: Column, to: str, **how) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Write files to ``to`` in one pass: valid rows in the target schema, and the rows that are not (source_file, line, reason). Gives both, and counts observed by the write."""
     df, _ = read_csv(spark, paths, **how)
-    checked = validated(df.drop("_corrupt_record"))
-    return target_schema(add_lineage(checked, "csv", batch_id, at)).where("is_valid"), validation_stats(checked)
+    seen = Observation()
+    rows = split_rows(df, batch_id, at).observe(seen, F.count(F.lit(1)).alias("original_rows"), F.count_if("kept").alias("valid_rows"), F.count_if(~F.col("kept")).alias("invalid_rows"))
+    rows.write.mode("overwrite").partitionBy("kept").parquet(to)
+    return *landed(spark, to, rows.schema), seen.get
+
+
+def landed(spark: SparkSession, to: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """What ``split_rows`` has stored: valid rows, and the others with their text and reason."""
+    rows = spark.read.schema(schema).parquet(to)
+    return rows.where("kept").drop("kept", "line", "reason"), rows.where("not kept").select("source_file", "line", "reason")
 
 
 # --- manifests
 
 
-def manifest(spark: SparkSession, folder: str, pattern: str = "*.csv", hashes: bool = True) -> DataFrame:
-    """(path, size, modified, hash) of the files of a folder. The hash sums up the lines of a text file, so that large files are read in pieces. Spark lists no empty files."""
+def manifest(spark: SparkSession, folder: str, pattern: str = "*.csv", hashes: bool = True, before: DataFrame | None = None) -> DataFrame:
+    """(path, size, modified, hash) of the files of a folder. The hash sums up the lines of a text file, so that large files are read in pieces. Spark lists no empty files.
+
+    With ``before``, an earlier listing, only files whose size or time has moved are read; the others keep their hash.
+    """
     where = {"pathGlobFilter": pattern, "recursiveFileLookup": True}
     files = spark.read.format("binaryFile").options(**where).load(folder)
     files = files.select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     if not hashes:
         return files.withColumn("hash", F.lit(None).cast("string"))
-    line = F.xxhash64("value")
-    summed = F.md5(F.concat_ws(":", F.count(F.lit(1)), F.bit_xor(line), F.sum(line.cast("decimal(38,0)"))))
-    lines = spark.read.options(**where).text(folder).groupBy(F.col("_metadata.file_path").alias("path")).agg(summed.alias("hash"))
-    return files.join(lines, "path", "left")
+    if before is None:
+        return files.join(line_hashes(spark.read.options(**where).text(folder)), "path", "left")
+    known = before.select("path", F.col("size").alias("b_size"), F.col("modified").alias("b_modified"), F.col("hash").alias("b_hash"))
+    files = files.join(known, "path", "left")
+    same = (F.col("size") == F.col("b_size")) & (F.col("modified") == F.col("b_modified")) & F.col("b_hash").isNotNull()
+    moved = [r.path for r in files.where(~F.coalesce(same, F.lit(False))).select("path").collect()]  # paths of files that have moved
+    fresh = line_hashes(spark.read.text([unquote(p) for p in moved])) if moved else spark.createDataFrame([], "path string, hash string")
+    return files.join(fresh, "path", "left").select("path", "size", "modified", F.when(same, F.col("b_hash")).otherwise(F.col("hash")).alias("hash"))
+
+
+def line_hashes(lines: DataFrame) -> DataFrame:
+    """(path, hash): number, exclusive or and sum of the lines' hashes, whatever their order."""
+    line = F.conv(F.substring(F.md5("value"), 1, 15), 16, 10).cast("long")
+    summed = F.concat_ws(":", F.count(F.lit(1)), F.bit_xor(line), F.sum(line.cast("decimal(38,0)")).cast("string"))
+    return lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(summed.alias("hash"))
 
 
 def file_changes(now: DataFrame, before: DataFrame, tolerance: float = 1.0) -> DataFrame:
@@ -174,18 +211,27 @@ def ledger_mark(files: DataFrame, status: str, at: Column, records: Column | Non
     return files.select("path", "size", "modified", "hash", F.lit(status).alias("status"), (records if records is not None else F.lit(None)).cast("long").alias("records"), F.lit(error).cast("string").alias("error"), at.cast("timestamp").alias("at"))
 
 
+LEDGER = "path string, size long, modified timestamp, hash string, status string, records long, error string, at timestamp"
+#: What a run appends for a file, in order: entries of one time are told apart by it.
+STEPS = ["pending", "processing", "failed", "processed"]
+
+
 def ledger_state(log: DataFrame) -> DataFrame:
-    """The last entry of each path."""
+    """The last entry of each path, with attempts, the times that it was begun."""
     rest = [c for c in log.columns if c != "path"]
-    return log.groupBy("path").agg(F.max_by(F.struct(*rest), "at").alias("last")).select("path", "last.*")
+    order = F.struct("at", F.array_position(F.array(*map(F.lit, STEPS)), F.col("status")))
+    return log.groupBy("path").agg(F.max_by(F.struct(*rest), order).alias("last"), F.count_if(F.col("status") == "processing").alias("attempts")).select("path", "last.*", "attempts")
 
 
-def ledger_pending(files: DataFrame, log: DataFrame, now: Column, stale_seconds: int = 3600) -> DataFrame:
-    """(path, decision): new, changed, retry or stale for files to process; skip for the others."""
-    s = ledger_state(log).select("path", F.col("status").alias("s_status"), F.col("size").alias("s_size"), F.col("hash").alias("s_hash"), F.col("at").alias("s_at"))
+def ledger_pending(files: DataFrame, log: DataFrame, now: Column, stale_seconds: int = 3600, tries: int | None = None) -> DataFrame:
+    """(path, decision): new, changed, retry or stale for files to process; skip for the others, and for those that have failed ``tries`` times."""
+    s = ledger_state(log).select("path", F.col("status").alias("s_status"), F.col("size").alias("s_size"), F.col("hash").alias("s_hash"), F.col("modified").alias("s_modified"), F.col("at").alias("s_at"), "attempts")
     j = files.join(s, "path", "left")
     age = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp("s_at")
     changed = (F.col("size") != F.col("s_size")) | F.coalesce(F.col("hash") != F.col("s_hash"), F.lit(False))
+    if tries is not None:  # a file that has changed since then has its tries again
+        same = ~changed & (F.col("modified") == F.col("s_modified"))
+        j = j.withColumn("s_status", F.when((F.col("s_status") == "failed") & same & (F.col("attempts") >= tries), "given up").otherwise(F.col("s_status")))
     decision = (
         F.when(F.col("size") == 0, "skip").when(F.col("s_status").isNull(), "new").when((F.col("s_status") == "processed") & changed, "changed").when(F.col("s_status").isin("failed", "pending"), "retry").when((F.col("s_status") == "processing") & (age >= stale_seconds), "stale").otherwise("skip")
     )
@@ -200,7 +246,7 @@ def ledger_stats(log: DataFrame) -> DataFrame:
 
 def ledger_reset_failed(log: DataFrame, at: Column) -> DataFrame:
     """Entries to append so that failed files are tried again."""
-    return ledger_state(log).where("status = 'failed'").withColumns({"status": F.lit("pending"), "at": at.cast("timestamp")}).select(*log.columns)
+    return ledger_state(log).where("status = 'failed'").drop("attempts").withColumns({"status": F.lit("pending"), "at": at.cast("timestamp")}).select(*log.columns)
 
 
 def ledger_retained(log: DataFrame, files: DataFrame, now: Column, days: int) -> DataFrame:
@@ -213,4 +259,4 @@ def ledger_retained(log: DataFrame, files: DataFrame, now: Column, days: int) ->
 def ledger_export(log: DataFrame, path: str) -> None:
     """The last entry of each file as JSON, with the totals of all files in every line."""
     totals = ledger_stats(log).select(F.struct("*").alias("totals"))
-    ledger_state(log).join(F.broadcast(totals)).write.json(path)  # one row
+    ledger_state(log).drop("attempts").join(F.broadcast(totals)).write.json(path)  # one row

@@ -19,6 +19,64 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there a file or folder of this name? The name may hold wildcards."""
+    fs, where = _file_system(spark, path)
+    return bool(fs.globStatus(where))
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Rename a file; one that has the name already goes, and folders are made."""
+    fs, where = _file_system(spark, path)
+    _, there = _file_system(spark, to)
+    fs.delete(there, False)
+    fs.mkdirs(there.getParent())
+    if not fs.rename(where, there):
+        raise OSError(f"{path} cannot be moved to {to}")
+
+
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file, written by the driver."""
+    fs, where = _file_system(spark, path)
+    stream = fs.create(where, True)
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, where = _file_system(spark, path)
+    fs.delete(where, True)
+
+
+def claim(spark: SparkSession, path: str) -> bool:
+    """Make an empty file; false if there is one already, so that of several writers one alone goes on."""
+    fs, where = _file_system(spark, path)
+    return fs.createNewFile(where)
+
+
+def first_bytes(spark: SparkSession, path: str, most: int = 1 << 16) -> bytes:
+    """The first bytes of a file, unpacked if its name says that it is compressed."""
+    fs, where = _file_system(spark, path)
+    codec = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration()).getCodec(where)
+    stream = fs.open(where)
+    try:
+        return bytes((codec.createInputStream(stream) if codec else stream).readNBytes(most))
+    finally:
+        stream.close()
+
+
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at ``path``; without rows where nothing is there yet. A table that cannot be read is an error."""
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
 def load_table(df: DataFrame, path: str, if_exists: str = "append") -> None:
     """append, replace or fail."""
     df.write.mode({"append": "append", "replace": "overwrite", "fail": "errorifexists"}[if_exists]).parquet(path)

@@ -1,50 +1,202 @@
-"""Exactly-once ingestion of shipment files with Structured Streaming.
+"""Exactly-once ingestion of shipment files with Structured Streaming, one bad file at a time.
 
-The stream carries the paths of new files; its checkpoint remembers those seen. Each batch reads its files by their own header
-and writes its rows under the batch's number, so that a batch run again replaces what it wrote. Rows that another batch has stored
-are left out, by their hash.
+Two streams. The first carries new files: each batch lands its files by their own header in a folder of its own, valid rows beside
+the rows that are not (with their text and reason), and writes what became of each file to the ledger: processing, then processed with
+its rows, or failed with the error. A file that cannot be read is found by halving its batch, so the others go on. Files that the ledger
+says to try again (failed, changed, or left while processing) are landed after that. The second stream carries the landed rows and drops
+those whose hash it has seen; what it has seen is state of the stream (in RocksDB), so no batch reads what is stored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import logging
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field
+from hashlib import md5
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import shipment_files as S
+from ..sources.storage import exists, move, remove, stored
 
+log = logging.getLogger(__name__)
 
-def ingest_files(spark: SparkSession, folder: str, to: str, checkpoint: str, at: Column, most_files: int = 100, archive: str | None = None, multi_line: bool = True) -> None:
-    """Load all new files of ``folder`` into ``to`` and stop. With ``archive``, files done go there."""
-
-    def load(batch: DataFrame, number: int) -> None:
-        paths = [r.path for r in batch.select("path").distinct().collect()]  # at most most_files
-        groups: dict[tuple[str, ...], list[str]] = {}
-        for path, names in S.headers(spark, paths).items():
-            groups.setdefault(tuple(names), []).append(path)
-        parts = [S.load_file(spark, same, f"batch-{number}", at, header=list(names), multi_line=multi_line)[0] for names, same in groups.items()]
-        if parts:
-            rows = reduce(DataFrame.unionByName, parts).dropDuplicates(["record_hash"])
-            if number:
-                try:
-                    rows = rows.join(with_batch(spark, to).where(F.col("batch") < number).select("record_hash"), "record_hash", "left_anti")
-                except AnalysisException:  # no batch before has stored anything
-                    pass
-            rows.write.mode("overwrite").parquet(f"{to}/batch={number}")
-
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    stream = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.csv").option("maxFilesPerTrigger", most_files)
-    if archive:
-        stream = stream.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    query = stream.load(folder).select("path").writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+FILE = "path string, modificationTime timestamp, length long, content binary"
+PATTERN = "*.{csv,csv.gz}"
+KEPT = "batch=*/group=*/kept=true"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@dataclass
+class Outcome:
+    """What became of the files of a batch: rows kept, or the error, by path."""
+
+    rows: dict[str, int] = field(default_factory=dict)
+    errors: dict[str, str] = field(default_factory=dict)
+
+
+def told(e: Exception) -> str:
+    """An error in a line: its condition where Spark has one."""
+    found = e.getCondition() if isinstance(e, PySparkException) else None
+    return f"{type(e).__name__}: {found or (str(e).strip().splitlines() or [''])[0]}"[:300]
+
+
+class Landing:
+    """Where the rows of files are written first: a folder for each batch, and one for each header in it."""
+
+    def __init__(self, spark: SparkSession, to: str, at: Column, multi_line: bool):
+        self.spark, self.to, self.at, self.multi_line = spark, f"{to}/landing", at, multi_line
+
+    def write(self, paths: list[str], header: list[str], to: str, batch: str) -> dict[str, int]:
+        """Rows kept of each file, counted by the pass that writes them."""
+        df, _ = S.read_csv(self.spark, paths, header=header, multi_line=self.multi_line)
+        plain = F.regexp_replace(F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")), "^[a-z0-9]+:/*", "/")
+        seen = Observation()
+        counts = [F.count_if(F.col("kept") & (F.col("path_") == _key(p))).alias(f"rows_{k}") for k, p in enumerate(paths)]  # as many as a batch has files
+        rows = S.split_rows(df.withColumn("path_", plain), batch, self.at).observe(seen, *counts)
+        rows.drop("path_").write.mode("overwrite").partitionBy("kept").parquet(to)
+        got = seen.get
+        return {p: got[f"rows_{k}"] for k, p in enumerate(paths)}
+
+    def load(self, paths: list[str], batch: str) -> Outcome:
+        """Land files whose rows become those of ``batch``; a batch that is run again replaces what it wrote."""
+        out, groups = Outcome(), {}
+        remove(self.spark, f"{self.to}/batch={batch}")
+        for path in paths:
+            try:
+                names = S.header_of(self.spark, path)
+                if lost := [c for c in S.REQUIRED if c not in names]:
+                    raise ValueError(f"missing required fields: {', '.join(lost)}")
+                groups.setdefault(tuple(names), []).append(path)
+            except Exception as e:  # whatever is wrong with this file stays with it
+                out.errors[path] = told(e)
+        for k, header in enumerate(sorted(groups)):
+            self._halve(groups[header], list(header), f"{self.to}/batch={batch}/group={k}", batch, out)
+        return out
+
+    def _halve(self, paths: list[str], header: list[str], to: str, batch: str, out: Outcome) -> None:
+        try:
+            out.rows |= self.write(paths, header, to, batch)
+        except Exception as e:
+            remove(self.spark, to)
+            if len(paths) == 1:
+                out.errors[paths[0]] = told(e)
+                return
+            half = len(paths) // 2
+            self._halve(paths[:half], header, f"{to}.0", batch, out)
+            self._halve(paths[half:], header, f"{to}.1", batch, out)
+
+
+def _key(path: str) -> str:
+    """A path without its scheme."""
+    return "/" + path.split(":", 1)[-1].lstrip("/")
+
+
+class Ledger:
+    def __init__(self, spark: SparkSession, path: str, at: Column):
+        self.spark, self.path, self.at = spark, path, at
+
+    def log(self) -> DataFrame:
+        return stored(self.spark, self.path, S.LEDGER)
+
+    def begin(self, files: DataFrame) -> None:
+        S.ledger_mark(files, "processing", self.at).write.mode("append").parquet(self.path)
+
+    def end(self, files: DataFrame, out: Outcome) -> None:
+        rows = [(p, "processed", n, None) for p, n in out.rows.items()] + [(p, "failed", None, e) for p, e in out.errors.items()]
+        told = self.spark.createDataFrame(rows, "path string, status string, records long, error string")
+        known = files.select("path", "size", "modified", "hash").join(F.broadcast(told), "path")  # a row for each file of a batch
+        known.withColumn("at", self.at.cast("timestamp")).select(*(c.split()[0] for c in S.LEDGER.split(", "))).write.mode("append").parquet(self.path)
+
+
+def listed(files: DataFrame) -> DataFrame:
+    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.lit(None).cast("string").alias("hash"))
+
+
+def ingest_files(
+    spark: SparkSession,
+    folder: str,
+    to: str,
+    state: str,
+    at: Column,
+    most_files: int = 100,
+    archive: str | None = None,
+    multi_line: bool = False,
+    tries: int = 3,
+    stale_seconds: int = 3600,
+) -> None:
+    """Load all new files of ``folder``, and those to try again, into ``to`` and stop. With ``archive``, files that are processed go there."""
+    stamp = spark.range(1).select(F.date_format(at, "yyyyMMdd_HHmmss")).first()[0] if archive else ""
+    landing, ledger = Landing(spark, to, at, multi_line), Ledger(spark, f"{state}/ledger", at)
+
+    def land(files: DataFrame, batch: str) -> None:
+        paths = sorted(r.path for r in files.select("path").collect())  # at most most_files
+        if not paths:
+            return
+        ledger.begin(files)
+        out = landing.load(paths, batch)
+        ledger.end(files, out)
+        for path in out.rows if archive else ():
+            try:
+                move(spark, path, f"{archive}/{stamp}_{path.rsplit('/', 1)[-1]}")
+            except Exception as e:  # the rows are stored: the file stays where it is
+                log.warning("not archived: %s: %s", path, told(e))
+
+    # decided before the new files are seen, so that each file is tried once in a run
+    due = _to_try_again(spark, folder, ledger, stale_seconds, tries)
+    stream = spark.readStream.format("binaryFile").schema(FILE).option("pathGlobFilter", PATTERN).option("recursiveFileLookup", True).option("maxFilesPerTrigger", most_files)
+    query = stream.load(folder).writeStream.foreachBatch(lambda batch, n: land(listed(batch), str(n))).option("checkpointLocation", f"{state}/files").trigger(availableNow=True).start()
     query.awaitTermination()
+    for k in range(0, len(due), most_files):
+        some = due[k : k + most_files]
+        files = spark.createDataFrame(some, "path string, size long, modified timestamp, hash string")
+        land(files, "again-" + md5("\n".join(f"{r.path} {r.size} {r.modified}" for r in some).encode()).hexdigest())
+    if exists(spark, f"{landing.to}/{KEPT}"):
+        dedupe(spark, landing.to, f"{to}/rows", f"{state}/rows")
+
 
+def _to_try_again(spark: SparkSession, folder: str, ledger: Ledger, stale_seconds: int, tries: int) -> list:
+    """Files of the folder that the ledger knows and that are to be done: no row for the others, which stay in Spark."""
+    if not exists(spark, ledger.path):
+        return []
+    files = listed(spark.read.format("binaryFile").option("pathGlobFilter", PATTERN).option("recursiveFileLookup", True).load(folder))
+    due = S.ledger_pending(files, ledger.log(), ledger.at, stale_seconds, tries).where("decision in ('retry', 'stale', 'changed')")
+    return files.join(due.select("path"), "path", "left_semi").orderBy("modified", "path").collect()
 
-def with_batch(spark: SparkSession, to: str) -> DataFrame:
-    return spark.read.option("basePath", to).parquet(f"{to}/batch=*")
+
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """State of streams that start inside is kept in RocksDB, beyond the executors' heap."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def dedupe(spark: SparkSession, landing: str, to: str, checkpoint: str, key: str = "record_hash") -> None:
+    """Append the landed valid rows that no batch had before to ``to``."""
+    schema = spark.read.parquet(landing).drop("batch", "group", "kept").schema
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 10_000).parquet(f"{landing}/{KEPT}")
+    first_of_each(spark, rows.drop("line", "reason"), [key], to, checkpoint)
+
+
+def first_of_each(spark: SparkSession, rows: DataFrame, keys: list[str], to: str, checkpoint: str) -> None:
+    """Append those rows of a stream to ``to`` whose keys it has not had before, in this run or an earlier one, and stop."""
+    with rocks(spark):
+        query = rows.dropDuplicates(keys).writeStream.format("parquet").option("path", to).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
 def ingested(spark: SparkSession, to: str) -> DataFrame:
-    return with_batch(spark, to).drop("batch")
+    return spark.read.parquet(f"{to}/rows")
+
+
+def quarantined(spark: SparkSession, to: str) -> DataFrame:
+    """(source_file, line, reason) of the rows that were not kept."""
+    return spark.read.parquet(f"{to}/landing").where("not kept").select("source_file", "line", "reason")

@@ -1,7 +1,10 @@
 """Jobs that write: streaming ingestion, replication, JDBC, headers; and histories without a customer."""
 
 import glob
+import gzip
+import itertools
 import os
+import shutil
 import tempfile
 
 import pytest
@@ -52,11 +55,72 @@ def test_files_done_are_archived(spark, folder):
     assert glob.glob(f"{folder}/archive/**/*.csv", recursive=True)
 
 
-def test_headers_are_read_in_one_job(spark, folder):
-    write(folder, "a.csv", ['a,"b, c",d', "1,2,3"])
-    write(folder, "b.csv", ["x"])
-    found = S.headers(spark, [f"file://{folder}/a.csv", f"file://{folder}/b.csv"])
-    assert sorted(found.values()) == [["a", "b, c", "d"], ["x"]]
+def test_headers_may_be_quoted_hold_line_breaks_and_be_compressed(spark, folder):
+    write(folder, "a.csv", ['a,"b, c","d', 'e"', "1,2,3"])
+    with gzip.open(f"{folder}/b.csv.gz", "wt", encoding="utf-8-sig") as f:
+        f.write("x,y\n" + "1,2\n" * 100_000)
+    assert S.header_of(spark, f"file://{folder}/a.csv") == ["a", "b, c", "d\ne"]
+    assert S.header_of(spark, f"file://{folder}/b.csv.gz") == ["x", "y"]
+    write(folder, "c.csv", [""])
+    with pytest.raises(ValueError):
+        S.header_of(spark, f"file://{folder}/c.csv")
+
+
+def ledger_of(spark, folder):
+    log = spark.read.parquet(f"file://{folder}/state/ledger")
+    return {os.path.basename(r.path): (r.status, r.records, r.attempts) for r in S.ledger_state(log).collect()}
+
+
+def test_a_bad_file_stays_alone_and_is_tried_again(spark, folder):
+    os.mkdir(f"{folder}/in")
+    hour = itertools.count()
+    run = lambda: ingest.ingest_files(spark, f"file://{folder}/in", f"file://{folder}/out", f"file://{folder}/state", now() + F.make_dt_interval(hours=F.lit(next(hour))), tries=2)
+    for k in range(6):
+        write(f"{folder}/in", f"good {k}+é.csv", ["shipment_id,order_id", f"s{k},o{k}", f"t{k},", f'"u{k}","o{k}",more'])
+    whole = gzip.compress(("shipment_id,order_id\n" + "".join(f"g{i},{i * 7919 % 10007}\n" for i in range(90_000))).encode())
+    with open(f"{folder}/in/cut.csv.gz", "wb") as f:
+        f.write(whole[: len(whole) // 2])
+    write(f"{folder}/in", "no ids.csv", ["shipment_id,carrier", "x,ups"])
+    run()
+    good = {f"good {k}+é.csv": ("processed", 1, 1) for k in range(6)}
+    assert ledger_of(spark, folder) == good | {"cut.csv.gz": ("failed", None, 1), "no ids.csv": ("failed", None, 1)}
+    assert sorted(r.shipment_id for r in ingest.ingested(spark, f"file://{folder}/out").collect()) == [f"s{k}" for k in range(6)]
+    bad = [(r.line, r.reason) for r in ingest.quarantined(spark, f"file://{folder}/out").collect()]
+    assert len(bad) == 12 and ('"u3","o3",more', "malformed") in bad and {x for _, x in bad} == {"malformed", "missing order_id"}
+    with open(f"{folder}/in/cut.csv.gz", "wb") as f:
+        f.write(whole)
+    run()
+    assert ledger_of(spark, folder) == good | {"cut.csv.gz": ("processed", 90_000, 2), "no ids.csv": ("failed", None, 2)}
+    assert ingest.ingested(spark, f"file://{folder}/out").count() == 90_006
+    run()
+    assert ledger_of(spark, folder)["no ids.csv"] == ("failed", None, 2)  # given up
+    write(f"{folder}/in", "no ids.csv", ["shipment_id,order_id", "x,o1", "s1,o1"])
+    run()
+    assert ledger_of(spark, folder)["no ids.csv"] == ("processed", 2, 3)
+    assert ingest.ingested(spark, f"file://{folder}/out").count() == 90_007  # s1 of o1 was there
+
+
+def test_batches_do_not_read_what_is_stored(spark, folder):
+    os.mkdir(f"{folder}/in")
+    for k in range(3):
+        write(f"{folder}/in", f"{k}.csv", ["shipment_id,order_id", f"s{k},o{k}", "same,row"])
+        ingest.ingest_files(spark, f"file://{folder}/in", f"file://{folder}/out", f"file://{folder}/state", now())
+        if k == 1:  # what is stored may be gone: what has been seen is state of the stream
+            for f in glob.glob(f"{folder}/out/rows/*.parquet"):
+                os.rename(f, f"{folder}/{os.path.basename(f)}")
+            shutil.move(f"{folder}/out/rows/_spark_metadata", f"{folder}/metadata")
+    assert [r.shipment_id for r in spark.read.parquet(*(f"file://{f}" for f in glob.glob(f"{folder}/out/rows/*.parquet"))).collect()] == ["s2"]
+
+
+def test_only_moved_files_are_hashed(spark, folder):
+    write(folder, "a.csv", ["1"])
+    write(folder, "b.csv", ["1"])
+    one = S.manifest(spark, f"file://{folder}")
+    kept = spark.createDataFrame([(*r[:3], "kept") for r in one.collect()], one.schema)
+    os.utime(f"{folder}/b.csv", (1, 1))
+    two = S.manifest(spark, f"file://{folder}", before=kept)
+    assert {os.path.basename(r.path): r.hash == "kept" for r in two.collect()} == {"a.csv": True, "b.csv": False}
+    assert [(os.path.basename(r.path), r.change) for r in S.file_changes(two, kept).collect()] == [("b.csv", "changed")]
 
 
 def test_manifest_hashes_follow_the_contents(spark, folder):
