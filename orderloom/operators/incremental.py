@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.buckets import BucketedTable, merge
+
 EPOCH = "1900-01-01 00:00:00"
 END = "9999-12-31"
 
@@ -64,6 +66,29 @@ def scd2(changes: DataFrame, keys: list[str], attributes: list[str], at: str, ti
     return rows.withColumn("is_current", F.col("next_").isNull()).select(*keys, *attributes, "effective_date", "end_date", "is_current")
 
 
+def merge_versions(table: BucketedTable, arrivals: DataFrame, at: str, tie: str) -> int:
+    """Put a stored batch of changes, late ones and repeats included, into stored ``versions``: those of its keys are closed and numbered anew, the others stay. Gives the version."""
+
+    def change(old: DataFrame, batch: DataFrame) -> DataFrame:
+        keys = batch.select(*table.keys).distinct()
+        again = old.join(keys, table.keys, "left_semi").select(*batch.columns).unionByName(batch).dropDuplicates([*table.keys, at, tie])
+        return old.join(keys, table.keys, "left_anti").unionByName(versions(again, table.keys, at, tie))
+
+    return merge(table, arrivals, change, versions(arrivals, table.keys, at, tie))
+
+
+def merge_dimension(dimension: BucketedTable, changes: BucketedTable, arrivals: DataFrame, attributes: list[str], at: str, tie: str) -> int:
+    """Bring a stored ``scd2`` dimension up to date after ``merge_versions`` of ``arrivals``: rows of their keys are made anew from the stored changes."""
+    keys = dimension.keys
+
+    def change(old: DataFrame, batch: DataFrame) -> DataFrame:
+        touched = batch.select(*keys).distinct()
+        known = changes.rows(changes.version(), changes.touched(batch)).join(touched, keys, "left_semi")
+        return old.join(touched, keys, "left_anti").unionByName(scd2(known, keys, attributes, at, tie))
+
+    return merge(dimension, arrivals, change, scd2(arrivals, keys, attributes, at, tie))
+
+
 def replication_lag(source: DataFrame, state: DataFrame, watermark: str, tolerance_seconds: int = 6 * 3600) -> DataFrame:
     """One row: seconds between the newest source row and the stored watermark, status, breach of the tolerance."""
     j = source.agg(F.max(watermark).alias("newest")).join(state.agg(F.max("watermark").alias("stored")))

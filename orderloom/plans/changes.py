@@ -11,12 +11,18 @@ from ..operators import incremental as I
 from ..operators import quality as Q
 from ..operators import replication as P
 from ..operators import runlog as L
-from ..sources import retail
-from ..sources.storage import scan_since, scratch, write_sink
+from ..operators.watermarks import Watermarks
+from ..sources import database, retail
+from ..sources.buckets import BucketedTable
+from ..sources.storage import scratch
+from ..streaming import ingest
 from .results import parse, result, result_sql
 from .warehouse import FACT, MODELS_SQL, NOW, Warehouse
 
 CUT = "2024-01-20 00:00:00"
+BUCKETS = 16
+#: Texts of these tables in a database.
+TEXTS = "event_type VARCHAR(100)"
 
 
 class Changes(Warehouse):
@@ -125,12 +131,30 @@ def _late(w) -> DataFrame:
 BATCH = f"(SELECT * FROM source WHERE ts >= TIMESTAMP '{CUT}' OR event_id % 10 = 0)"
 VERSION = "order_key:l nth:l operation_type status record_version:l effective_from effective_to is_current:b"
 VERSION_SQL = "SELECT *, effective_to IS NULL AND operation_type <> 'DELETE' AS is_current FROM (SELECT *, row_number() OVER w AS record_version, changed_at AS effective_from, lead(changed_at) OVER w AS effective_to FROM feed WINDOW w AS (PARTITION BY order_key ORDER BY changed_at, nth))"
+SCD2_SQL = "SELECT order_key, status, CAST(changed_at AS DATE) AS effective_date, coalesce(nxt, DATE '9999-12-31') AS end_date, nxt IS NULL AS is_current FROM (SELECT *, lead(CAST(changed_at AS DATE)) OVER w AS nxt FROM (SELECT * FROM feed QUALIFY coalesce(lag(operation_type || '|' || status) OVER (PARTITION BY order_key ORDER BY changed_at, nth) <> operation_type || '|' || status, true)) WINDOW w AS (PARTITION BY order_key ORDER BY changed_at, nth)) WHERE operation_type <> 'DELETE'"
 EVENT = "event_id:l ts event_type cents:l"
 
 
-def _watermark_log(w) -> DataFrame:
-    rows = w.events.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.max("ts").alias("watermark"))
-    return rows.select(F.when(F.dayofmonth("day") % 2 == 0, F.concat(F.lit("raw."), "event_type")).otherwise(F.col("event_type")).alias("table_name"), F.lit("ts").alias("column_name"), "watermark", F.col("watermark").alias("written_at"))
+def _watermarks(w) -> tuple[Watermarks, DataFrame]:
+    """The marks of each event type as they were at the cut, kept as a backup, then as they are."""
+
+    def marks(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(F.concat(F.lit("raw."), "event_type").alias("table_name")).agg(F.max("ts").alias("watermark")).withColumn("column_name", F.lit("ts"))
+
+    m = Watermarks(w.spark, scratch(w.spark, "watermarks"))
+    m.set_all(marks(w.events.where(F.col("ts") < w.cut)), w.now)
+    m.backup("daily", w.now)
+    m.set_all(marks(w.events), w.now + F.make_dt_interval(hours=F.lit(2)))
+    return m, m.list(w.now)
+
+
+def _restored(w) -> DataFrame:
+    """Marks restored from a backup, and to a point in time, and how many backups they have."""
+    by_label, by_time = _watermarks(w)[0], _watermarks(w)[0]
+    by_label.restore(w.now + F.make_dt_interval(hours=F.lit(3)), label="daily")
+    by_time.restore(w.now + F.make_dt_interval(hours=F.lit(3)), until=w.now + F.make_dt_interval(hours=F.lit(1)))
+    by_time.backup("after", w.now + F.make_dt_interval(hours=F.lit(4)))
+    return by_label.list(w.now).withColumn("how", F.lit("label")).unionByName(by_time.list(w.now).withColumn("how", F.lit("time")))
 
 
 def versions_of(w) -> DataFrame:
@@ -145,18 +169,64 @@ def _column_counts(w) -> DataFrame:
     return w.spark.createDataFrame([(t, len(retail.read(w.spark, w.sf_dir, t).columns), n) for t, n in COLUMN_COUNTS.items()], "table_name string, columns long, n long").withColumn("as_expected", F.col("columns") == F.col("n"))
 
 
+def _kept(w, df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a stored table."""
+    to = scratch(w.spark, name)
+    df.write.parquet(to)
+    return w.spark.read.parquet(to)
+
+
 def _replicated(w) -> DataFrame:
-    """A batch upserted into a stored target, which is written and read back."""
-    to = scratch(w.spark, "replicated")
-    I.upsert(w.target, _late(w), ["event_id"], ["ts"]).write.parquet(to)
-    return I.upsert_counts(w.target, _late(w), ["event_id"]).join(w.spark.read.parquet(to).agg(F.count(F.lit(1)).alias("held")))  # one row each
+    """A batch upserted into a stored target: what the write has counted, and the rows then held."""
+    t = BucketedTable(w.spark, scratch(w.spark, "replicated"), ["event_id"], BUCKETS)
+    P.apply_batch(t, 0, _kept(w, w.target, "batch"), "upsert", ["ts"])
+    inserted, updated = P.apply_batch(t, 1, _kept(w, _late(w), "batch"), "upsert", ["ts"])
+    return t.rows(2).agg(F.count(F.lit(1)).alias("held")).withColumns({"inserted": F.lit(inserted), "updated": F.lit(updated)})
+
+
+def _buckets_written(w) -> DataFrame:
+    """(bucket, held): after a batch of the last hours, the version that holds each bucket of the target."""
+    t = BucketedTable(w.spark, scratch(w.spark, "replicated"), ["event_id"], BUCKETS)
+    P.apply_batch(t, 0, _kept(w, w.source, "batch"), "upsert", ["ts"])
+    last = w.source.agg((F.max("ts") - F.make_dt_interval(hours=F.lit(6))).alias("since"))
+    P.apply_batch(t, 1, _kept(w, w.source.join(F.broadcast(last), F.col("ts") > F.col("since")).drop("since"), "batch"), "upsert", ["ts"])  # one row
+    return t.manifest(2)
+
+
+def _inserted(w) -> DataFrame:
+    """Two runs that append."""
+    to, state = scratch(w.spark, "appended"), scratch(w.spark, "appended-state")
+    for source in (w.target, w.source):
+        P.replicate(source, to, state, "raw.events", "ts", ["event_id"], w.now, mode="insert", buckets=BUCKETS)
+    return P.target_table(w.spark, to, 2)
+
+
+def _arrived(w) -> tuple[BucketedTable, BucketedTable]:
+    """The feed in three batches, the first changes of orders after the second ones: stored versions, and a stored dimension."""
+    v = BucketedTable(w.spark, scratch(w.spark, "versions"), ["order_key"], BUCKETS)
+    d = BucketedTable(w.spark, scratch(w.spark, "dimension"), ["order_key"], BUCKETS)
+    for nth in (1, 0, 2):
+        batch = _kept(w, w.feed.where(F.col("nth") == nth), "arrivals")
+        I.merge_versions(v, batch, "changed_at", "nth")
+        I.merge_dimension(d, v, batch, ["status"], "changed_at", "nth")
+    return v, d
+
+
+def _deduped(w) -> DataFrame:
+    """The feed's order statuses in three deliveries, each to a stream that keeps what it has seen."""
+    folder, to, state = (scratch(w.spark, n) for n in ("deliveries", "distinct", "distinct-state"))
+    for nth in range(3):
+        w.feed.where(F.col("nth") == nth).select("order_key", "status").write.mode("append").parquet(folder)
+        rows = w.spark.readStream.schema("order_key long, status string").parquet(folder)
+        ingest.first_of_each(w.spark, rows, ["order_key", "status"], to, state)
+    return w.spark.read.parquet(to)
 
 
 def _run_three_times(w) -> tuple[list[DataFrame], str]:
     """The target's rows, then the source's, then nothing new, replicated into one table."""
     to, state = scratch(w.spark, "replica"), scratch(w.spark, "replica-state")
     checks = [Q.not_null("event_id"), Q.not_null("ts"), Q.row_count(1, None)]
-    how = {"target": to, "state": state, "table": "events", "watermark": "ts", "keys": ["event_id"], "at": w.now, "checks": checks, "lag_tolerance": 3600}
+    how = {"target": to, "state": state, "table": "events", "watermark": "ts", "keys": ["event_id"], "at": w.now, "checks": checks, "lag_tolerance": 3600, "buckets": BUCKETS}
     return [P.replicate(source, **how) for source in (w.target, w.source, w.source)], to
 
 
@@ -170,16 +240,21 @@ def _replication_target(w) -> DataFrame:
 
 
 def _scanned(w) -> DataFrame:
-    to = scratch(w.spark, "scan")
-    write_sink(w.source, to)
-    return scan_since(w.spark, "ts", w.cut, path=to)
+    """The source in a database, read in ranges of its key above the cut."""
+    url = database.local_url(w.spark)
+    database.write(_kept(w, w.source, "batch"), url, "source_events", "b1", column_types=TEXTS)
+    return database.scan(w.spark, url, "source_events", "event_id", "ts", w.cut, task_rows=2_000)
 
 
 def _sunk(w) -> DataFrame:
-    to = scratch(w.spark, "sink")
-    write_sink(w.target, to)
-    write_sink(w.source, to)
-    return w.spark.read.parquet(to)
+    """Two batches appended to a table of a database, the first one twice, and a third that replaces the rows of its keys in another."""
+    url, target, source = database.local_url(w.spark), _kept(w, w.target, "batch"), _kept(w, w.source, "batch")
+    for rows, batch in ((target, "b1"), (source, "b2"), (target, "b1")):
+        database.write(rows, url, "appended", batch, column_types=TEXTS)
+    for rows, batch in ((target, "u1"), (source, "u2")):
+        database.write(rows, url, "replaced", batch, keys=["event_id"], column_types=TEXTS)
+    both = [database.scan(w.spark, url, t, "event_id", task_rows=2_000).withColumn("how", F.lit(t)) for t in ("appended", "replaced")]
+    return both[0].unionByName(both[1])
 
 
 def _saved_checks(w) -> DataFrame:
@@ -230,11 +305,13 @@ SELECT 1 AS run, count(*) AS extracted, count(*) AS inserted, 0 AS updated, coun
 UNION ALL SELECT 2, count(*), count(*) FILTER (event_id NOT IN (SELECT event_id FROM target)), count(*) FILTER (event_id IN (SELECT event_id FROM target)), (SELECT count(DISTINCT event_id) FROM source), 2, (SELECT max(ts) FROM target), max(ts) FROM source WHERE ts > (SELECT max(ts) FROM target)
 UNION ALL SELECT 3, 0, 0, 0, count(DISTINCT event_id), 2, max(ts), max(ts) FROM source"""),
     "replication_target": (_replication_target, EVENT, "SELECT * FROM target UNION ALL SELECT * FROM source WHERE ts > (SELECT max(ts) FROM target)"),
+    "replication_buckets": (_buckets_written, "bucket:l held:l", f"SELECT bucket, CASE WHEN max(ts) > (SELECT max(ts) FROM source) - INTERVAL 6 HOUR THEN 2 ELSE 1 END AS held FROM (SELECT *, CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) % {BUCKETS} AS bucket FROM source) GROUP BY bucket"),
     "jdbc_scan_incremental": (_scanned, EVENT, f"SELECT * FROM source WHERE ts > TIMESTAMP '{CUT}'"),
-    "jdbc_sink": (_sunk, EVENT, "SELECT * FROM target UNION ALL SELECT * FROM source"),
+    "jdbc_sink": (_sunk, "how " + EVENT, "SELECT 'appended' AS how, * FROM target UNION ALL SELECT 'appended', * FROM source UNION ALL SELECT 'replaced', * FROM source"),
     "quality_results_sink": (_saved_checks, CHECK + " batch_id", " UNION ALL ".join(f"SELECT *, 'batch-{n}' AS batch_id FROM ({_suite(n)[2]})" for n in SUITES)),
-    "replicate_insert": (lambda w: w.target.unionByName(I.newer_than(w.source, w.target, "ts")), EVENT, "SELECT * FROM target UNION ALL SELECT * FROM source WHERE ts > (SELECT max(ts) FROM target)"),
-    "watermark_store": (lambda w: I.current_watermarks(_watermark_log(w)), "table_name column_name watermark", "SELECT event_type AS table_name, 'ts' AS column_name, max(ts) AS watermark FROM events GROUP BY 1"),
+    "replicate_insert": (_inserted, EVENT, "SELECT * FROM target UNION ALL SELECT * FROM source WHERE ts > (SELECT max(ts) FROM target)"),
+    "watermark_store": (lambda w: _watermarks(w)[1], "table_name column_name watermark backups:l age_hours:d", f"SELECT event_type AS table_name, 'ts' AS column_name, max(ts) AS watermark, CASE WHEN min(ts) < TIMESTAMP '{CUT}' THEN 1 ELSE 0 END AS backups, (epoch({NOW}) - floor(epoch(max(ts)))) / CAST(3600 AS DOUBLE) AS age_hours FROM events GROUP BY 1"),
+    "watermark_restore": (_restored, "how table_name watermark backups:l", f"SELECT how, event_type AS table_name, coalesce(max(ts) FILTER (ts < TIMESTAMP '{CUT}'), max(ts)) AS watermark, CASE WHEN min(ts) < TIMESTAMP '{CUT}' THEN 1 ELSE 0 END + CASE how WHEN 'time' THEN 1 ELSE 0 END AS backups FROM events, (VALUES ('label'), ('time')) AS v(how) GROUP BY 1, 2"),
     "replication_lag": (lambda w: I.replication_lag(w.source, w.target.groupBy("event_type").agg(F.max("ts").alias("watermark")), "ts"), "lag_seconds:l status breach:b", "SELECT CAST(floor(epoch(max(s.ts))) - floor((SELECT epoch(max(ts)) FROM target)) AS BIGINT) AS lag_seconds, 'lagging' AS status, true AS breach FROM source s"),
     "replication_throughput": (lambda w: I.throughput(w.runs.withColumn("mb", F.col("tasks") * 0.5), "tasks", "total_seconds", "mb"), "run_id:l records_per_second:d records_per_minute:d mb_per_second:d", "SELECT run_id, CASE WHEN total_seconds > 0 THEN round(tasks / total_seconds, 2) ELSE 0 END AS records_per_second, CASE WHEN total_seconds > 0 THEN round(tasks * 60 / total_seconds, 2) ELSE 0 END AS records_per_minute, CASE WHEN total_seconds > 0 THEN round(tasks * CAST(0.5 AS DOUBLE) / total_seconds, 2) ELSE 0 END AS mb_per_second FROM runs"),
     "watermark_stats": (lambda w: I.watermark_stats(w.source, "ts", F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")), "total:l with_watermark:l oldest newest avg_age_seconds:d", "SELECT count(*) AS total, count(ts) AS with_watermark, min(ts) AS oldest, max(ts) AS newest, avg(epoch(TIMESTAMP '2024-02-01') - floor(epoch(ts))) AS avg_age_seconds FROM source"),
@@ -242,11 +319,13 @@ UNION ALL SELECT 3, 0, 0, 0, count(DISTINCT event_id), 2, max(ts), max(ts) FROM
     "replication_setup_check": (lambda w: w.source.agg(F.count(F.lit(1)).alias("n"), F.count("ts").alias("marked"), F.max("ts").alias("high")).withColumn("is_valid", F.lit("ts" in w.source.columns) & (F.col("marked") > 0)), "n:l marked:l high is_valid:b", "SELECT count(*) AS n, count(ts) AS marked, max(ts) AS high, count(ts) > 0 AS is_valid FROM source"),
     "post_load_check": (lambda w: I.newer_than(w.source, w.target, "ts").agg(F.count(F.lit(1)).alias("loaded")).join(w.target.agg(F.count(F.lit(1)).alias("held"))).withColumn("passed", ~((F.col("loaded") > 0) & (F.col("held") == 0))), "loaded:l held:l passed:b", "SELECT count(*) AS loaded, (SELECT count(*) FROM target) AS held, NOT (count(*) > 0 AND (SELECT count(*) FROM target) = 0) AS passed FROM source WHERE ts > (SELECT max(ts) FROM target)"),
     "cdc_versioning": (versions_of, VERSION, VERSION_SQL),
+    "cdc_arrivals": (lambda w: (t := _arrived(w)[0]).rows(t.version()), VERSION, VERSION_SQL),
+    "scd2_arrivals": (lambda w: (t := _arrived(w)[1]).rows(t.version()), "order_key:l status effective_date end_date is_current:b", SCD2_SQL),
     "version_number": (lambda w: versions_of(w).groupBy("order_key").agg((F.max("record_version") + 1).alias("next_version")), "order_key:l next_version:l", "SELECT order_key, count(*) + 1 AS next_version FROM feed GROUP BY 1"),
     "current_rows": (lambda w: versions_of(w).where("is_current"), VERSION, f"SELECT * FROM ({VERSION_SQL}) WHERE is_current"),
     "order_history": (lambda w: versions_of(w).where("effective_from >= timestamp_ntz '2000-01-01 00:00:00'").orderBy("order_key", "record_version"), VERSION, f"SELECT * FROM ({VERSION_SQL}) WHERE effective_from >= TIMESTAMP '2000-01-01'"),
-    "scd2_dimension": (lambda w: I.scd2(w.feed, ["order_key"], ["status"], "changed_at", "nth"), "order_key:l status effective_date end_date is_current:b", "SELECT order_key, status, CAST(changed_at AS DATE) AS effective_date, coalesce(nxt, DATE '9999-12-31') AS end_date, nxt IS NULL AS is_current FROM (SELECT *, lead(CAST(changed_at AS DATE)) OVER w AS nxt FROM (SELECT * FROM feed QUALIFY coalesce(lag(operation_type || '|' || status) OVER (PARTITION BY order_key ORDER BY changed_at, nth) <> operation_type || '|' || status, true)) WINDOW w AS (PARTITION BY order_key ORDER BY changed_at, nth)) WHERE operation_type <> 'DELETE'"),
-    "stateful_dedupe": (lambda w: w.feed.select("order_key", "status").dropDuplicates(["order_key", "status"]), "order_key:l status", "SELECT DISTINCT order_key, status FROM feed"),
+    "scd2_dimension": (lambda w: I.scd2(w.feed, ["order_key"], ["status"], "changed_at", "nth"), "order_key:l status effective_date end_date is_current:b", SCD2_SQL),
+    "stateful_dedupe": (_deduped, "order_key:l status", "SELECT DISTINCT order_key, status FROM feed"),
     "row_number_global": (lambda w: I.numbered(w.source, F.to_date("ts"), "ts", "event_id"), "event_id:l id:l", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS id FROM source"),
     "lateral_generate": (lambda w: w.raw_orders.select("order_id", F.explode(F.sequence(F.lit(1), (F.substring("order_id", 5, 9).cast("int") % 3 + 1))).alias("line")), "order_id line:l", "SELECT order_id, line FROM raw_orders, LATERAL (SELECT unnest(generate_series(1, CAST(substr(order_id, 5, 9) AS INTEGER) % 3 + 1)) AS line)"),
     "task_metrics": (lambda w: w.runs, "run_id:l tasks:l succeeded:l failed:l total_seconds:d retries:l longest_task:l", "SELECT * FROM runs"),

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -55,9 +55,17 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
-def claim(spark: SparkSession, path: str) -> bool:
-    """Make an empty file; false if there is one already, so that of several writers one alone goes on."""
+def names(spark: SparkSession, pattern: str) -> list[str]:
+    """Last parts of the paths that a name with wildcards finds."""
+    fs, where = _file_system(spark, pattern)
+    return [x.getPath().getName() for x in fs.globStatus(where) or []]
+
+
+def claim(spark: SparkSession, path: str, seconds: int) -> bool:
+    """Make an empty file; false if there is one already that is not older than ``seconds``, so that of several writers one alone goes on."""
     fs, where = _file_system(spark, path)
+    if fs.exists(where) and fs.getFileStatus(where).getModificationTime() < (time.time() - seconds) * 1000:
+        fs.delete(where, False)
     return fs.createNewFile(where)
 
 
@@ -82,26 +90,6 @@ def load_table(df: DataFrame, path: str, if_exists: str = "append") -> None:
     df.write.mode({"append": "append", "replace": "overwrite", "fail": "errorifexists"}[if_exists]).parquet(path)
 
 
-def write_sink(df: DataFrame, path: str | None = None, url: str | None = None, table: str | None = None, batch_size: int = 10_000) -> None:
-    """Append to a JDBC table, or to Parquet where no URL is set."""
-    if url:
-        df.write.format("jdbc").options(url=url, dbtable=table, batchsize=batch_size, isolationLevel="READ_COMMITTED", stringtype="unspecified").mode("append").save()
-    else:
-        df.write.mode("append").parquet(path)
-
-
-def read_jdbc(spark: SparkSession, url: str, table: str, where: Column | None = None) -> DataFrame:
-    """Spark pushes the filter down into the source's query."""
-    df = spark.read.format("jdbc").options(url=url, dbtable=table).load()
-    return df if where is None else df.where(where)
-
-
-def scan_since(spark: SparkSession, watermark: str, last: Column, path: str | None = None, url: str | None = None, table: str | None = None) -> DataFrame:
-    """Rows of a JDBC table, or of a Parquet one where no URL is set, above the last watermark; the source applies the filter."""
-    newer = F.col(watermark) > last
-    return read_jdbc(spark, url, table, newer) if url else spark.read.parquet(path).where(newer)
-
-
 def materialize(df: DataFrame, name: str, layer: str, partition_by: list[str] | None = None, path: str | None = None) -> None:
     """A view for staging and intermediate models, a table for marts, at ``path`` if it is given."""
     if layer in ("staging", "intermediate"):

@@ -4,6 +4,7 @@ import glob
 import gzip
 import itertools
 import os
+import random
 import shutil
 import tempfile
 
@@ -11,11 +12,14 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from orderloom.operators import incremental as I
 from orderloom.operators import models as M
 from orderloom.operators import quality as Q
 from orderloom.operators import replication as P
+from orderloom.operators.watermarks import Watermarks
+from orderloom.sources import database
 from orderloom.sources import shipment_files as S
-from orderloom.sources import storage
+from orderloom.sources.buckets import BucketedTable
 from orderloom.streaming import ingest
 
 
@@ -148,19 +152,116 @@ def test_replication_keeps_state_when_checks_fail(spark, folder):
             P.replicate(rows((1, 1, 1)), **how | bad)
 
 
-def test_jdbc_appends_and_pushes_filters(spark, folder):
+def test_an_upsert_leaves_other_buckets_alone(spark, folder):
+    t = BucketedTable(spark, f"file://{folder}/t", ["id"], buckets=8, keep=2)
+
+    def batch(name, *rows):
+        spark.createDataFrame(rows, "id long, at long, v string").write.parquet(f"file://{folder}/{name}")
+        return spark.read.parquet(f"file://{folder}/{name}")
+
+    files = lambda: {f: os.path.getmtime(f) for f in glob.glob(f"{folder}/t/data/version=1/**/*.parquet", recursive=True)}
+    assert P.apply_batch(t, 0, batch("a", *((i, 1, "a") for i in range(100)), (None, 1, "a")), "upsert", ["at"]) == (101, 0)
+    before = files()
+    assert P.apply_batch(t, 1, batch("b", (7, 2, "b"), (7, 3, "c"), (200, 1, "new")), "upsert", ["at"]) == (1, 1)
+    after, touched = files(), t.touched(batch("c", (7, 0, ""), (200, 0, "")))
+    assert {r.bucket for r in t.manifest(2).collect() if r.held == 2} == set(touched) and 0 < len(touched) < 8
+    assert after == before and len(t.rows(2).collect()) == 102
+    assert [tuple(r) for r in t.rows(2).where("id in (7, 200)").orderBy("id").collect()] == [(7, 3, "c"), (200, 1, "new")]
+    assert P.apply_batch(t, 2, batch("d", (7, 4, "d"), (7, 4, "d")), "insert", ["at"]) == (2, 0)
+    assert t.rows(3).where("id = 7").count() == 3 and t.versions() == [2, 3]  # the first version is expired
+    gone = [f for f in before if not os.path.exists(f)]
+    assert {f.split("bucket=")[1].split("/")[0] for f in gone} == {str(b) for b in touched}
+
+
+def test_one_of_two_writers_goes_on(spark, folder):
+    t = BucketedTable(spark, f"file://{folder}/t", ["id"])
+    with t.writing(1):
+        with pytest.raises(RuntimeError), t.writing(1):
+            pass
+    with t.writing(1):
+        pass
+    t.claim_seconds = -1
+    with t.writing(1), t.writing(1):  # a claim that is too old does not count
+        pass
+
+
+def test_a_damaged_state_is_an_error(spark, folder):
+    os.mkdir(f"{folder}/s")
+    with open(f"{folder}/s/part.parquet", "w") as f:
+        f.write("no parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        Watermarks(spark, f"file://{folder}/s").current().collect()
+    assert Watermarks(spark, f"file://{folder}/none").current().collect() == []
+
+
+def test_watermarks_are_restored(spark, folder):
+    m = Watermarks(spark, f"file://{folder}/w")
+    day = lambda d: F.lit(f"2020-01-{d:02d} 00:00:00").cast("timestamp_ntz")
+    value = lambda: {(r.table_name, r.watermark.day, r.version) for r in m.current().collect()}
+    m.set("raw.t", "at", day(1), day(11), 1)
+    m.backup("one", day(11))
+    m.set("t", "at", day(2), day(12), 2)
+    m.set("u", "at", day(5), day(12))
+    assert value() == {("t", 2, 2), ("u", 5, None)}
+    m.restore(day(13), label="one")
+    assert value() == {("t", 1, 2), ("u", 5, None)}
+    m.restore(day(14), until=day(12))
+    assert value() == {("t", 2, 2), ("u", 5, None)}
+    for bad in ({"label": "two"}, {}, {"label": "one", "until": day(1)}):
+        with pytest.raises(ValueError):
+            m.restore(day(15), **bad)
+
+
+def test_versions_merged_on_arrival_are_those_of_one_pass(spark, folder):
+    rng = random.Random(3)
+    feed = [(k, n, f"2020-01-{rng.randint(1, 28):02d} 00:00:00", "DELETE" if k % 7 == 0 and n == 3 else "UPDATE", rng.choice("ab")) for k in range(60) for n in range(rng.randint(1, 5))]
+    rng.shuffle(feed)
+    frame = lambda rows: spark.createDataFrame(rows, "k long, nth int, at string, operation_type string, status string").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    v, d = (BucketedTable(spark, f"file://{folder}/{n}", ["k"], 4) for n in "vd")
+    for n, rows in enumerate((feed[:40], feed[40:90], feed[90:] + feed[:5], feed[-1:])):
+        frame(rows).write.parquet(f"file://{folder}/batch{n}")
+        batch = spark.read.parquet(f"file://{folder}/batch{n}")
+        I.merge_versions(v, batch, "at", "nth")
+        I.merge_dimension(d, v, batch, ["status"], "at", "nth")
+    want = I.versions(frame(feed), ["k"], "at", "nth")
+    assert sorted(map(str, v.rows(v.version()).select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    want = I.scd2(frame(feed), ["k"], ["status"], "at", "nth")
+    assert sorted(map(str, d.rows(d.version()).select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_jdbc_scans_in_ranges_and_writes_once(spark, folder):
     url = f"jdbc:derby:{folder}/db;create=true"
-    df = spark.range(100).select(F.col("id").alias("n"), (F.col("id") * 2).alias("twice"))
+    spark.range(1000).select(F.col("id").alias("n"), (F.col("id") * 2).alias("twice"), F.lit("x").alias("name")).write.parquet(f"file://{folder}/rows")
+    df, types = spark.read.parquet(f"file://{folder}/rows"), "name VARCHAR(10)"
+    assert [database.write(df, url, "t", "one", column_types=types), database.write(df, url, "t", "one", column_types=types)] == [1000, 0]
+    assert database.write(df.where("n < 10"), url, "t", "two", column_types=types) == 10
+    found = database.scan(spark, url, "t", "n", "twice", F.lit(200), task_rows=100)
+    assert found.count() == 899 and found.rdd.getNumPartitions() == 9
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(twice,200)" in plan and "Filter" not in plan.replace("PushedFilters", "")
+    assert database.write(df.where("n < 20").withColumn("twice", F.lit(-1).cast("long")), url, "t", "three", keys=["n"], column_types=types) == 20
+    assert database.scan(spark, url, "t", "n", task_rows=100).agg(F.count("n"), F.count_if(F.col("twice") == -1)).first()[:] == (1000, 20)
+    with pytest.raises(ValueError):
+        database.scan(spark, url, "t; drop table t", "n")
+
+
+def test_a_task_that_is_run_again_does_not_double_rows(spark, folder):
+    url = f"jdbc:derby:{folder}/db;create=true"
+    spark.range(50).withColumnRenamed("id", "n").write.parquet(f"file://{folder}/rows")
+    df = spark.read.parquet(f"file://{folder}/rows")
+    whole, move = database.run, []
+
+    def twice(connection, sql, *values):
+        if sql.startswith("INSERT INTO t ") and not move:  # some rows were stored by a run of a task that was lost
+            move.append(whole(connection, 'INSERT INTO t_stage SELECT * FROM t_stage WHERE "n" < 20'))
+        return whole(connection, sql, *values)
+
+    database.run = twice
     try:
-        storage.write_sink(df, url=url, table="t")
-    except Exception as e:  # no driver among Spark's own jars
-        if "derby" in str(e).lower() or "suitable driver" in str(e).lower():
-            pytest.skip("no JDBC driver")
-        raise
-    storage.write_sink(df, url=url, table="t")
-    found = storage.scan_since(spark, "n", F.lit(97), url=url, table="t")
-    assert sorted(r.twice for r in found.collect()) == [196, 196, 198, 198]
-    assert "PushedFilters: [*IsNotNull(n), *GreaterThan(n,97)]" in found._jdf.queryExecution().executedPlan().toString().replace("N", "N")
+        assert database.write(df, url, "t", "b") == 50 and move == [20]
+    finally:
+        database.run = whole
+    assert database.scan(spark, url, "t", "n").count() == 50
 
 
 def test_orders_without_a_customer_are_one_history(spark):
