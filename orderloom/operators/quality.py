@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.constraints import CONSTRAINTS, checkable
+
 RESULT = "suite string, check_name string, table_name string, column_name string, success boolean, observed double, expected string"
 
 
@@ -106,6 +108,25 @@ def violated(df: DataFrame, constraints: dict[str, Column]) -> DataFrame:
     return df.withColumn("validation_errors", broken).withColumn("is_valid", F.size("validation_errors") == 0)
 
 
+def constraint_violations(df: DataFrame, table: str) -> DataFrame:
+    """(table_name, constraint_name, checked, violations) in one pass: a row for each constraint of ``table``; not checked are those of columns that ``df`` lacks."""
+    own = checkable(table, df.columns)
+    counts = df.agg(*(failing(~F.expr(sql)).alias(name) for name, sql in own.items()), F.count(F.lit(1)).alias("rows_"))
+    rows = [F.struct(F.lit(table).alias("table_name"), F.lit(c).alias("constraint_name"), F.lit(c in own).alias("checked"), (F.col(c) if c in own else F.lit(None)).cast("long").alias("violations")) for c in CONSTRAINTS[table]]
+    return counts.select(F.inline(F.array(*rows)))
+
+
+def with_constraints(df: DataFrame, table: str) -> DataFrame:
+    """``df`` with validation_errors, the names of the constraints of ``table`` that a row breaks, and is_valid."""
+    return violated(df, {name: F.expr(sql) for name, sql in checkable(table, df.columns).items()})
+
+
+def field_counts(lines: DataFrame, expected: int) -> DataFrame:
+    """(fields, lines, as_expected): lines of CSV text (value) by their number of fields; commas inside quotes do not part fields."""
+    n = F.regexp_count(F.regexp_replace("value", '"([^"]|"")*"', ""), F.lit(",")) + 1
+    return lines.groupBy(n.cast("long").alias("fields")).agg(F.count(F.lit(1)).alias("lines")).withColumn("as_expected", F.col("fields") == expected)
+
+
 def type_check(df: DataFrame, expected: dict[str, str]) -> DataFrame:
     """(column_name, expected, found, missing, not_castable): values that do not cast to the expected type."""
     have = dict(df.dtypes)

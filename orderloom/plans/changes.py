@@ -7,6 +7,7 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.constraints import CONSTRAINTS
 from ..operators import incremental as I
 from ..operators import quality as Q
 from ..operators import replication as P
@@ -14,13 +15,14 @@ from ..operators import runlog as L
 from ..operators.watermarks import Watermarks
 from ..sources import database, retail
 from ..sources.buckets import BucketedTable
-from ..sources.storage import scratch
+from ..sources.storage import refresh_partitions, scratch
 from ..streaming import ingest
 from .results import parse, result, result_sql
 from .warehouse import FACT, MODELS_SQL, NOW, Warehouse
 
 CUT = "2024-01-20 00:00:00"
 BUCKETS = 16
+LIMITS = [("click", 5.0), ("view", 50.0)]
 #: Texts of these tables in a database.
 TEXTS = "event_type VARCHAR(100)"
 
@@ -161,12 +163,89 @@ def versions_of(w) -> DataFrame:
     return I.versions(w.feed, ["order_key"], "changed_at", "nth")
 
 
-COLUMN_COUNTS = {"region": 2, "nation": 3, "customer": 5, "orders": 6, "events": 6}
+def _events_log(w) -> DataFrame:
+    """Start and end events of jobs, appended in two writes; some jobs have no end, some no start, some ends come twice."""
+    e, to = F.col("event_id"), scratch(w.spark, "job-events")
+    base = w.events.select(F.concat(F.lit("job-"), e).alias("job_id"), F.col("event_type").alias("job_name"), "ts", e, (e % 50).alias("secs"))
+    starts = base.where(e % 7 != 0).select("job_id", "job_name", F.lit("start").alias("kind"), F.col("ts").alias("at"))
+    at = F.col("ts") + F.make_dt_interval(secs=F.col("secs").cast("decimal(18,6)"))
+    failed = e % 3 == 0
+    ends = base.where(e % 5 != 0).select("job_id", "job_name", F.lit("end").alias("kind"), at.alias("at"), F.when(failed, "FAILED").otherwise("SUCCESS").alias("status"), e.alias("processed"), F.when(~failed, e).alias("inserted"), F.lit(0).cast("long").alias("updated"), F.when(failed, e).otherwise(0).alias("failed"), F.when(failed, "broken").alias("error"))
+    none = w.spark.createDataFrame([], L.EVENTS)
+    for rows in (starts, ends, ends.where(e % 11 == 0)):
+        none.unionByName(rows, allowMissingColumns=True).write.mode("append").parquet(to)
+    return w.spark.read.parquet(to)
+
+
+def _models_run(w) -> DataFrame:
+    """Three models written under the log, and one that cannot be."""
+    log = L.JobLog(w.spark, scratch(w.spark, "model-log"))
+    models = {"stg_orders": lambda: w.stg_orders, "stg_customers": lambda: w.stg_customers, "revenue_daily": lambda: w.daily, "broken": lambda: w.stg_orders.select("no_such_column")}
+    for name, build in models.items():
+        log.run(f"run-{name}", name, build, scratch(w.spark, name), w.now)
+    return log.jobs(w.now).withColumn("error", F.substring_index("error", ":", 1))
+
+
+def _constraints_of_all(w) -> DataFrame:
+    """The violations of every constraint, from one pass over each table."""
+    items = w.order_items.select("quantity", F.col("line_amount").alias("total_price"), (F.col("line_amount") / F.col("quantity")).alias("unit_price"))
+    products = w.dim_products.select(F.col("unit_price").alias("price"), F.col("unit_cost").alias("cost"))
+    shelf = w.dim_products.select(F.col("unit_price").alias("current_price"), F.col("unit_price").alias("original_price"), F.col("unit_cost").alias("cost"))
+    frames = {
+        "raw_orders": w.raw_orders, "raw_customers": w.raw_customers, "raw_shipments": w.raw_shipments, "staging_orders": w.stg_orders, "staging_order_items": items, "staging_customers": w.stg_customers,
+        "staging_products": products, "staging_shipments": w.stg_shipments, "dim_customers": w.dim, "dim_products": shelf, "fact_orders": w.fact.withColumnRenamed("order_currency", "currency"),
+    }
+    versions = Q.constraint_violations(versions_of(w), "staging_orders").where("checked")
+    return reduce(DataFrame.unionByName, (Q.constraint_violations(df, t) for t, df in frames.items())).unionByName(versions)
+
+
+def _constraints_sql() -> str:
+    tables = {
+        "raw_orders": "raw_orders", "raw_customers": "raw_customers", "raw_shipments": "raw_shipments", "staging_orders": "stg_orders", "staging_customers": "stg_customers", "staging_shipments": "stg_shipments", "dim_customers": "dim",
+        "staging_order_items": "(SELECT quantity, line_amount AS total_price, line_amount / quantity AS unit_price FROM order_items)", "staging_products": "(SELECT unit_price AS price, unit_cost AS cost FROM dim_products)",
+        "dim_products": "(SELECT unit_price AS current_price, unit_price AS original_price, unit_cost AS cost FROM dim_products)", "fact_orders": "(SELECT * EXCLUDE (order_currency), order_currency AS currency FROM fact)",
+    }
+    parts = []
+    for t, own in CONSTRAINTS.items():
+        for name, sql in own.items():
+            seen, test = name in CHECKED[t], sql.replace("regexp_like(", "regexp_matches(")
+            found = f"(SELECT count(*) FILTER (NOT ({test})) FROM {tables[t]})" if seen else "NULL"
+            parts.append(f"SELECT '{t}' AS table_name, '{name}' AS constraint_name, {seen} AS checked, {found} AS violations")
+            if t == "staging_orders" and name in CHECKED["versions"]:
+                parts.append(f"SELECT '{t}', '{name}', true, (SELECT count(*) FILTER (NOT ({test})) FROM ({VERSION_SQL}))")
+    return " UNION ALL ".join(parts)
+
+
+#: The constraints whose columns these tables have.
+CHECKED = {
+    "raw_orders": ["chk_raw_orders_amount_positive", "chk_raw_orders_currency_format"],
+    "raw_customers": ["chk_raw_customers_email_format", "chk_raw_customers_country_format"],
+    "raw_shipments": ["chk_raw_shipments_package_count_positive", "chk_raw_shipments_cost_positive", "chk_raw_shipments_delivery_logic"],
+    "staging_orders": ["chk_staging_orders_amount_positive", "chk_staging_orders_currency_valid"],
+    "versions": ["chk_staging_orders_operation_type", "chk_staging_orders_effective_dates"],
+    "staging_order_items": ["chk_staging_order_items_quantity_positive", "chk_staging_order_items_prices_positive"],
+    "staging_customers": ["chk_staging_customers_email_valid", "chk_staging_customers_country_valid"],
+    "staging_products": ["chk_staging_products_price_positive", "chk_staging_products_cost_positive"],
+    "staging_shipments": ["chk_staging_shipments_cost_positive"],
+    "dim_customers": ["chk_dim_customers_email_valid", "chk_dim_customers_country_valid"],
+    "dim_products": ["chk_dim_products_prices_positive"],
+    "fact_orders": ["chk_fact_orders_amounts_valid", "chk_fact_orders_currency_valid"],
+}
+
+
+def _monthly_mart(orders: DataFrame) -> DataFrame:
+    month = F.date_format("order_date", "yyyy-MM")
+    return orders.groupBy(month.alias("month"), F.to_date("order_date").alias("day")).agg(F.count(F.lit(1)).alias("orders"), F.sum("total_amount").alias("amount"))
 
 
-def _column_counts(w) -> DataFrame:
-    """The columns that each given table has, against what is expected of it."""
-    return w.spark.createDataFrame([(t, len(retail.read(w.spark, w.sf_dir, t).columns), n) for t, n in COLUMN_COUNTS.items()], "table_name string, columns long, n long").withColumn("as_expected", F.col("columns") == F.col("n"))
+def _mart_refreshed(w) -> DataFrame:
+    """A mart of the orders that were not cancelled, then the months of the cancelled ones since 1997 brought up to date."""
+    to, month = scratch(w.spark, "mart"), F.date_format("order_date", "yyyy-MM")
+    cancelled = (F.col("order_status_group") == "cancelled") & (F.col("order_date") >= F.lit("1997-01-01").cast("timestamp_ntz"))
+    first, late = w.stg_orders.where(F.col("order_status_group") != "cancelled"), w.stg_orders.where(cancelled)
+    refresh_partitions(_monthly_mart, first, first, month, "month", to)
+    refresh_partitions(_monthly_mart, first.unionByName(late), late, month, "month", to)
+    return w.spark.read.schema("day date, orders long, amount decimal(38,2), month string").parquet(to)
 
 
 def _kept(w, df: DataFrame, name: str) -> DataFrame:
@@ -280,12 +359,13 @@ QUERIES = {
     "duplicate_count": (lambda w: Q.rows_beyond_first(w.raw_customers, ["country"]), "duplicates:l", "SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT country FROM raw_customers)) AS duplicates FROM raw_customers"),
     "batch_range_check": (lambda w: w.raw_orders.agg(Q.failing(F.col("total_amount") < 20).alias("below"), Q.failing(F.col("total_amount") > 5000).alias("above")), "below:l above:l", "SELECT count(*) FILTER (total_amount < 20) AS below, count(*) FILTER (total_amount > 5000) AS above FROM raw_orders"),
     "batch_count_check": (lambda w: w.raw_orders.agg(F.count(F.lit(1)).alias("n")).select("n", F.when(F.col("n").between(1, 10000000), "ok").otherwise("error").alias("severity")), "n:l severity", "SELECT count(*) AS n, CASE WHEN count(*) BETWEEN 1 AND 10000000 THEN 'ok' ELSE 'error' END AS severity FROM raw_orders"),
-    "check_column_count": (_column_counts, "table_name columns:l as_expected:b", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS columns, count(*) = {n} AS as_expected FROM information_schema.columns WHERE table_name = '{t}'" for t, n in COLUMN_COUNTS.items())),
     "business_rules": (
         lambda w: w.raw_customers.agg(Q.failing(~F.col("email").contains("@")).alias("bad_email"), Q.failing(~F.col("registration_date").between(F.lit("2000-01-01").cast("timestamp_ntz"), w.now)).alias("bad_date")),
         "bad_email:l bad_date:l", f"SELECT count(*) FILTER (NOT contains(email, '@')) AS bad_email, count(*) FILTER (registration_date NOT BETWEEN TIMESTAMP '2000-01-01' AND {NOW}) AS bad_date FROM raw_customers"),
     "type_check": (lambda w: Q.type_check(w.raw_orders, {"total_amount": "double", "order_date": "timestamp", "currency": "bigint", "absent": "string"}), "column_name expected missing:b not_castable:l", "SELECT unnest(['total_amount', 'order_date', 'currency', 'absent']) AS column_name, unnest(['double', 'timestamp', 'bigint', 'string']) AS expected, unnest([false, false, false, true]) AS missing, unnest([0, 0, (SELECT count(*) FROM raw_orders), 0]) AS not_castable"),
     "constraint_validators": (_constraints, "order_id errors is_valid:b", "SELECT order_id, array_to_string(list_filter([CASE WHEN total_amount < 0 THEN 'amount_not_negative' END, CASE WHEN NOT regexp_matches(currency, '^[A-Z]{3}$') THEN 'currency_code' END, CASE WHEN discount_amount > total_amount THEN 'discount_below_total' END], lambda x: x IS NOT NULL), ',') AS errors, NOT (coalesce(total_amount < 0, false) OR coalesce(NOT regexp_matches(currency, '^[A-Z]{3}$'), false) OR coalesce(discount_amount > total_amount, false)) AS is_valid FROM raw_orders"),
+    "constraint_violations": (_constraints_of_all, "table_name constraint_name checked:b violations:l", _constraints_sql()),
+    "mart_refresh": (_mart_refreshed, "month day orders:l amount:d", "SELECT strftime(order_date, '%Y-%m') AS month, CAST(order_date AS DATE) AS day, count(*) AS orders, sum(total_amount) AS amount FROM stg_orders WHERE order_status_group <> 'cancelled' OR order_date >= TIMESTAMP '1997-01-01' GROUP BY 1, 2"),
     "current_row_uniqueness": (lambda w: versions_of(w).groupBy("order_key").agg(F.count_if("is_current").alias("current")).groupBy("current").agg(F.count(F.lit(1)).alias("keys")), "current:l keys:l", f"SELECT current, count(*) AS keys FROM (SELECT order_key, count(*) FILTER (is_current) AS current FROM ({VERSION_SQL}) GROUP BY 1) GROUP BY 1"),
     "referential_orphans": (lambda w: Q.orphans(w.stg_orders, w.dim, "customer_id").select("order_id", "customer_id"), "order_id customer_id", "SELECT order_id, customer_id FROM stg_orders WHERE customer_id IS NOT NULL AND customer_id NOT IN (SELECT customer_id FROM dim)"),
     "check_relationships": (lambda w: Q.orphans(w.stg_shipments, w.stg_orders, "order_id").select("shipment_id", "order_id"), "shipment_id order_id", "SELECT shipment_id, order_id FROM stg_shipments WHERE order_id NOT IN (SELECT order_id FROM stg_orders)"),
@@ -330,13 +410,15 @@ UNION ALL SELECT 3, 0, 0, 0, count(DISTINCT event_id), 2, max(ts), max(ts) FROM
     "lateral_generate": (lambda w: w.raw_orders.select("order_id", F.explode(F.sequence(F.lit(1), (F.substring("order_id", 5, 9).cast("int") % 3 + 1))).alias("line")), "order_id line:l", "SELECT order_id, line FROM raw_orders, LATERAL (SELECT unnest(generate_series(1, CAST(substr(order_id, 5, 9) AS INTEGER) % 3 + 1)) AS line)"),
     "task_metrics": (lambda w: w.runs, "run_id:l tasks:l succeeded:l failed:l total_seconds:d retries:l longest_task:l", "SELECT * FROM runs"),
     "performance_metrics": (lambda w: w.runs, "run_id:l success_rate:d failure_rate:d avg_seconds:d score:d", "SELECT * FROM runs"),
-    "sla_metrics": (lambda w: L.sla(w.log, w.spark.createDataFrame([("click", 5.0), ("view", 50.0)], "task_kind string, limit_seconds double")), "monitored:l misses:l largest_overage:d compliance:d", "SELECT count(*) AS monitored, count(*) FILTER (seconds > lim) AS misses, max(seconds - lim) FILTER (seconds > lim) AS largest_overage, 1 - CAST(count(*) FILTER (seconds > lim) AS DOUBLE) / count(*) AS compliance FROM log JOIN (VALUES ('click', CAST(5 AS DOUBLE)), ('view', 50)) AS v(task_kind, lim) USING (task_kind)"),
+    "sla_metrics": (lambda w: L.sla(w.log, w.spark.createDataFrame(LIMITS, "task_kind string, limit_seconds double")), "monitored:l misses:l largest_overage:d compliance:d", "SELECT count(*) AS monitored, count(*) FILTER (seconds > lim) AS misses, max(seconds - lim) FILTER (seconds > lim) AS largest_overage, 1 - CAST(count(*) FILTER (seconds > lim) AS DOUBLE) / count(*) AS compliance FROM log JOIN (VALUES ('click', CAST(5 AS DOUBLE)), ('view', 50)) AS v(task_kind, lim) USING (task_kind)"),
     "error_patterns": (lambda w: L.error_patterns(w.log), "kind n:l", "SELECT CASE WHEN error ILIKE '%connection%' THEN 'connection' WHEN error ILIKE '%timeout%' THEN 'timeout' WHEN error ILIKE '%validation%' THEN 'validation' ELSE 'unknown' END AS kind, count(*) AS n FROM log WHERE state = 'failed' GROUP BY 1"),
     "most_common_error": (lambda w: L.error_patterns(w.log).agg(F.max_by("kind", F.struct("n", "kind")).alias("kind")), "kind", "SELECT kind FROM (SELECT CASE WHEN error ILIKE '%connection%' THEN 'connection' WHEN error ILIKE '%timeout%' THEN 'timeout' WHEN error ILIKE '%validation%' THEN 'validation' ELSE 'unknown' END AS kind, count(*) AS n FROM log WHERE state = 'failed' GROUP BY 1) ORDER BY n DESC, kind DESC LIMIT 1"),
     "longest_task": (lambda w: w.log.groupBy("task_kind").agg(F.max_by("task_id", F.struct("seconds", "task_id")).alias("longest")), "task_kind longest:l", "SELECT task_kind, arg_max(task_id, (seconds, task_id)) AS longest FROM log GROUP BY 1"),
-    "alert_rules": (lambda w: L.alerts(w.runs, failures_above=1, seconds_above=100), "run_id:l level reason", "SELECT run_id, 'critical' AS level, 'failed tasks' AS reason FROM runs WHERE failed > 1 UNION ALL SELECT run_id, 'warning', 'low score' FROM runs WHERE score < 70 UNION ALL SELECT run_id, 'warning', 'long run' FROM runs WHERE total_seconds > 100 UNION ALL SELECT run_id, 'info', 'many retries' FROM runs WHERE retries > 5"),
-    "job_log": (lambda w: w.log.withColumn("at", F.col("task_id")).groupBy("run_id").agg(F.max_by("state", "at").alias("last_state"), F.min("at").alias("first"), F.max("at").alias("last")), "run_id:l last_state first:l last:l", "SELECT run_id, arg_max(state, task_id) AS last_state, min(task_id) AS first, max(task_id) AS last FROM log GROUP BY 1"),
-    "run_log_model": (lambda w: w.log.groupBy("task_kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("run_id").alias("runs"), F.sum("seconds").alias("seconds")), "task_kind n:l runs:l seconds:d", "SELECT task_kind, count(*) AS n, count(DISTINCT run_id) AS runs, sum(seconds) AS seconds FROM log GROUP BY 1"),
+    "alert_rules": (lambda w: L.alerts(w.runs.join(L.sla_by_run(w.log, w.spark.createDataFrame(LIMITS, "task_kind string, limit_seconds double")), "run_id", "left"), failures_above=1, seconds_above=100), "run_id:l level reason", "SELECT run_id, 'critical' AS level, 'failed tasks' AS reason FROM runs WHERE failed > 1 UNION ALL SELECT run_id, 'warning', 'low score' FROM runs WHERE score < 70 UNION ALL SELECT run_id, 'warning', 'long run' FROM runs WHERE total_seconds > 100 UNION ALL SELECT run_id, 'info', 'many retries' FROM runs WHERE retries > 5 UNION ALL SELECT run_id, 'warning', 'SLA missed' FROM log JOIN (VALUES ('click', CAST(5 AS DOUBLE)), ('view', 50)) AS v(task_kind, lim) USING (task_kind) GROUP BY run_id HAVING 1 - CAST(count(*) FILTER (seconds > lim) AS DOUBLE) / count(*) < 0.9"),
+    "job_log": (
+        lambda w: L.fold_events(_events_log(w), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"), 15 * 86400), "job_id job_name status seconds:l processed:l inserted:l updated:l failed:l error started_at ended_at",
+        "SELECT 'job-' || event_id AS job_id, event_type AS job_name, CASE WHEN done THEN CASE WHEN bad THEN 'FAILED' ELSE 'SUCCESS' END WHEN epoch(TIMESTAMP '2024-02-01') - floor(epoch(ts)) > 15 * 86400 THEN 'ABANDONED' ELSE 'RUNNING' END AS status, CASE WHEN done AND event_id % 7 <> 0 THEN event_id % 50 END AS seconds, CASE WHEN done THEN event_id END AS processed, CASE WHEN done AND NOT bad THEN event_id END AS inserted, CASE WHEN done THEN 0 END AS updated, CASE WHEN done THEN CASE WHEN bad THEN event_id ELSE 0 END END AS failed, CASE WHEN done AND bad THEN 'broken' END AS error, CASE WHEN event_id % 7 <> 0 THEN ts END AS started_at, CASE WHEN done THEN ts + CAST(event_id % 50 AS INTEGER) * INTERVAL 1 SECOND END AS ended_at FROM (SELECT *, event_id % 5 <> 0 AS done, event_id % 3 = 0 AS bad FROM events WHERE event_id % 35 <> 0)"),
+    "run_log_model": (_models_run, "job_name status processed:l error", "SELECT 'stg_orders' AS job_name, 'SUCCESS' AS status, count(*) AS processed, NULL AS error FROM stg_orders UNION ALL SELECT 'stg_customers', 'SUCCESS', count(*), NULL FROM stg_customers UNION ALL SELECT 'revenue_daily', 'SUCCESS', count(*), NULL FROM daily UNION ALL SELECT 'broken', 'FAILED', NULL, 'AnalysisException'"),
     "ingest_totals": (lambda w: w.runs.agg(F.sum("tasks").alias("records"), F.count_if(F.col("failed") == 0).alias("passed"), F.count_if(F.col("failed") > 0).alias("failed")), "records:l passed:l failed:l", "SELECT sum(tasks) AS records, count(*) FILTER (failed = 0) AS passed, count(*) FILTER (failed > 0) AS failed FROM runs"),
 }
 

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import quality as Q
 from ..sources import api_orders as A
 from ..sources import shipment_files as S
 from ..sources.storage import load_table, move, put, remove, scratch
@@ -163,12 +164,21 @@ def _ledger(w) -> DataFrame:
     return log.groupBy("status", reason.alias("reason"), "attempts").agg(F.count(F.lit(1)).alias("files"), F.sum("records").alias("records"))
 
 
-def _quarantined(w) -> DataFrame:
+def _broken_folder(w) -> str:
     """Rows without an order id, and rows with too many fields, which are written with another quote than is read."""
     to, five = scratch(w.spark, "broken"), F.col("package_count") == 5
     w.flat().where(~F.coalesce(five, F.lit(False))).repartition(PARTS, "shipment_id").write.option("header", True).option("escape", '"').csv(to)
     w.flat().where(five).withColumn("return_date", F.lit("a,b")).repartition(PARTS, "shipment_id").write.mode("append").option("header", True).option("quote", "\u0001").csv(to)
-    good, bad, seen = S.load_file(w.spark, to, "b1", w.now, scratch(w.spark, "loaded"))
+    return to
+
+
+def _field_counts(w) -> DataFrame:
+    lines = w.spark.read.text(_broken_folder(w)).where(~F.col("value").startswith("shipment_id,"))
+    return Q.field_counts(lines, len(S.COLUMNS))
+
+
+def _quarantined(w) -> DataFrame:
+    good, bad, seen = S.load_file(w.spark, _broken_folder(w), "b1", w.now, scratch(w.spark, "loaded"))
     counts = w.spark.range(1).select(*(F.lit(n).alias(k) for k, n in seen.items()))
     rows = bad.select(F.substring_index("line", ",", 1).alias("shipment_id"), "reason").unionByName(good.select("shipment_id", F.lit("kept").alias("reason")))
     return rows.join(F.broadcast(counts))  # one row
@@ -225,6 +235,7 @@ QUERIES = {
     "quarantined_rows": (
         _quarantined, "shipment_id reason original_rows:l valid_rows:l invalid_rows:l",
         "SELECT shipment_id, CASE package_count WHEN 3 THEN 'missing order_id' WHEN 5 THEN 'malformed' ELSE 'kept' END AS reason, count(*) OVER () AS original_rows, count(*) FILTER (package_count IS NULL OR package_count NOT IN (3, 5)) OVER () AS valid_rows, count(*) FILTER (package_count IN (3, 5)) OVER () AS invalid_rows FROM raw_shipments"),
+    "check_column_count": (_field_counts, "fields:l lines:l as_expected:b", f"SELECT CASE WHEN package_count = 5 THEN {len(S.COLUMNS) + 2} ELSE {len(S.COLUMNS)} END AS fields, count(*) AS lines, fields = {len(S.COLUMNS)} AS as_expected FROM raw_shipments GROUP BY 1"),
     "file_stream_ledger": (
         _ledger, "status reason attempts:l files:l records:l",
         f"SELECT 'processed' AS status, NULL AS reason, 1 AS attempts, greatest({PARTS}, count(*) // {FILE_ROWS}) AS files, count(*) FILTER (package_count IS NULL OR package_count <> 3) AS records FROM raw_shipments UNION ALL SELECT 'failed', 'missing required fields: order_id', 2, {BAD}, NULL UNION ALL SELECT 'failed', 'unreadable', 2, 1, NULL"),

@@ -243,6 +243,7 @@ STATUSES = ["pending", "processing", "shipped", "delivered", "cancelled", "refun
 OTHER = {
     "valid_row_filter": (lambda w: M.valid_rows(w.raw_orders), "order_id total_amount:d", "SELECT * FROM raw_orders WHERE is_valid"),
     "non_null_key_filter": (lambda w: M.with_key(w.stg_orders, "customer_id"), "order_id customer_id", "SELECT * FROM stg_orders WHERE customer_id IS NOT NULL"),
+    "run_date_updates": (lambda w: w.stg_customers.where(F.to_date("last_login_date") >= F.date_sub(F.to_date(w.now), 1)), "customer_id last_login_date", f"SELECT * FROM stg_customers WHERE CAST(last_login_date AS DATE) >= CAST({NOW} AS DATE) - 1"),
     "run_date_filter": (lambda w: w.stg_orders.where(F.to_date("order_date") == F.date_sub(F.to_date(w.now), 1)), "order_id order_date total_amount:d", f"SELECT * FROM stg_orders WHERE CAST(order_date AS DATE) = CAST({NOW} AS DATE) - 1"),
     "monthly_order_trend": (_monthly, "year:l month:l month_name orders:l revenue:d", f"SELECT year, month, month_name, count(*) AS orders, sum(total_amount) AS revenue FROM fact JOIN ({DATE_SQL}) ON date_key = CAST(strftime(order_date, '%Y%m%d') AS BIGINT) GROUP BY 1, 2, 3"),
     "category_performance": (

@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import time
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -97,3 +99,13 @@ def materialize(df: DataFrame, name: str, layer: str, partition_by: list[str] |
     else:
         where = {"path": path} if path else {}
         df.write.mode("overwrite").options(**where).partitionBy(*(partition_by or [])).saveAsTable(name)
+
+
+def refresh_partitions(build: Callable[[DataFrame], DataFrame], source: DataFrame, batch: DataFrame, part: Column, by: str, path: str) -> None:
+    """Bring a mart partitioned by ``by`` up to date: ``build`` makes the partitions that ``batch`` touches anew from ``source``, and only these are replaced.
+
+    ``part`` is a source row's partition. Rows of a null partition have one of their own.
+    """
+    touched = batch.select(part.alias("touched_")).distinct()  # a row for each partition
+    rows = build(source.join(F.broadcast(touched), part.eqNullSafe(F.col("touched_")), "left_semi"))
+    rows.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)

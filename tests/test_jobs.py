@@ -12,14 +12,17 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from orderloom.functions.constraints import CONSTRAINTS, checkable, columns_of
 from orderloom.operators import incremental as I
 from orderloom.operators import models as M
 from orderloom.operators import quality as Q
 from orderloom.operators import replication as P
+from orderloom.operators import runlog as L
 from orderloom.operators.watermarks import Watermarks
 from orderloom.sources import database
 from orderloom.sources import shipment_files as S
 from orderloom.sources.buckets import BucketedTable
+from orderloom.sources.storage import refresh_partitions
 from orderloom.streaming import ingest
 
 
@@ -264,6 +267,37 @@ def test_a_task_that_is_run_again_does_not_double_rows(spark, folder):
     assert database.scan(spark, url, "t", "n").count() == 50
 
 
+def test_a_mart_keeps_the_days_that_no_row_touches(spark, folder):
+    frame = lambda *rows: spark.createDataFrame(rows, "day string, n long")
+    total = lambda df: df.groupBy("day").agg(F.sum("n").alias("n"))
+    to, one = f"file://{folder}/mart", frame(("a", 1), ("a", 2), ("b", 3), (None, 4))
+    refresh_partitions(total, one, one, F.col("day"), "day", to)
+    files = {f: os.path.getmtime(f) for f in glob.glob(f"{folder}/mart/day=*/*.parquet")}
+    late = frame(("b", 10), ("c", 5))
+    refresh_partitions(total, one.unionByName(late), late, F.col("day"), "day", to)
+    assert sorted(map(str, spark.read.parquet(to).select("day", "n").collect())) == sorted(map(str, total(one.unionByName(late)).collect()))
+    again = {f: os.path.getmtime(f) for f in glob.glob(f"{folder}/mart/day=*/*.parquet")}
+    assert {f for f in files if "day=b" not in f} <= set(again) and all(again[f] == files[f] for f in set(files) & set(again)) and len(again) == 4
+
+
+def test_jobs_are_logged_from_start_to_end(spark, folder):
+    log = L.JobLog(spark, f"file://{folder}/log")
+    assert log.run("1", "good", lambda: spark.range(7), f"file://{folder}/good", now())
+    assert not log.run("2", "bad", lambda: spark.range(1).select(F.raise_error(F.lit("no luck"))), f"file://{folder}/bad", now())
+    log.append("3", "open", "start", now())
+    log.append("4", "lost", "end", now(), "SUCCESS", processed=3)
+    log.append("5", "old", "start", now() - F.make_dt_interval(days=F.lit(1)))
+    got = {r.job_id: r for r in log.jobs(now()).collect()}
+    assert [got[k].status for k in "12345"] == ["SUCCESS", "FAILED", "RUNNING", "SUCCESS", "ABANDONED"]
+    assert (got["1"].processed, got["4"].processed, got["4"].started_at, got["2"].processed) == (7, 3, None, None) and got["2"].error
+
+
+def test_constraints_name_their_columns():
+    assert columns_of("a >= 0 AND regexp_like(b, '^x y$') OR c IS NOT NULL") == {"a", "b", "c"}
+    assert set(checkable("raw_orders", ["currency"])) == {"chk_raw_orders_currency_format"}
+    assert sum(map(len, CONSTRAINTS.values())) == 37
+
+
 def test_orders_without_a_customer_are_one_history(spark):
     rows = [(f"o{i:03d}", None if i % 3 else f"c{i % 2}", f"2020-01-{1 + i * 7 % 20:02d} 0{i % 9}:00:00", None if i % 11 == 0 else i) for i in range(90)]
     df = spark.createDataFrame(rows, "order_id string, customer_id string, order_date string, total_amount long").withColumn("order_date", F.col("order_date").cast("timestamp_ntz"))
