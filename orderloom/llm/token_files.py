@@ -191,7 +191,8 @@ def write_tokens(docs: DataFrame, to: str, tokenizer: str = TOKENIZER, end_id: i
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(begins.astype("i4")), values)], ["doc_id", "token_ids"])
 
     tasks = tasks or tasks_for(docs.sparkSession)
-    dealt = docs.select("doc_id", "text").repartitionByRange(tasks, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]  # documents of one id, or of none, are dealt to several tasks by their texts
+    dealt = docs.select("doc_id", "text").repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     options = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": INDEX_ROWS, "orc.stripe.size": STRIPE_BYTES, "orc.rows.between.memory.checks": 100, "orc.encoding.strategy": "COMPRESSION"}
     dealt.mapInArrow(encode, "doc_id long, token_ids array<int>").write.options(**options).orc(to)
 
