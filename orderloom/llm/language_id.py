@@ -8,11 +8,12 @@ folder (a path that driver and executors can open), which workers memory-map and
 gets a row for each language and order and for each file.
 A document's language has the lowest cross-entropy for each symbol. The score is a probability
 from the tempered likelihoods; temperature and the highest plausible entropy come from a bounded sample of
-labelled documents that the models did not count. The limit is an order statistic of theirs (a conformal bound); with fewer than
-about 1 / REJECT_SHARE of them, only texts without letters are rejected.
+labelled texts that the models did not count. The limit is where a generalised Pareto tail, fitted to the largest of their entropies, leaves
+REJECT_SHARE of such texts above: it is found alike for any number of them, with more caution for few.
 
-Edge cases: null texts and texts without letters get ``und`` and score 0; so do all if nothing was learnt; ties
-go to the first language in order; repeated rows are judged alike; extra columns are ignored.
+Edge cases: null texts and texts without letters get ``und`` and score 0, and are rejected; where nothing was learnt, all texts get that and
+none is rejected; with fewer than 4 texts to calibrate with there is no limit; ties go to the first language in order; repeated rows are
+judged alike; long texts are judged whole, few at a time; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from .common import new_path, own_columns, table, through_table
+from .common import new_path, own_columns, pieces, table, through_table
 
 ORDER = 5
 BITS = 12
@@ -40,10 +41,13 @@ START, END = CHARS + 1, CHARS + 2
 #: Rows of the model that a task sorts and writes.
 PART_ROWS = 250_000
 #: Calibrated is with at most so many texts, and at most one in so many, of languages with at least so many documents.
-CALIBRATION_DOCS, CALIBRATION_SHARE, FEW_DOCS = 3_000, 20, 100
+CALIBRATION_DOCS, CALIBRATION_SHARE, FEW_DOCS = 3_000, 20, 20
 #: Rejected is a text whose cross-entropy, less MARGIN / sqrt(symbols) for its uncertainty, is one that so small a share of texts of known languages has.
 REJECT_SHARE, MARGIN = 0.001, 2.0
+#: The tail's shape is taken to be this, as if so many texts had shown it.
+TAIL_PRIOR = 0.25, 20
 MEMORY_WORDS = 300_000
+PIECE_ROWS, PIECE_BYTES = 1_000, 4 << 20
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -83,8 +87,9 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
-        for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        parts = (part for batch in batches for part in pieces(batch, PIECE_ROWS, PIECE_BYTES))
+        for part in parts:
+            for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 counts.setdefault(lang, Counter()).update(text.lower().split())
                 if len(counts[lang]) > MEMORY_WORDS:
                     yield from emit({lang: counts.pop(lang)})
@@ -159,7 +164,10 @@ class Model:
         langs = sorted({r.lang for r in found})
         if not langs:
             return cls(langs)
-        folder = new_path(spark, "lang-model").removeprefix("file://")
+        folder = new_path(spark, "lang-model")
+        if "://" in folder.removeprefix("file://"):
+            raise ValueError(f"workers must be able to open the models' files, so {folder} must be a mounted path")
+        folder = folder.removeprefix("file://")
         os.makedirs(folder)
         number = spark.createDataFrame([(x, i) for i, x in enumerate(langs)], "lang string, i int")
         contexts = grams.groupBy("lang", "k", F.shiftright("ngram", BITS).alias("key")).agg(F.sum("n").alias("a"), F.count("*").alias("b"))
@@ -258,8 +266,7 @@ def likelihoods(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             _SCORERS[key] = Scorer(shared.value)
         scorer = _SCORERS[key]
         for batch in batches:
-            for at in range(0, batch.num_rows, 1_000):
-                part = batch.slice(at, 1_000)
+            for part in pieces(batch, PIECE_ROWS, PIECE_BYTES):
                 sums = scorer.sums(part.column(len(keep)).to_pylist())
                 flat = pa.array(sums.ravel())
                 width = sums.shape[1]
@@ -270,10 +277,21 @@ def likelihoods(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
 
 def entropy_limit(entropies: np.ndarray, symbols: np.ndarray) -> float:
-    """What a document of the kind that calibrates exceeds with a probability of at most REJECT_SHARE: an order statistic of the held-out ones."""
-    rank = int(np.ceil((len(entropies) + 1) * (1 - REJECT_SHARE)))
+    """What a text of the kind that calibrates exceeds with a probability of REJECT_SHARE: a quantile of a generalised Pareto tail.
+
+    The tail is what the largest tenth (10 at least) have above the next one; its mean counts with one standard error more, its shape comes from
+    their moments and a prior.
+    """
     found = np.sort(entropies - MARGIN / np.sqrt(symbols))
-    return float(found[rank - 1]) if rank <= len(found) else float("inf")
+    n = len(found)
+    if n < 4:
+        return float("inf")
+    k = min(n // 2, max(10, n // 10))
+    start, above = found[n - k - 1], found[n - k :] - found[n - k - 1]
+    mean, (prior, weight) = max(float(above.mean()), 1e-3) * (1 + 1 / np.sqrt(k)), TAIL_PRIOR
+    seen = (1 - mean**2 / max(float(above.var()), 1e-6)) / 2
+    shape = (max(seen, 0.0) * k + prior * weight) / (k + weight)
+    return float(start + mean * (1 - shape) / shape * (max(1.0, k / (n * REJECT_SHARE)) ** shape - 1))
 
 
 def calibration_cut(labelled: DataFrame) -> int | None:
@@ -292,7 +310,8 @@ def train(docs: DataFrame) -> Model:
     model = Model.fit(ngram_counts(labelled.where(~held)))
     if not model.langs or cut is None:
         return model
-    sample = labelled.where(held).limit(2 * CALIBRATION_DOCS)  # a bounded sample, also if texts repeat
+    # each text once for each of its languages, in the order of hashes: the same sample in each run
+    sample = labelled.where(held).groupBy("h", "lang").agg(F.any_value("text").alias("text")).orderBy("h", "lang").limit(2 * CALIBRATION_DOCS)
     seen = likelihoods(sample, model, ["lang"]).toPandas()
     sums = np.array([np.asarray(x) for x in seen["sums"]]).reshape(len(seen), -1)
     at = {x: i for i, x in enumerate(model.langs)}
@@ -313,7 +332,7 @@ def train(docs: DataFrame) -> Model:
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``keep`` with lang_pred, score, entropy (nats a symbol, in the best language) and rejected."""
     if not model.langs:
-        none = {"lang_pred": F.lit("und"), "score": F.lit(0.0), "entropy": F.lit(None).cast("double"), "rejected": F.lit(True)}
+        none = {"lang_pred": F.lit("und"), "score": F.lit(0.0), "entropy": F.lit(None).cast("double"), "rejected": F.lit(False)}
         return docs.select(*keep).withColumns(none)
     sums = likelihoods(docs, model, keep)
     logs = F.slice("sums", 1, len(model.langs))
@@ -341,11 +360,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs.where(~held_out(F.col("doc_id"))))
     out = predict(docs, model, ["doc_id"])
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "entropy")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
-    """The rows of ``docs`` that the calibrated models do not reject."""
+    """The rows of ``docs`` that the calibrated models do not reject: all, where no document has a language to learn."""
     model = train(docs.select("doc_id", "text", "lang"))
     whole = docs.select(F.struct(*own_columns(docs)).alias("doc"), "text")
     judged = predict(whole, model, ["doc"])

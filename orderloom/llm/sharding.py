@@ -8,7 +8,7 @@ so that the sizes come out even; only files of shards that gain or lose document
 written are counted.
 
 Edge cases: a null text has 0 bytes (size 16, crc32 of nothing); repeated rows and equal texts are separate
-documents and may part; null ids sort first; an empty table gives no rows; further columns are ignored.
+documents and may part; a document larger than a shard's capacity goes whole to the shard that its middle byte falls to; null ids sort first; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations

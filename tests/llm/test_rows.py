@@ -1,11 +1,15 @@
 """Row numbers that hold when a table is split into tasks in another way, and columns whose names clash."""
 
 import random
+import tempfile
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from orderloom.llm import decontamination, language_id, mixing, ngram_join, sharding
+from orderloom.llm import decontamination, language_id, mixing, ngram_join, sharding, token_files
 from orderloom.llm.common import new_path, with_rows
 
 WORDS = [f"w{i}" for i in range(300)]
@@ -89,13 +93,76 @@ def test_stages_with_null_ids_and_without_rows(spark, stage):
     assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
 
 
-def test_rejection_is_calibrated_on_documents_not_counted(spark):
+@pytest.mark.parametrize("n", [200, 1_000, 10_000, 30_000])
+def test_rejection_is_calibrated_at_every_size(spark, n):
     rng = random.Random(3)
     parts = ["the", "er", "ing", "wh", "on", "at", "re", "st"]
     text = lambda n: " ".join("".join(rng.choices(parts, k=rng.randint(1, 3))) for _ in range(n))
-    rows = [(i, text(rng.randint(5, 40)), "en") for i in range(24_000)]
+    rows = [(i, text(rng.randint(5, 40)), "en") for i in range(n)]
     noise = ["".join(rng.choices("qxzjvkbçñø", k=9)) + " " + " ".join("".join(rng.choices("qxzjvkbçñø", k=7)) for _ in range(30)) for _ in range(20)]
     docs = spark.createDataFrame(rows + [(30_000 + i, t, None) for i, t in enumerate(noise)], "doc_id long, text string, lang string").repartition(8)
     kept = [r.doc_id for r in language_id.known_language(spark, docs).select("doc_id").collect()]
     assert not [i for i in kept if i >= 30_000]
-    assert 24_000 - len(kept) <= 24_000 * 4 * language_id.REJECT_SHARE
+    assert n - len(kept) <= 1 + n * 4 * language_id.REJECT_SHARE
+
+
+def test_without_labels_nothing_is_rejected(spark):
+    docs = spark.createDataFrame([(i, f"some words of text {i}" if i % 7 else None, None, "a", 1) for i in range(200)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert language_id.known_language(spark, docs).count() == 200
+    got = language_id.predict(docs, language_id.train(docs), ["doc_id"]).collect()
+    assert {(r.lang_pred, r.score, r.rejected) for r in got} == {("und", 0.0, False)}
+
+
+def test_the_calibration_sample_does_not_depend_on_the_schedule(spark):
+    rows = [(i, f"{'abc' if i % 2 else 'xyz'} word{i % 90} " * (1 + i % 90 % 5), "en" if i % 2 else "de") for i in range(4_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = [language_id.train(docs.repartition(k)) for k in (1, 7)]
+    assert models[0].limit == models[1].limit < float("inf") and models[0].beta == models[1].beta
+    assert language_id.entropy_limit(np.array([1.0, 1.1, 1.2]), np.full(3, 100)) == float("inf")
+    assert 0.8 < language_id.entropy_limit(np.ones(50), np.full(50, 100)) < 1.0  # less the margin of 0.2
+
+
+def test_a_folder_that_workers_cannot_open_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "through_table", lambda df, name: df)
+    monkeypatch.setattr(language_id, "new_path", lambda spark, name: f"hdfs://somewhere/shared/{name}")
+    with pytest.raises(ValueError, match="mounted"):
+        language_id.Model.fit(spark.createDataFrame([("en", 5, 1)], "lang string, ngram long, n long"))
+
+
+def test_resharding_moves_the_fewest_bytes_from_stored_shards(spark):
+    rng, to = random.Random(8), tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    rows = [(i, "x" * rng.randint(0, 400), k) for k in range(32) for i in range(k * 1000, k * 1000 + 10 + 7 * (k % 9))]
+    rows.append((99_999, "y" * 60_000, 31))  # more than any shard may take
+    for k in range(32):  # a file for each old shard
+        pq.write_table(pa.Table.from_pylist([{"doc_id": i, "text": t} for i, t, own in rows if own == k]), f"{to}/part-{k:05d}.parquet")
+    docs = with_rows(spark.read.parquet(f"file://{to}"))
+    sized, buckets = sharding.old_layout(docs)
+    supply = {r.old_shard: r.n for r in sized.groupBy("old_shard").agg(F.sum("size").alias("n")).collect()}
+    assert len(supply) == 32 and supply == {k: sum(len(t) + 16 for _, t, own in rows if (own + 1) % 32 == k) for k in range(32)}  # files are numbered from 1
+    total = sum(supply.values())
+    capacity = {j: (j % 5 + 1) * total // 110 for j in range(40)}
+    plan, transfers = sharding.plan_moves(sized, capacity)
+    moved = sum(n for (i, j), n in transfers.items() if i != j)
+    assert moved == total - sum(min(supply[k], capacity[k]) for k in range(32))  # what does not fit where it is must move, and no more
+    assert all(sum(n for (_, j), n in transfers.items() if j == k) <= capacity[k] for k in capacity)
+    plan = plan.collect()
+    held = {j: sum(r.size for r in plan if r.shard == j) for j in capacity}
+    largest = max(r.size for r in plan if r.doc_id != 99_999)
+    assert len(plan) == len(rows) and all(n <= capacity[j] + 2 * largest or any(r.doc_id == 99_999 for r in plan if r.shard == j) for j, n in held.items())
+    assert all(sorted(r.slot for r in plan if r.shard == j) == list(range(sum(r.shard == j for r in plan))) for j in capacity)
+    written = sharding.rewrite(docs, spark.createDataFrame(plan, sharding.plan_moves(sized, capacity)[0].schema), buckets, new_path(spark, "resharded"))
+    changed = {s for r in plan if r.shard != r.old_shard for s in (r.shard, r.old_shard)}
+    assert sorted((r.doc.doc_id, r.shard, r.slot) for r in written.collect()) == sorted((r.doc_id, r.shard, r.slot) for r in plan if r.shard in changed)
+
+
+def test_documents_of_one_id_are_dealt_to_several_files(spark):
+    rows = [(7 if i % 3 else None, f"text number {i}") for i in range(3_000)] + [(8, "the last")]
+    to = new_path(spark, "tokens")
+    token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), to, tasks=6)
+    found = token_files.with_starts(token_files.token_digests(token_files.read_tokens(spark, to)))
+    got = found.select("doc_id", "start", "n_tokens", "file").collect()
+    assert len(got) == 3_001 and len({r.file for r in got if r.doc_id == 7}) > 1 and len({r.file for r in got if r.doc_id is None}) > 1
+    got.sort(key=lambda r: r.start)
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
+    ids = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert ids == sorted(ids)
