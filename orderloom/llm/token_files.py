@@ -32,9 +32,9 @@ END_ID = 2
 STRIPE_BYTES = 8 << 20
 INDEX_ROWS = 1_000
 #: Texts are encoded so many, or so many bytes, at once: the more, the fewer words are looked up.
-PIECE_ROWS, PIECE_BYTES = 2_000, 4 << 20
+PIECE_ROWS, PIECE_BYTES = 3_000, 6 << 20
 #: Words whose ids a Python worker remembers at once.
-MEMORY_WORDS = 800_000
+MEMORY_WORDS = 1_000_000
 
 
 #: What a tokenizer does to text before its merges, if it never joins text across a space and each word of letters is a piece of its own.
