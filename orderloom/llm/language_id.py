@@ -12,7 +12,7 @@ labelled texts that the models did not count. The limit is where a generalised P
 REJECT_SHARE of such texts above: it is found alike for any number of them, with more caution for few.
 
 Edge cases: null texts and texts without letters get ``und`` and score 0, and are rejected; where nothing was learnt, all texts get that and
-none is rejected; with fewer than 4 texts to calibrate with there is no limit; ties go to the first language in order; repeated rows are
+none is rejected; with fewer than 4 texts to calibrate with there is no limit (languages of fewer than FEW_DOCS documents give none, all of theirs are learnt); ties go to the first language in order; repeated rows are
 judged alike; long texts are judged whole, few at a time; extra columns are ignored.
 """
 
@@ -41,7 +41,7 @@ START, END = CHARS + 1, CHARS + 2
 #: Rows of the model that a task sorts and writes.
 PART_ROWS = 250_000
 #: Calibrated is with at most so many texts, and at most one in so many, of languages with at least so many documents.
-CALIBRATION_DOCS, CALIBRATION_SHARE, FEW_DOCS = 3_000, 20, 20
+CALIBRATION_DOCS, CALIBRATION_SHARE, FEW_DOCS = 3_000, 20, 100
 #: Rejected is a text whose cross-entropy, less MARGIN / sqrt(symbols) for its uncertainty, is one that so small a share of texts of known languages has.
 REJECT_SHARE, MARGIN = 0.001, 2.0
 #: The tail's shape is taken to be this, as if so many texts had shown it.
