@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import quality as Q
@@ -23,7 +23,7 @@ BAD = 2
 class Files(Warehouse):
     def flat(self) -> DataFrame:
         """Raw shipments as text, some with blank ids and odd words."""
-        n = F.pmod(F.xxhash64("shipment_id"), F.lit(10))
+        n = F.conv(F.substring(F.md5(F.col("shipment_id").cast("binary")), 1, 8), 16, 10).cast("long") % 10
         own = self.raw_shipments.withColumns({"is_return": F.when(n == 1, " yes ").when(n == 2, "N").when(n == 3, "maybe").otherwise(F.col("is_return").cast("string")), "currency": F.when(n < 5, "usd").otherwise("US$"), "shipping_cost": F.concat(F.lit("$"), F.col("shipping_cost").cast("string"))})
         own = own.withColumn("order_id", F.when(F.col("package_count") == 3, " ").otherwise(F.col("order_id")))
         return own.select(*(F.col(c).cast("string") if c in own.columns else F.lit("x, \"y\"" if c == "delivery_notes" else None).cast("string").alias(c) for c in S.COLUMNS))
@@ -35,9 +35,9 @@ class Files(Warehouse):
         return to
 
     def lines(self) -> DataFrame:
-        """API records as JSON lines with mixed names; some are invalid, some occur twice."""
+        """API records as JSON lines with mixed names; some are invalid, some have negative totals, some occur twice."""
         n = F.substring("order_id", 5, 9).cast("long")
-        one = F.to_json(F.struct(F.col("order_id").alias("id"), "customer_id", F.col("total_amount").cast("string").alias("total"), F.lit("EUR").alias("currency")))
+        one = F.to_json(F.struct(F.col("order_id").alias("id"), "customer_id", F.concat(F.when(n % 14 == 0, "-").otherwise(""), F.col("total_amount").cast("string")).alias("total"), F.lit("EUR").alias("currency")))
         two = F.to_json(F.struct("order_id", F.col("customer_id").alias("customerId"), F.when(n % 4 == 0, "invalid_amount").otherwise(F.col("total_amount").cast("string")).alias("total_amount"), F.when(n % 3 == 0, "INVALID").alias("currency")))
         rows = self.raw_orders.select(F.when(n % 2 == 0, one).otherwise(two).alias("value"), n.alias("n"))
         return rows.select("value").unionByName(rows.where("n % 10 = 0").select("value"))
@@ -184,6 +184,23 @@ def _quarantined(w) -> DataFrame:
     return rows.join(F.broadcast(counts))  # one row
 
 
+def _lineage(w) -> DataFrame:
+    """Lineage by value: the hash, a file of the folder, and a row number that no other row has."""
+    rows = S.add_lineage(S.validated(_csv(w)), "csv", "b1", w.now)
+    return rows.withColumns({"is_part": F.col("source_file").rlike(r"^part-\d+.*\.csv$"), "numbered_once": F.count(F.lit(1)).over(Window.partitionBy("row_id")) == 1})
+
+
+#: The cleaned values of a shipment file's columns, as ``Files.flat`` writes them; the other columns are empty.
+DIGIT = "CAST('0x' || substr(md5(shipment_id), 1, 8) AS BIGINT) % 10"
+CLEANED_SQL = {c: c for c in "shipment_id carrier shipping_method shipment_status shipped_date estimated_delivery_date actual_delivery_date package_count shipping_cost insurance_cost".split()} | {
+    "order_id": "CASE WHEN package_count IS NULL OR package_count <> 3 THEN order_id END",
+    "currency": f"CASE WHEN {DIGIT} < 5 THEN 'USD' END",
+    "delivery_notes": "'x, \"y\"'",
+    "is_return": f"CASE {DIGIT} WHEN 1 THEN 'true' WHEN 2 THEN 'false' WHEN 3 THEN NULL ELSE CAST(is_return AS VARCHAR) END",
+}
+HASH_SQL = "sha256(" + " || '|' || ".join(f"coalesce(CAST({CLEANED_SQL[c]} AS VARCHAR), '')" if c in CLEANED_SQL else "''" for c in S.COLUMNS) + ")"
+
+
 def _loaded(w) -> DataFrame:
     return S.load_file(w.spark, w.folder(), "b1", w.now, scratch(w.spark, "loaded"))[0]
 
@@ -213,7 +230,7 @@ def _saved(w):
 
 
 #: API records by order: the first form has the total as it is, the second one may have a bad total or currency
-API = """(SELECT order_id, customer_id, n, form, CASE WHEN form = 1 OR n % 4 <> 0 THEN CAST(total_amount AS VARCHAR) ELSE 'invalid_amount' END AS total_amount,
+API = """(SELECT order_id, customer_id, n, form, CASE WHEN form = 1 AND n % 14 = 0 THEN '-' || CAST(total_amount AS VARCHAR) WHEN form = 1 OR n % 4 <> 0 THEN CAST(total_amount AS VARCHAR) ELSE 'invalid_amount' END AS total_amount,
   CASE WHEN form = 1 THEN 'EUR' WHEN n % 3 = 0 THEN 'INVALID' ELSE 'USD' END AS currency
   FROM (SELECT *, CAST(substr(order_id, 5, 9) AS BIGINT) AS n, CASE WHEN CAST(substr(order_id, 5, 9) AS BIGINT) % 2 = 0 THEN 1 ELSE 2 END AS form FROM raw_orders)
   CROSS JOIN (VALUES (1), (2)) AS copies(c) WHERE c = 1 OR n % 10 = 0)"""
@@ -229,8 +246,8 @@ QUERIES = {
     "validate_shipments_stats": (lambda w: S.validation_stats(S.validated(_csv(w))), "original_rows:l valid_rows:l invalid_rows:l validation_rate:d", "SELECT count(*) AS original_rows, count(*) FILTER (package_count IS NULL OR package_count <> 3) AS valid_rows, count(*) FILTER (package_count = 3) AS invalid_rows, 1 - CAST(count(*) FILTER (package_count = 3) AS DOUBLE) / count(*) AS validation_rate FROM raw_shipments"),
     "shipments_target_schema": (lambda w: S.target_schema(S.validated(_csv(w))), "shipment_id shipped_date package_count:l shipping_cost:d weight_unit", "SELECT shipment_id, shipped_date, package_count, shipping_cost, 'kg' AS weight_unit FROM raw_shipments"),
     "add_lineage": (
-        lambda w: S.add_lineage(S.validated(_csv(w)), "csv", "b1", w.now).withColumns({"hashed": F.char_length("record_hash"), "is_part": F.col("source_file").rlike(r"^part-\d+.*\.csv$"), "numbered": F.col("row_id").isNotNull()}),
-        "shipment_id source_system batch_id ingestion_timestamp hashed:l is_part:b numbered:b", f"SELECT shipment_id, 'csv' AS source_system, 'b1' AS batch_id, {NOW} AS ingestion_timestamp, 64 AS hashed, true AS is_part, true AS numbered FROM raw_shipments"),
+        _lineage, "shipment_id source_system batch_id ingestion_timestamp record_hash is_part:b numbered_once:b",
+        f"SELECT shipment_id, 'csv' AS source_system, 'b1' AS batch_id, {NOW} AS ingestion_timestamp, {HASH_SQL} AS record_hash, true AS is_part, true AS numbered_once FROM raw_shipments"),
     "load_shipments_file": (_loaded, "shipment_id order_id carrier shipping_cost:d", "SELECT shipment_id, order_id, carrier, shipping_cost FROM raw_shipments WHERE package_count IS NULL OR package_count <> 3"),
     "quarantined_rows": (
         _quarantined, "shipment_id reason original_rows:l valid_rows:l invalid_rows:l",
@@ -242,8 +259,12 @@ QUERIES = {
     "file_stream_ingest": (lambda w: ingest.ingested(w.spark, _ingested_folder(w)[0]), "shipment_id order_id carrier shipping_cost:d", "SELECT shipment_id, order_id, carrier, shipping_cost FROM raw_shipments WHERE package_count IS NULL OR package_count <> 3"),
     "raw_api_orders": (lambda w: A.raw_orders(w.lines(), "api", "b1"), "order_id customer_id total_amount currency order_items", f"SELECT order_id, coalesce(customer_id, '') AS customer_id, total_amount, currency, '[]' AS order_items FROM {API}"),
     "validate_api_order": (lambda w: _api(w).withColumn("errors", F.array_join("errors", ",")), "order_id errors is_valid:b", f"SELECT order_id, errors, is_valid FROM {API_CHECKED}"),
-    "api_order_dedupe_load": (lambda w: A.new_orders(_api(w), w.raw_orders.where("order_status = 'pending'")), "order_id total_amount:d", "SELECT order_id, total_amount FROM (SELECT *, CAST(substr(order_id, 5, 9) AS BIGINT) AS n FROM raw_orders) WHERE order_status <> 'pending' AND (n % 2 = 0 OR n % 3 <> 0)"),
-    "ingestion_stats": (lambda w: A.ingestion_stats(c := _api(w), A.new_orders(c, w.raw_orders.limit(0))), "fetched:l valid:l invalid:l inserted:l skipped:l success_rate:d validation_rate:d", f"SELECT *, fetched - valid AS invalid, valid - inserted AS skipped, inserted / CAST(fetched AS DOUBLE) AS success_rate, valid / CAST(fetched AS DOUBLE) AS validation_rate FROM (SELECT count(*) AS fetched, count(*) FILTER (is_valid) AS valid, count(DISTINCT order_id) FILTER (is_valid) AS inserted FROM {API_CHECKED})"),
+    "api_order_dedupe_load": (lambda w: A.new_orders(_api(w), w.raw_orders.where("order_status = 'pending'")), "order_id total_amount:d", "SELECT order_id, total_amount FROM (SELECT *, CAST(substr(order_id, 5, 9) AS BIGINT) AS n FROM raw_orders) WHERE order_status <> 'pending' AND (n % 2 = 0 OR n % 3 <> 0) AND NOT (n % 14 = 0 AND total_amount > 0)"),
+    "ingestion_stats": (
+        lambda w: A.ingestion_stats(_api(w), w.raw_orders.where("order_status = 'pending'")), "fetched:l valid:l invalid:l inserted:l failed:l skipped:l success_rate:d validation_rate:d",
+        f"""SELECT *, fetched - valid AS invalid, valid - inserted - failed AS skipped, inserted / CAST(fetched AS DOUBLE) AS success_rate, valid / CAST(fetched AS DOUBLE) AS validation_rate
+  FROM (SELECT count(*) AS fetched, count(*) FILTER (is_valid) AS valid, count(DISTINCT order_id) FILTER (is_new AND amount >= 0) AS inserted, count(*) FILTER (is_new AND amount < 0) AS failed
+    FROM (SELECT *, TRY_CAST(total_amount AS DOUBLE) AS amount, is_valid AND order_id NOT IN (SELECT order_id FROM raw_orders WHERE order_status = 'pending') AS is_new FROM {API_CHECKED}))"""),
     "table_load": (_saved, "how order_id total_amount:d", "SELECT 'append' AS how, order_id, total_amount FROM stg_orders UNION ALL SELECT 'replace', order_id, total_amount FROM stg_orders WHERE order_date < TIMESTAMP '1998-01-01'"),
     "archive_processed": (_archived, "shipment_id carrier stamp", f"SELECT shipment_id, carrier, strftime({NOW}, '%Y%m%d_%H%M%S') AS stamp FROM raw_shipments"),
     "file_manifest": (_months, "path size:l hash", f"SELECT path, size, hash FROM {MONTHS}"),

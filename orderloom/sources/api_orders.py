@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.constraints import checkable
 from ..functions.rules import EMAIL
 
 # fixed values: names that a field may have, and its default
@@ -49,12 +52,44 @@ def with_errors(orders: DataFrame) -> DataFrame:
     return orders.withColumn("errors", errors).withColumn("is_valid", F.size("errors") == 0)
 
 
+def with_refusal(checked: DataFrame) -> DataFrame:
+    """``refused``: does the row break a constraint of the stored table? The check reads the total as a number, the row keeps its text."""
+    rules = checkable("raw_orders", checked.columns)
+    broken = reduce(Column.__or__, (F.coalesce(~F.expr(sql), F.lit(False)) for sql in rules.values()))
+    typed = checked.withColumns({"text_": F.col("total_amount"), "total_amount": F.col("total_amount").try_cast("double")})
+    return typed.withColumn("refused", broken).withColumn("total_amount", F.col("text_")).drop("text_")
+
+
 def new_orders(checked: DataFrame, stored: DataFrame) -> DataFrame:
-    """Valid orders that are not stored yet, one for each id."""
-    return checked.where("is_valid").dropDuplicates(["order_id"]).join(stored.select("order_id"), "order_id", "left_anti")
+    """Valid orders that are not stored yet and that the table takes, one for each id."""
+    rows = with_refusal(checked).where("is_valid and not refused").drop("refused")
+    return rows.dropDuplicates(["order_id"]).join(stored.select("order_id"), "order_id", "left_anti")
+
 
+def ingestion_stats(checked: DataFrame, stored: DataFrame) -> DataFrame:
+    """What a load of ``checked`` into ``stored`` does with its rows.
 
-def ingestion_stats(checked: DataFrame, inserted: DataFrame) -> DataFrame:
-    n = checked.agg(F.count(F.lit(1)).alias("fetched"), F.count_if("is_valid").alias("valid")).join(inserted.agg(F.count(F.lit(1)).alias("inserted")))
+    Of the valid rows those with a stored id are skipped; of the others those that break a constraint failed, and of each id one of the
+    rest is inserted: its repeats are skipped too.
+    """
+    known = stored.select("order_id").distinct().withColumn("known", F.lit(True))
+    rows = with_refusal(checked).select("order_id", "is_valid", "refused")
+    # counts by id first, so that an id with many rows is one row in the join
+    by_id = rows.groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("is_valid").alias("valid"), F.count_if(F.col("is_valid") & F.col("refused")).alias("refused")
+    ).join(known, "order_id", "left")
+    new = F.col("known").isNull()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    n = by_id.agg(
+        total("rows").alias("fetched"),
+        total("valid").alias("valid"),
+        F.count_if(new & (F.col("valid") > F.col("refused"))).alias("inserted"),
+        total(F.when(new, F.col("refused"))).alias("failed"),
+    )
     rate = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
-    return n.withColumns({"invalid": F.col("fetched") - F.col("valid"), "skipped": F.col("valid") - F.col("inserted"), "success_rate": rate("inserted", "fetched"), "validation_rate": rate("valid", "fetched")})
+    return n.withColumns({
+        "invalid": F.col("fetched") - F.col("valid"),
+        "skipped": F.col("valid") - F.col("inserted") - F.col("failed"),
+        "success_rate": rate("inserted", "fetched"),
+        "validation_rate": rate("valid", "fetched"),
+    })

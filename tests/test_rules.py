@@ -1,6 +1,7 @@
 """Business rules on hand-computed cases."""
 
 import datetime
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,3 +96,16 @@ def test_nulls_pass_value_checks(spark):
     df = spark.createDataFrame([(None,), (5,)], "v int")
     out = {r.check_name: r for r in Q.run_suite(df, "s", "t", [Q.between("v", 0, 9), Q.not_null("v")]).collect()}
     assert out["between"].success and not out["not_null"].success
+
+
+def test_ingestion_counts_skipped_and_failed_rows(spark):
+    totals = [("a", "5"), ("a", "5"), ("b", "-1"), ("b", "-1"), ("c", "-2"), ("d", "x"), ("", "1"), ("e", "-3"), ("e", "3"), (None, "4")]
+    lines = spark.createDataFrame([(json.dumps({"id": i, "total": t}),) for i, t in totals], "value string")
+    checked = api_orders.with_errors(api_orders.raw_orders(lines, "api", "b"))
+    stored = spark.createDataFrame([("c",), ("c",)], "order_id string")
+    got = api_orders.ingestion_stats(checked, stored).first()
+    # a and e are inserted, b twice and e once break the constraint, c is stored, d and the two without id are invalid
+    assert (got.fetched, got.valid, got.invalid, got.inserted, got.failed, got.skipped) == (10, 7, 3, 2, 3, 2)
+    assert sorted((r.order_id, r.total_amount) for r in api_orders.new_orders(checked, stored).collect()) == [("a", "5"), ("e", "3")]
+    none = api_orders.ingestion_stats(checked.limit(0), stored).first()
+    assert (none.fetched, none.inserted, none.failed, none.success_rate) == (0, 0, 0, 0.0)
