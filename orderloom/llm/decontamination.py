@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, own_columns, table, through_table, with_rows
+from .common import free_name, own_columns, pieces, table, through_table, with_rows
 
 #: A passage is PASSAGE_WORDS words, a multiple of STRIDE; the last ones of a text are shorter.
 PASSAGE_WORDS, STRIDE = 96, 32
@@ -39,6 +39,8 @@ GROUPS = 64
 ITEM_CHUNK = 20_000
 K1, B = 1.2, 0.75
 MEMORY_WORDS = 1_000_000
+#: Documents searched at a time: so many rows, and about so many bytes.
+PIECE_ROWS, PIECE_BYTES = 2_000, 8 << 20
 MARKS = ".,;:!?\"'()[]{}<>|*%$#&-_/\\…«»“”„¿¡"
 RESULT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, at_word int"
 
@@ -256,7 +258,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         def scan(batches: Iterator[pa.RecordBatch], shared=index) -> Iterator[pa.RecordBatch]:
             found = shared.value
             memory = Memory(found.terms)
-            for batch in batches:
+            for batch in (part for whole in batches for part in pieces(whole, PIECE_ROWS, PIECE_BYTES)):
                 rows = [(i, found.items[m[0]][0], *m[1:]) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in matches(found, memory, t)]
                 columns = list(zip(*rows, strict=True)) or [[]] * 6
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32()]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import pieces, table
 from .html_labels import PAGES
 
 # fixed values of HTML
@@ -269,6 +269,10 @@ class Tree:
         return out
 
 
+#: Pages read at a time: so many rows, and about so many bytes.
+PIECE_ROWS, PIECE_BYTES = 500, 8 << 20
+
+
 def fit() -> Tree:
     x, y = [], []
     for page, marks in PAGES:
@@ -292,8 +296,7 @@ def extract(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in pieces(batch, PIECE_ROWS, PIECE_BYTES, "html"):
                 texts = pa.array([main_text(x, tree) for x in part.column(2).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts], ["page_id", "url", "text"])
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, through_table
+from .common import pieces, table, through_table
 
 LINE_PIXELS = 64
 LINE_BYTES = 3 * LINE_PIXELS
@@ -85,6 +85,8 @@ def decode(data: bytes) -> np.ndarray:
 
 #: Samples of an image that are summed up at once.
 STRIP = 1 << 18
+#: Files made or read at a time: so many rows, and about so many bytes.
+PIECE_ROWS, PIECE_BYTES = 500, 8 << 20
 
 
 def resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -138,8 +140,7 @@ def text_images(docs: DataFrame, form: str = "ppm") -> DataFrame:
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in pieces(batch, PIECE_ROWS, PIECE_BYTES):
                 sizes, files = [], []
                 for text in part.column(1).to_pylist():
                     raw = (text or "").encode()
@@ -169,8 +170,7 @@ def image_features(images: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in pieces(batch, PIECE_ROWS, PIECE_BYTES, "media"):
                 columns = zip(*map(features, part.column(2).to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names)
 

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ SHINGLE = 5
 PERCENT = 80
 CELLS = 1 << 18
 SLICES = 64
+#: The tasks whose counts of a slice are added up in one group; then the groups' sums are added.
+SUM_GROUPS = 64
 #: A token whose cell has more entries than this is dealt to several tasks.
 CELL_ROWS = 1_000_000
 #: A task holds parts of a block of about this many members and shingles.
@@ -169,7 +172,7 @@ def folded(bits: np.ndarray, width: int) -> np.ndarray:
 
 def document_sets(docs: DataFrame, n: int) -> DataFrame:
     """One pass over the texts: a row (row, doc_id, size, digest, bits) for each document; and a row with
-    row null for each slice of each task's cell counts, in bits, with the slice in size."""
+    row null for each slice of each task's cell counts, in bits, with the slice in size and the task in doc_id."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["row", "doc_id", "size", "digest", "bits"]
@@ -180,21 +183,28 @@ def document_sets(docs: DataFrame, n: int) -> DataFrame:
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in found], pa.int64()), pa.array(digests, pa.binary()), pa.array([bitmap(s) for s in found], pa.binary())], names)
         parts = [c.astype("<i4").tobytes() for c in cells.reshape(SLICES, -1)]
-        nothing = pa.nulls(SLICES, pa.int64())
-        yield pa.RecordBatch.from_arrays([nothing, nothing, pa.array(range(SLICES), pa.int64()), pa.nulls(SLICES, pa.binary()), pa.array(parts, pa.binary())], names)
+        task = pa.array([TaskContext.get().partitionId()] * SLICES, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), task, pa.array(range(SLICES), pa.int64()), pa.nulls(SLICES, pa.binary()), pa.array(parts, pa.binary())], names)
 
     rows = docs.select("row", F.col("doc_id").cast("long"), "text")
     return through_table(rows.mapInArrow(sets, "row long, doc_id long, size long, digest binary, bits binary"), "join-sets")
 
 
 def cell_counts(made: DataFrame) -> np.ndarray:
-    """The entries of each hash cell, over all documents."""
+    """The entries of each hash cell, over all documents. They are added up in two levels, so that no group has a row of every task."""
 
-    def add(parts):
-        total = np.sum([np.frombuffer(x, "<i4").astype("i8") for x in parts.column("bits").to_pylist()], axis=0)
-        return pa.table({"size": parts.column("size")[:1], "bits": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+    def add(entry: str):
+        def run(parts: pa.Table) -> pa.Table:
+            total = np.zeros(CELLS // SLICES, "i8")
+            for x in parts.column("bits"):
+                total += np.frombuffer(x.as_py(), entry)
+            return pa.table({"size": parts.column("size")[:1], "bits": pa.array([total.astype("<i8").tobytes()], pa.binary())})
 
-    got = made.where("row is null").select("size", "bits").groupBy("size").applyInArrow(add, "size long, bits binary").collect()  # SLICES rows of fixed size
+        return run
+
+    of_tasks = made.where("row is null").select("size", F.pmod("doc_id", F.lit(SUM_GROUPS)).alias("g"), "bits")
+    sums = of_tasks.groupBy("size", "g").applyInArrow(add("<i4"), "size long, bits binary")
+    got = sums.groupBy("size").applyInArrow(add("<i8"), "size long, bits binary").collect()  # SLICES rows of fixed size
     cells = np.zeros((SLICES, CELLS // SLICES), "i8")
     for r in got:
         cells[r["size"]] = np.frombuffer(r["bits"], "<i8")

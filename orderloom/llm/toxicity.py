@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, tasks_for, through_table
+from .common import pieces, table, tasks_for, through_table
 
 CHAIN = ("quality", "toxic")
 TRAIN_DOCS = 8_000
@@ -36,6 +36,8 @@ RIDGE = 1e-3
 STEPS = 160
 SHINGLE = 5
 MEMORY_WORDS = 300_000
+#: Texts scored at a time: so many rows, and about so many bytes.
+PIECE_ROWS, PIECE_BYTES = 1_000, 8 << 20
 MARKS = ".,;:!?\"'()[]{}<>|*%$#&-_/\\…«»“”„¿¡"
 
 
@@ -212,8 +214,7 @@ def score(docs: DataFrame, model: Chain, chain: tuple[str, ...] = CHAIN) -> Data
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = Counts(model.features)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1_000):
-                part = batch.slice(at, 1_000)
+            for part in pieces(batch, PIECE_ROWS, PIECE_BYTES):
                 x = np.zeros((part.num_rows, len(model.features)))
                 for i, t in enumerate(part.column(1).to_pylist()):
                     ids, n = count(t)

@@ -166,3 +166,25 @@ def test_documents_of_one_id_are_dealt_to_several_files(spark):
     assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
     ids = [-1 if r.doc_id is None else r.doc_id for r in got]
     assert ids == sorted(ids)
+
+
+def test_a_passage_that_thousands_of_unlike_texts_share(spark):
+    """Texts that only share a long passage lie in one open block: its rows are its members times its parts, and links inside it are found."""
+    n, rng = 5_000, random.Random(4)
+    passage = " ".join(f"p{k}" for k in range(40))
+    own = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(8)) for _ in range(n)]
+    rows = [(i, f"{t} {passage}") for i, t in enumerate(own)]
+    near = [(n + i, f"x{i} {own[i].split(' ', 1)[1]} {passage}") for i in range(0, n, 500)]  # another first word: 43 of 45 shingles
+    docs = with_rows(spark.createDataFrame(rows + near, "doc_id long, text string").repartition(8))
+    made = ngram_join.document_sets(docs, 5)
+    cells = ngram_join.cell_counts(made)
+    assert cells.sum() == 44 * (n + len(near)) == made.where("row is not null").agg(F.sum("size")).first()[0]
+    texts = docs.select(F.col("row").alias("cls"), "text")
+    shared = ngram_join.shared_tokens(ngram_join.block_rows(texts, cells, 5, 80))
+    none = spark.createDataFrame([], "v long, c long")
+    opened = ngram_join.open_cells(shared, none)
+    parts = -(-(n + len(near)) * 44 // ngram_join.PART_SHINGLES) + -(-(n + len(near)) // ngram_join.PART) + 1
+    most = opened.groupBy("token").count().agg(F.max("count")).first()[0]
+    assert n < most <= (n + len(near)) * parts
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs.select("row", "doc_id", "text"), row="row").collect()}
+    assert got == {i: i for i in range(n)} | {n + i: i for i in range(0, n, 500)}
