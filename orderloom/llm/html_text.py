@@ -273,9 +273,9 @@ class Tree:
 PIECE_ROWS, PIECE_BYTES = 500, 8 << 20
 
 
-def fit() -> Tree:
+def fit(pages: list[tuple[str, str]] = PAGES) -> Tree:
     x, y = [], []
-    for page, marks in PAGES:
+    for page, marks in pages:
         blocks = blocks_of(page)
         if len(blocks) != len(marks):
             raise ValueError(f"{len(marks)} marks for {len(blocks)} blocks: {page[:80]}")

@@ -1,7 +1,7 @@
 """URL filters: host-suffix and path-prefix expressions, met by short hash prefixes and confirmed by full digests.
 
-Every URL becomes all pairs of a suffix of its host (whole labels) and a prefix of its path (of the lengths that
-rules have). Expressions and rules meet in an equi-join on the first 32 bits of SHA-256; the whole digest
+Every URL becomes all pairs of a suffix of its host (whole labels, as many as some rule has) and a prefix of its path (of
+the lengths that rules have), so a host of a hundred thousand labels has no more expressions than another. Expressions and rules meet in an equi-join on the first 32 bits of SHA-256; the whole digest
 confirms; of the rules that fit, the longest wins (then the one with the longer host). Where one host and path is given with
 several verdicts, the last in code point order holds: block before allow.
 
@@ -34,12 +34,15 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def expressions(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All (host suffix)(path prefix) strings as structs (host, path)."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
+def label_count(host: Column) -> Column:
+    return F.char_length(host) - F.char_length(F.replace(host, F.lit("."), F.lit(""))) + 1
+
+
+def expressions(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
+    """All (host suffix)(path prefix) strings of so many labels and so long paths, as structs (host, path)."""
+    suffixes = F.array(*(F.when(label_count(host) >= n, F.substring_index(host, ".", -n)) for n in labels))
     cuts = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.char_length(path))
-    return F.flatten(F.transform(suffixes, lambda h: F.transform(cuts, lambda n: F.struct(h.alias("host"), F.substr(path, F.lit(1), n).alias("path")))))
+    return F.flatten(F.transform(F.array_compact(suffixes), lambda h: F.transform(cuts, lambda n: F.struct(h.alias("host"), F.substr(path, F.lit(1), n).alias("path")))))
 
 
 def digest(host: Column, path: Column) -> Column:
@@ -54,14 +57,15 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     """``urls`` with host, path, rule and verdict. ``rules``: (verdict, host, path), a row for each rule."""
     known = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     known = known.withColumn("digest", digest(F.col("host"), F.col("path"))).withColumn("short", short(F.col("digest")))
-    lengths = sorted(r[0] for r in rules.select(F.char_length("path")).distinct().collect())  # lengths of paths, not rules
+    shapes = rules.select(label_count(F.col("host")), F.char_length("path")).distinct().collect()  # numbers of labels and lengths of paths, not rules
+    labels, lengths = ({r[k] for r in shapes} - {None} or {0} for k in range(2))
     known = known.select(F.struct((F.char_length("host") + F.char_length("path")).alias("length"), F.char_length("host").alias("host_length"), F.concat("host", "path").alias("rule"), "verdict", "digest").alias("found"), "short")
     few = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
 
     row = free_name(urls, "row")
     numbered = with_rows(urls, row)
     rows = numbered.select(F.struct(*own_columns(urls)).alias("page"), F.col(row).alias("row"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
-    tried = rows.select("row", F.explode(expressions(F.col("host"), F.col("path"), lengths or [0])).alias("e"))
+    tried = rows.select("row", F.explode(expressions(F.col("host"), F.col("path"), sorted(labels), sorted(lengths))).alias("e"))
     tried = tried.withColumn("digest", digest(F.col("e.host"), F.col("e.path"))).select("row", "digest", short(F.col("digest")).alias("short"))
     if few:
         met = tried.join(F.broadcast(known), "short")

@@ -197,6 +197,36 @@ def test_urls(spark):
     assert url_filters.judge(pages.limit(0), rules).count() == 0
 
 
+def test_very_long_urls(spark):
+    labels, path = "a." * 100_000, "/de/" + "x" * 1_000_000
+    urls = [f"http://{labels}example.org/en/1{path}?q", f"http://{labels}com{path}", "http://" + "b" * 1_000_000 + ".net/", "s" * 1_000_000, "x" * 500_000 + "://ORG/", f"http://{labels}", "http://com./de/"]
+    rules = spark.createDataFrame([*url_filters.RULES, ("block", "c.d.example.org", ""), ("block", None, "/")], "verdict string, host string, path string")
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filters.judge(pages, rules).orderBy("page_id").select("rule", "verdict", F.length("host").alias("h"), F.length("path").alias("p")).collect()
+    assert [(r.rule, r.verdict) for r in got] == [("example.org/en/1", "block"), ("com/de/", "block"), (None, "allow"), (None, "allow"), ("org/", "allow"), (None, "allow"), (None, "allow")]
+    assert [(r.h, r.p) for r in got] == [(200_011, 1_000_009), (200_003, 1_000_004), (1_000_004, 1), (0, 0), (3, 1), (200_000, 0), (4, 4)]
+    urls = [f"http://{'.'.join(x)}/{y}" for x in (["c", "d", "example", "org"], ["x", "c", "d", "example", "org"], ["d", "example", "org"], ["xc", "d", "example", "org"]) for y in ("", "es/")]
+    got = url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).orderBy("page_id").collect()
+    assert [r.rule for r in got] == ["c.d.example.org", "c.d.example.org", "c.d.example.org", "c.d.example.org", "org/", "example.org/es/", "org/", "example.org/es/"]
+    assert [r.rule for r in url_filters.judge(pages, rules.limit(0)).collect()] == [None] * 7
+
+
+def test_words_and_texts_longer_than_a_piece(spark, monkeypatch):
+    rng = random.Random(4)
+    words = ["a", "Bc", "é" * 5, "x" * 20, "X" * 20, "日本語" * 9, "y" * 70, "y" * 71]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", "\n", "\t  "]) * rng.randint(0, 2) for _ in range(rng.randint(0, 30))) for _ in range(60)] + [None, "", "   ", "z" * 50]
+    whole = ngram_join.shingle_sets(texts)
+    for size in (1, 7, 64):
+        monkeypatch.setattr(ngram_join, "PIECE", size)
+        assert all((a == b).all() if len(a) == len(b) else False for a, b in zip(whole, ngram_join.shingle_sets(texts), strict=True))
+    monkeypatch.undo()
+    long = " ".join(f"w{i}" for i in range(400_000))  # some 2.7 MB
+    word = "q" * (3 << 20)
+    texts = [long, long + " end", word, word.upper(), word + "r", f"a b {word} c d", f"a b {word} c e", "a b c d"]
+    got = sorted(map(tuple, ngram_join.jaccard_components(docs_of(spark, texts)).select("doc_id", "n_shingles", "component_id").collect()))
+    assert got == [(0, 399_996, 0), (1, 399_997, 0), (2, 1, 2), (3, 1, 2), (4, 1, 4), (5, 1, 5), (6, 1, 6), (7, 1, 7)]
+
+
 def test_language_id(spark):
     rng = random.Random(4)
     make = lambda parts: " ".join("".join(rng.choices(parts, k=rng.randint(1, 3))) for _ in range(40))

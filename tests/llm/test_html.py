@@ -1,5 +1,7 @@
 """Main text of pages: labels, structure, awkward markup, time in proportion to the page, DataFrames."""
 
+import html
+import re
 import time
 
 import pytest
@@ -21,6 +23,33 @@ def test_the_labels_are_learnt():
         assert "".join("+" if k else "-" for k in keep) == marks, page
 
 
+def test_blocks_of_pages_left_out():
+    right = total = 0
+    for k, (page, marks) in enumerate(html_labels.PAGES):
+        tree = html_text.fit(html_labels.PAGES[:k] + html_labels.PAGES[k + 1 :])
+        keep = tree.predict(html_text.features_of(html_text.blocks_of(page))) >= 0.5
+        right, total = right + sum(m == "-+"[int(x)] for m, x in zip(marks, keep, strict=True)), total + len(marks)
+    print("left out", right, total)
+    assert right >= 0.9 * total
+
+
+def plain_article(page):
+    """The article element of a page of the given tables, by patterns alone."""
+    inner = re.search(r"(?s)<article>(.*?)</article>", page)[1]
+    parts = re.split(r"</?(?:h1|p|ul|ol|li|div|blockquote|br)\b[^>]*>", re.sub(r"(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>", "", inner))
+    return [x for part in parts if (x := " ".join(html.unescape(re.sub(r"<[^>]*>", "", part)).split()))]
+
+
+def test_given_pages_equal_their_article_elements(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: (r.text, r.n_chars) for r in html_text.op10_html_text(spark, "/root/testdata/sf0.01").collect()}
+    rows = pages.collect()
+    assert len(got) == len(rows) > 0
+    for r in rows:
+        text, n = got[r.page_id]
+        assert text.split("\n") == plain_article(r.html) and n == len(text), r.page_id
+
+
 def test_the_tree_asks_for_words_and_links_of_neighbours():
     asked, todo = set(), [TREE.root]
     while todo:

@@ -80,3 +80,16 @@ def test_run_gives_the_same_rows_again(spark, planted):
     folder, _, _ = planted
     one, two = (sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) for _ in range(2))
     assert one == two and one
+
+
+@pytest.mark.parametrize("empty", ["documents", "benchmark"])
+def test_run_on_an_empty_table(spark, planted, empty):
+    folder, rows, _ = planted
+    to = new_path(spark, "empty")
+    for name in ("documents", "benchmark"):
+        df = spark.read.parquet(f"{folder}/{name}.parquet")
+        (df.limit(0) if name == empty else df).write.parquet(f"{to}/{name}.parquet")
+    out = corpus_pipeline.run(spark, to)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "shard", "slot"]
+    found = {r.doc_id for r in out.collect()}
+    assert found <= {i for i, r in rows.items() if any(c.isalpha() for c in r[1] or "")} and bool(found) == (empty == "benchmark")
