@@ -188,3 +188,17 @@ def test_a_passage_that_thousands_of_unlike_texts_share(spark):
     assert n < most <= (n + len(near)) * parts
     got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs.select("row", "doc_id", "text"), row="row").collect()}
     assert got == {i: i for i in range(n)} | {n + i: i for i in range(0, n, 500)}
+
+
+def test_every_labelled_text_is_learnt_and_calibrates(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 6))) for _ in range(20)) for _ in range(8_000)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(4)
+    seen = []
+    limit = language_id.tail_limit
+    monkeypatch.setattr(language_id, "tail_limit", lambda values, counts: seen.append(int(counts.sum())) or limit(values, counts))
+    counted = []
+    counts = language_id.ngram_counts
+    monkeypatch.setattr(language_id, "ngram_counts", lambda rows: counted.append(rows.count()) or counts(rows))
+    assert language_id.known_language(spark, docs).count() >= 7_950
+    assert seen == [8_000] and counted == [8_000]
