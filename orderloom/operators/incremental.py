@@ -70,6 +70,7 @@ def merge_versions(table: BucketedTable, arrivals: DataFrame, at: str, tie: str)
     """Put a stored batch of changes, late ones and repeats included, into stored ``versions``: those of its keys are closed and numbered anew, the others stay. Gives the version."""
 
     def change(old: DataFrame, batch: DataFrame) -> DataFrame:
+        old, batch = (df.repartition(table.buckets, *table.keys) for df in (old, batch))  # for all that follows
         keys = batch.select(*table.keys).distinct()
         again = old.join(keys, table.keys, "left_semi").select(*batch.columns).unionByName(batch).dropDuplicates([*table.keys, at, tie])
         return old.join(keys, table.keys, "left_anti").unionByName(versions(again, table.keys, at, tie))
@@ -82,8 +83,9 @@ def merge_dimension(dimension: BucketedTable, changes: BucketedTable, arrivals:
     keys = dimension.keys
 
     def change(old: DataFrame, batch: DataFrame) -> DataFrame:
+        old, stored, batch = (df.repartition(dimension.buckets, *keys) for df in (old, changes.rows(changes.version(), changes.touched(batch)), batch))
         touched = batch.select(*keys).distinct()
-        known = changes.rows(changes.version(), changes.touched(batch)).join(touched, keys, "left_semi")
+        known = stored.join(touched, keys, "left_semi")
         return old.join(touched, keys, "left_anti").unionByName(scd2(known, keys, attributes, at, tie))
 
     return merge(dimension, arrivals, change, scd2(arrivals, keys, attributes, at, tie))

@@ -22,6 +22,8 @@ from .warehouse import FACT, MODELS_SQL, NOW, Warehouse
 
 CUT = "2024-01-20 00:00:00"
 BUCKETS = 16
+#: Stored versions have a bucket for so many orders, if these are more than BUCKETS.
+BUCKET_ORDERS = 100_000
 LIMITS = [("click", 5.0), ("view", 50.0)]
 #: Texts of these tables in a database.
 TEXTS = "event_type VARCHAR(100)"
@@ -282,8 +284,9 @@ def _inserted(w) -> DataFrame:
 
 def _arrived(w) -> tuple[BucketedTable, BucketedTable]:
     """The feed in three batches, the first changes of orders after the second ones: stored versions, and a stored dimension."""
-    v = BucketedTable(w.spark, scratch(w.spark, "versions"), ["order_key"], BUCKETS)
-    d = BucketedTable(w.spark, scratch(w.spark, "dimension"), ["order_key"], BUCKETS)
+    buckets = max(BUCKETS, retail.read(w.spark, w.sf_dir, "orders").count() // BUCKET_ORDERS)
+    v = BucketedTable(w.spark, scratch(w.spark, "versions"), ["order_key"], buckets)
+    d = BucketedTable(w.spark, scratch(w.spark, "dimension"), ["order_key"], buckets)
     for nth in (1, 0, 2):
         batch = _kept(w, w.feed.where(F.col("nth") == nth), "arrivals")
         I.merge_versions(v, batch, "changed_at", "nth")

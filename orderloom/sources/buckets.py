@@ -74,7 +74,7 @@ class BucketedTable:
         """``rows`` as the rows of the buckets ``touched`` in ``version``; with None they are added to what their buckets hold."""
         data, before = f"{self.path}/data/version={version}", self.manifest(version - 1)
         keyed = rows.withColumn("bucket", self.bucket())
-        keyed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(data)
+        keyed.repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(data)
         written = [int(n.split("=")[1]) for n in names(self.spark, f"{data}/bucket=*")]
         new = self.spark.createDataFrame([(b, version) for b in written], MANIFEST)  # a row for each bucket
         kept = before if touched is None else before.where(~F.col("bucket").isin(touched))
