@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import quality as Q
 from ..sources import api_orders as A
 from ..sources import shipment_files as S
-from ..sources.storage import load_table, move, put, remove, scratch
+from ..sources.storage import load_table, move, put, remove, scratch, spread
 from ..streaming import ingest
 from .results import result, result_sql
 from .warehouse import MODELS_SQL, NOW, Warehouse
@@ -21,17 +23,28 @@ BAD = 2
 
 
 class Files(Warehouse):
-    def flat(self) -> DataFrame:
-        """Raw shipments as text, some with blank ids and odd words."""
+    @cached_property
+    def shipments(self) -> DataFrame:
+        """Raw shipments as a stored table, as they are counted first and may be written in several forms."""
+        to = scratch(self.spark, "shipments")
+        self.raw_shipments.write.parquet(to)
+        return self.spark.read.parquet(to)
+
+    @cached_property
+    def parts(self) -> int:
+        return max(PARTS, self.shipments.count() // FILE_ROWS)
+
+    def flat(self, where: str = "true", parts: int | None = None) -> DataFrame:
+        """Raw shipments as text, some with blank ids and odd words, in ``parts`` parts."""
+        rows = self.shipments.where(where).repartition(parts or self.parts, "shipment_id")  # while they are narrow
         n = F.conv(F.substring(F.md5(F.col("shipment_id").cast("binary")), 1, 8), 16, 10).cast("long") % 10
-        own = self.raw_shipments.withColumns({"is_return": F.when(n == 1, " yes ").when(n == 2, "N").when(n == 3, "maybe").otherwise(F.col("is_return").cast("string")), "currency": F.when(n < 5, "usd").otherwise("US$"), "shipping_cost": F.concat(F.lit("$"), F.col("shipping_cost").cast("string"))})
+        own = rows.withColumns({"is_return": F.when(n == 1, " yes ").when(n == 2, "N").when(n == 3, "maybe").otherwise(F.col("is_return").cast("string")), "currency": F.when(n < 5, "usd").otherwise("US$"), "shipping_cost": F.concat(F.lit("$"), F.col("shipping_cost").cast("string"))})
         own = own.withColumn("order_id", F.when(F.col("package_count") == 3, " ").otherwise(F.col("order_id")))
         return own.select(*(F.col(c).cast("string") if c in own.columns else F.lit("x, \"y\"" if c == "delivery_notes" else None).cast("string").alias(c) for c in S.COLUMNS))
 
     def folder(self) -> str:
         to = scratch(self.spark, "shipments-csv")
-        parts = max(PARTS, self.raw_shipments.count() // FILE_ROWS)
-        self.flat().repartition(parts, "shipment_id").write.option("header", True).option("escape", '"').csv(to)
+        self.flat().write.option("header", True).option("escape", '"').csv(to)
         return to
 
     def lines(self) -> DataFrame:
@@ -128,7 +141,7 @@ def _exported(w):
 def _without_ids(w):
     """Files whose header lacks a required column."""
     to = scratch(w.spark, "no-order-ids")
-    w.flat().drop("order_id").repartition(PARTS, "shipment_id").write.option("header", True).option("escape", '"').csv(to)
+    w.flat().drop("order_id").write.option("header", True).option("escape", '"').csv(to)
     df, warnings = S.read_with_fallback(w.spark, to)
     return df.withColumns({"inferred": F.lit("schema was inferred" in warnings), "kind": F.lit(dict(df.dtypes)["package_count"])})
 
@@ -150,10 +163,11 @@ SCHEMA_SQL = " UNION ALL ".join(
 def _ingested_folder(w) -> tuple[str, str]:
     """Shipments, two kinds of bad files (no order ids in them; no gzip), ingested in two runs; and the state of that."""
     folder, to, state = w.folder(), scratch(w.spark, "ingested"), scratch(w.spark, "ingest-state")
-    w.flat().where("package_count = 7").drop("order_id").repartition(BAD, "shipment_id").write.option("header", True).option("escape", '"').csv(f"{folder}/no-order-ids")
+    w.flat("package_count = 7", BAD).drop("order_id").write.option("header", True).option("escape", '"').csv(f"{folder}/no-order-ids")
     put(w.spark, f"{folder}/damaged.csv.gz", b"this is no gzip file")
     for hours in (0, 1):
-        ingest.ingest_files(w.spark, folder, to, state, w.now + F.make_dt_interval(hours=F.lit(hours)), most_files=4)
+        # two batches, whatever the number of files: each has the files of many tasks
+        ingest.ingest_files(w.spark, folder, to, state, w.now + F.make_dt_interval(hours=F.lit(hours)), most_files=(w.parts + BAD + 2) // 2)
     return to, state
 
 
@@ -166,9 +180,9 @@ def _ledger(w) -> DataFrame:
 
 def _broken_folder(w) -> str:
     """Rows without an order id, and rows with too many fields, which are written with another quote than is read."""
-    to, five = scratch(w.spark, "broken"), F.col("package_count") == 5
-    w.flat().where(~F.coalesce(five, F.lit(False))).repartition(PARTS, "shipment_id").write.option("header", True).option("escape", '"').csv(to)
-    w.flat().where(five).withColumn("return_date", F.lit("a,b")).repartition(PARTS, "shipment_id").write.mode("append").option("header", True).option("quote", "\u0001").csv(to)
+    to = scratch(w.spark, "broken")
+    w.flat("package_count is null or package_count <> 5").write.option("header", True).option("escape", '"').csv(to)
+    w.flat("package_count = 5").withColumn("return_date", F.lit("a,b")).write.mode("append").option("header", True).option("quote", "\u0001").csv(to)
     return to
 
 
@@ -187,6 +201,7 @@ def _quarantined(w) -> DataFrame:
 def _lineage(w) -> DataFrame:
     """Lineage by value: the hash, a file of the folder, and a row number that no other row has."""
     rows = S.add_lineage(S.validated(_csv(w)), "csv", "b1", w.now)
+    rows = spread(rows.drop(*(c for c in S.COLUMNS if c != "shipment_id"), "_corrupt_record"), w.shipments.count(), "row_id")
     return rows.withColumns({"is_part": F.col("source_file").rlike(r"^part-\d+.*\.csv$"), "numbered_once": F.count(F.lit(1)).over(Window.partitionBy("row_id")) == 1})
 
 
@@ -208,7 +223,7 @@ def _loaded(w) -> DataFrame:
 def _archived(w):
     """The rows of the archived files, read back from the archive."""
     archive = scratch(w.spark, "archive")
-    ingest.ingest_files(w.spark, w.folder(), scratch(w.spark, "ingested"), scratch(w.spark, "ingest-state"), w.now, most_files=2, archive=archive)
+    ingest.ingest_files(w.spark, w.folder(), scratch(w.spark, "ingested"), scratch(w.spark, "ingest-state"), w.now, most_files=max(2, w.parts // 2), archive=archive)
     return S.read_csv(w.spark, archive)[0].withColumn("stamp", F.substring("source_file", 1, 15))
 
 
