@@ -19,7 +19,8 @@ from orderloom.operators import quality as Q
 from orderloom.operators import replication as P
 from orderloom.operators import runlog as L
 from orderloom.operators.watermarks import Watermarks
-from orderloom.sources import database
+from orderloom.plans import changes, files, warehouse
+from orderloom.sources import database, storage
 from orderloom.sources import shipment_files as S
 from orderloom.sources.buckets import BucketedTable
 from orderloom.sources.storage import refresh_partitions
@@ -313,3 +314,48 @@ def test_orders_without_a_customer_are_one_history(spark):
         F.count(F.lit(1)).over(so_far),
     )
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_folders_have_more_files_for_more_rows(spark, monkeypatch):
+    monkeypatch.setattr(files, "FILE_ROWS", 200)
+    w = files.Files(spark, SF)
+    n = w.raw_shipments.count()
+    assert w.parts == n // 200 > 2 * files.PARTS
+    for folder in (w.folder(), files._broken_folder(w)):
+        assert len(glob.glob(folder.removeprefix("file://") + "/*.csv")) >= w.parts
+    _, state = files._ingested_folder(w)
+    batches = {r.path for r in spark.read.parquet(f"{state}/ledger").select("path").distinct().collect()}
+    assert len(batches) == w.parts + files.BAD + 1
+    assert len(glob.glob(state.removeprefix("file://") + "/files/commits/[0-9]*")) == 2
+
+
+def test_batches_of_files_hold_no_content(spark, folder, monkeypatch):
+    seen, listed = [], ingest.listed
+    monkeypatch.setattr(ingest, "listed", lambda f: seen.append(f.columns) or listed(f))
+    os.mkdir(f"{folder}/in")
+    write(f"{folder}/in", "a.csv", ["shipment_id,order_id,carrier", "s1,o1,ups"])
+    ingest.ingest_files(spark, f"file://{folder}/in", f"file://{folder}/out", f"file://{folder}/state", now())
+    assert seen and all("content" not in c for c in seen)
+    assert "path_" not in ingest.ingested(spark, f"file://{folder}/out").columns
+
+
+def test_tasks_stay_small_where_tables_grow(spark, monkeypatch):
+    monkeypatch.setattr(storage, "TASK_ROWS", 500)
+    w = warehouse.Warehouse(spark, SF)
+    assert w.raw_shipments.rdd.getNumPartitions() >= w.order_items.count() // 500 > 4
+    assert "REPARTITION_BY_NUM" in warehouse._by_category(w)._jdf.queryExecution().executedPlan().toString()
+    to = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    monkeypatch.setattr(warehouse, "scratch", lambda spark, name: f"file://{to}/{name}")
+    warehouse._per_file(w)
+    assert len(glob.glob(f"{to}/by-carrier/carrier=ups/*.parquet")) > 4
+
+
+def test_stored_versions_have_more_buckets_for_more_orders(spark, monkeypatch):
+    monkeypatch.setattr(changes, "BUCKET_ORDERS", 50)
+    w = changes.Changes(spark, SF)
+    v, d = changes._arrived(w)
+    assert v.buckets == d.buckets == spark.read.parquet(f"{SF}/orders.parquet").count() // 50 > changes.BUCKETS
+    assert v.rows(v.version()).count() == w.feed.count()
