@@ -268,6 +268,33 @@ def test_a_task_that_is_run_again_does_not_double_rows(spark, folder):
     assert database.scan(spark, url, "t", "n").count() == 50
 
 
+@pytest.mark.parametrize("table", ["t", "shop.t"])
+def test_replaced_rows_are_found_by_an_index_on_all_keys(spark, folder, table):
+    url = f"jdbc:derby:{folder}/db;create=true"
+    spark.range(300).select((F.col("id") % 100).alias("n"), (F.col("id") % 3).alias("part"), F.col("id").alias("cents")).write.parquet(f"file://{folder}/rows")
+    df = spark.read.parquet(f"file://{folder}/rows")
+    if "." in table:
+        with database.transaction(spark, url) as c:
+            database.run(c, "CREATE SCHEMA shop")
+    whole, indexed = database.run, []
+
+    def watched(connection, sql, *values):
+        if sql.startswith("DELETE "):
+            found = connection.getMetaData().getIndexInfo(None, None, "T_STAGE", False, True)
+            while found.next():
+                indexed.append(found.getString("COLUMN_NAME"))
+        return whole(connection, sql, *values)
+
+    database.run = watched
+    try:
+        assert database.write(df, url, table, "one", keys=["n", "part"]) == 300
+        assert database.write(df.where("n < 10").withColumn("cents", F.lit(-1).cast("long")), url, table, "two", keys=["n", "part"]) == 30
+    finally:
+        database.run = whole
+    assert indexed == ["n", "part"] * 2
+    assert database.scan(spark, url, table, "n").agg(F.count("n"), F.count_if(F.col("cents") == -1)).first()[:] == (300, 30)
+
+
 def test_a_mart_keeps_the_days_that_no_row_touches(spark, folder):
     frame = lambda *rows: spark.createDataFrame(rows, "day string, n long")
     total = lambda df: df.groupBy("day").agg(F.sum("n").alias("n"))
