@@ -295,6 +295,23 @@ def test_replaced_rows_are_found_by_an_index_on_all_keys(spark, folder, table):
     assert database.scan(spark, url, table, "n").agg(F.count("n"), F.count_if(F.col("cents") == -1)).first()[:] == (300, 30)
 
 
+@pytest.mark.parametrize("query, tables", [("jdbc_scan_incremental", ["SOURCE_EVENTS"]), ("jdbc_sink", ["APPENDED", "REPLACED"])])
+def test_ranges_of_a_scan_are_found_by_an_index(spark, folder, query, tables):
+    url = f"jdbc:derby:{folder}/db;create=true"
+    spark.conf.set("spark.orderloom.jdbc.url", url)
+    try:
+        first, again = (changes.queries()[query](spark, "/root/testdata/sf0.001").count() for _ in range(2))
+    finally:
+        spark.conf.unset("spark.orderloom.jdbc.url")
+    indexed = []
+    with database.transaction(spark, url) as c:
+        for t in tables:
+            found = c.getMetaData().getIndexInfo(None, None, t, False, True)
+            while found.next():
+                indexed.append((t, found.getString("COLUMN_NAME")))
+    assert indexed == [(t, "event_id") for t in tables] and first == again > 0
+
+
 def test_a_mart_keeps_the_days_that_no_row_touches(spark, folder):
     frame = lambda *rows: spark.createDataFrame(rows, "day string, n long")
     total = lambda df: df.groupBy("day").agg(F.sum("n").alias("n"))
