@@ -222,12 +222,13 @@ def classes(made: DataFrame) -> DataFrame:
 # --- 2. blocks
 
 
-def block_rows(reps: DataFrame, cells: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(token, salt, cls, size): each class with the tokens of its prefix. Tokens of very full cells have salts from 1 on, others 0."""
+def block_rows(texts: DataFrame, cells: np.ndarray, n: int, percent: int, own: DataFrame | None = None) -> DataFrame:
+    """(token, salt, cls, size): each class of ``texts`` (cls, text), or those of them in ``own`` (cls), with the tokens of its prefix.
+    Tokens of very full cells have salts from 1 on, others 0."""
     # how crowded each cell is: 0 up to twice the mean, then the binary logarithm of the ratio
     crowded = np.floor(np.log2(np.maximum(cells / max(1.0, cells.mean()), 1.0))).astype("u1")
     split = np.where(cells > CELL_ROWS, cells // CELL_ROWS + 1, 0).astype("u4")
-    shared = reps.sparkSession.sparkContext.broadcast((crowded, split))  # CELLS rows
+    shared = texts.sparkSession.sparkContext.broadcast((crowded, split))  # CELLS rows
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, salts = shared.value
@@ -238,16 +239,19 @@ def block_rows(reps: DataFrame, cells: np.ndarray, n: int, percent: int) -> Data
                 # by crowding, then by hash; the set is sorted by hash already
                 tokens.append(s[np.argsort(last[(s % np.uint64(CELLS)).astype("i8")], kind="stable")[:keep]])
                 sizes.append(len(s))
-            counts, flat = [len(t) for t in tokens], np.concatenate(tokens)
-            cls = np.repeat(part.column(0).to_numpy(), counts)
+            flat, offsets = np.concatenate(tokens), pa.array(np.cumsum([0, *map(len, tokens)]), pa.int32())
+            cls = np.repeat(part.column(0).to_numpy(), np.diff(offsets))
             ways = salts[(flat % np.uint64(CELLS)).astype("i8")].astype(np.uint64)
             salt = np.where(ways > 0, mixed(cls.astype(np.uint64)) % np.maximum(ways, np.uint64(1)) + np.uint64(1), np.uint64(0))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat.view("i8")), pa.array(salt.astype("i4")), pa.array(cls), pa.array(np.repeat(np.array(sizes, "i4"), counts))],
-                ["token", "salt", "cls", "size"],
+                [part.column(0), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(flat.view("i8"))), pa.ListArray.from_arrays(offsets, pa.array(salt.astype("i4")))],
+                ["cls", "size", "tokens", "salts"],
             )
 
-    return reps.select("cls", "text").mapInArrow(prefixes, "token long, salt int, cls long, size int")
+    rows = texts.select("cls", "text").mapInArrow(prefixes, "cls long, size int, tokens array<long>, salts array<int>")
+    # prefixes are joined, not texts: a fifth of the tokens take less to shuffle than all words
+    rows = rows.join(own.hint("merge"), "cls") if own is not None else rows
+    return rows.select("cls", "size", "salts", F.posexplode("tokens").alias("at", "token")).select("token", F.get("salts", "at").alias("salt"), "cls", "size")
 
 
 def shared_tokens(blocks: DataFrame) -> DataFrame:
@@ -540,7 +544,7 @@ def class_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT)
     known = classes(made)
     own = known.where("row = cls").select("row")
     texts = docs.select(F.col("row").alias("cls"), "text")
-    blocks = block_rows(texts.join(own.select(F.col("row").alias("cls")).hint("merge"), "cls"), cell_counts(made), n, percent)
+    blocks = block_rows(texts, cell_counts(made), n, percent, own.select(F.col("row").alias("cls")))
     shared = shared_tokens(blocks)
     near = linked(home_groups(shared), texts, n, percent, tasks)
     first = through_table(components(near), "join-components")

@@ -2,6 +2,8 @@
 
 import random
 import tempfile
+import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orderloom.llm import decontamination, language_id, mixing, ngram_join, sharding, token_files
-from orderloom.llm.common import new_path, with_rows
+from orderloom.llm.common import CLEANUP, new_path, through_table, with_rows
 
 WORDS = [f"w{i}" for i in range(300)]
 
@@ -202,3 +204,50 @@ def test_every_labelled_text_is_learnt_and_calibrates(spark, monkeypatch):
     monkeypatch.setattr(language_id, "ngram_counts", lambda rows: counted.append(rows.count()) or counts(rows))
     assert language_id.known_language(spark, docs).count() >= 7_950
     assert seen == [8_000] and counted == [8_000]
+
+
+def test_shuffles_of_a_table_end_with_its_write(spark):
+    """Their files are gone once the table is there, not when the driver happens to collect its garbage; the session's setting stays as it was."""
+    dirs = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def files() -> set:
+        return {p for d in dirs for p in Path(d).glob("*/shuffle_*.data")}
+
+    before, made = files(), []
+    for setting in (None, "false"):
+        if setting:
+            spark.conf.set(CLEANUP, setting)
+        kept = through_table(spark.range(200_000).repartition(5, "id").groupBy(F.pmod("id", F.lit(1000)).alias("k")).agg(F.count("*").alias("n")), "shuffled")
+        assert spark.conf.get(CLEANUP, None) == setting
+        made.append(kept)
+    spark.conf.unset(CLEANUP)
+    until = time.time() + 5  # they are removed in the background
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before
+    assert all(t.agg(F.count("*"), F.sum("n")).first()[:] == (1000, 200_000) for t in made)
+
+
+def test_prefixes_are_shuffled_without_texts(spark, monkeypatch):
+    """Classes are picked among prefixes, so the texts themselves are not shuffled; salts of full cells and blank texts stay what they were."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(WORDS, k=rng.choice([0, 3, 12, 60]))) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(300, None)], "cls long, text string").repartition(3)
+    cells = np.zeros(ngram_join.CELLS, "i8")
+    np.add.at(cells, (np.concatenate(ngram_join.shingle_sets(texts)) % np.uint64(ngram_join.CELLS)).astype("i8"), 1)
+    cells[::2] += 50
+    monkeypatch.setattr(ngram_join, "CELL_ROWS", 20)
+    own = docs.where("cls % 3 = 0").select("cls")
+    blocks = ngram_join.block_rows(docs, cells, 5, 80, own)
+    plan = blocks._jdf.queryExecution().executedPlan()
+    assert not any("text" in line for line in plan.toString().split("\n") if "Exchange" in line or "Sort" in line)
+    crowded = np.floor(np.log2(np.maximum(cells / cells.mean(), 1.0)))
+    want = set()
+    for cls in range(0, 300, 3):
+        s = ngram_join.shingle_sets([texts[cls]])[0]
+        cell = (s % np.uint64(ngram_join.CELLS)).astype("i8")
+        for k in np.argsort(crowded[cell], kind="stable")[: len(s) - -(-80 * len(s) // 100) + 1]:
+            want.add((int(s[k].astype("i8")), cls, len(s), bool(cells[cell[k]] > 20)))
+    got = [(r.token, r.cls, r["size"], r.salt > 0) for r in blocks.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert {x[3] for x in got} == {True, False}
