@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import quality as Q
 from ..sources import api_orders as A
 from ..sources import shipment_files as S
-from ..sources.storage import load_table, move, put, remove, scratch, spread
+from ..sources.storage import SHUFFLES_END, load_table, move, put, remove, scratch, settings, spread
 from ..streaming import ingest
 from .results import result, result_sql
 from .warehouse import MODELS_SQL, NOW, Warehouse
@@ -26,9 +26,10 @@ class Files(Warehouse):
     @cached_property
     def shipments(self) -> DataFrame:
         """Raw shipments as a stored table, as they are counted first and may be written in several forms."""
-        to = scratch(self.spark, "shipments")
-        self.raw_shipments.write.parquet(to)
-        return self.spark.read.parquet(to)
+        self.shipments_at = scratch(self.spark, "shipments")
+        with settings(self.spark, SHUFFLES_END):
+            self.raw_shipments.write.option("compression", "zstd").parquet(self.shipments_at)
+        return self.spark.read.parquet(self.shipments_at)
 
     @cached_property
     def parts(self) -> int:
@@ -42,9 +43,20 @@ class Files(Warehouse):
         own = own.withColumn("order_id", F.when(F.col("package_count") == 3, " ").otherwise(F.col("order_id")))
         return own.select(*(F.col(c).cast("string") if c in own.columns else F.lit("x, \"y\"" if c == "delivery_notes" else None).cast("string").alias(c) for c in S.COLUMNS))
 
-    def folder(self) -> str:
+    def folder(self, compression: str = "none") -> str:
         to = scratch(self.spark, "shipments-csv")
-        self.flat().write.option("header", True).option("escape", '"').csv(to)
+        with settings(self.spark, SHUFFLES_END):
+            self.flat().write.options(header=True, escape='"', compression=compression).csv(to)
+        return to
+
+    def incoming(self, bad: bool = False) -> str:
+        """A folder of compressed files to ingest, ``bad`` ones among them: without order ids, and no gzip. The table that they are written from goes."""
+        to = self.folder("gzip")
+        if bad:
+            with settings(self.spark, SHUFFLES_END):
+                self.flat("package_count = 7", BAD).drop("order_id").write.options(header=True, escape='"', compression="gzip").csv(f"{to}/no-order-ids")
+            put(self.spark, f"{to}/damaged.csv.gz", b"this is no gzip file")
+        remove(self.spark, self.shipments_at)
         return to
 
     def lines(self) -> DataFrame:
@@ -162,9 +174,7 @@ SCHEMA_SQL = " UNION ALL ".join(
 
 def _ingested_folder(w) -> tuple[str, str]:
     """Shipments, two kinds of bad files (no order ids in them; no gzip), ingested in two runs; and the state of that."""
-    folder, to, state = w.folder(), scratch(w.spark, "ingested"), scratch(w.spark, "ingest-state")
-    w.flat("package_count = 7", BAD).drop("order_id").write.option("header", True).option("escape", '"').csv(f"{folder}/no-order-ids")
-    put(w.spark, f"{folder}/damaged.csv.gz", b"this is no gzip file")
+    folder, to, state = w.incoming(bad=True), scratch(w.spark, "ingested"), scratch(w.spark, "ingest-state")
     for hours in (0, 1):
         # two batches, whatever the number of files: each has the files of many tasks
         ingest.ingest_files(w.spark, folder, to, state, w.now + F.make_dt_interval(hours=F.lit(hours)), most_files=(w.parts + BAD + 2) // 2)
@@ -223,7 +233,7 @@ def _loaded(w) -> DataFrame:
 def _archived(w):
     """The rows of the archived files, read back from the archive."""
     archive = scratch(w.spark, "archive")
-    ingest.ingest_files(w.spark, w.folder(), scratch(w.spark, "ingested"), scratch(w.spark, "ingest-state"), w.now, most_files=max(2, w.parts // 2), archive=archive)
+    ingest.ingest_files(w.spark, w.incoming(), scratch(w.spark, "ingested"), scratch(w.spark, "ingest-state"), w.now, most_files=max(2, w.parts // 2), archive=archive)
     return S.read_csv(w.spark, archive)[0].withColumn("stamp", F.substring("source_file", 1, 15))
 
 

@@ -7,6 +7,7 @@ import os
 import random
 import shutil
 import tempfile
+import time
 
 import pytest
 from pyspark.sql import Window
@@ -376,6 +377,39 @@ def test_folders_have_more_files_for_more_rows(spark, monkeypatch):
     assert len(glob.glob(state.removeprefix("file://") + "/files/commits/[0-9]*")) == 2
 
 
+def size_of(path):
+    return sum(os.path.getsize(f) for f in glob.glob(f"{path}/**", recursive=True) if os.path.isfile(f))
+
+
+def test_landed_and_stored_rows_are_packed(spark, folder):
+    """A hash is 64 digits of text, of which half is enough; it is in the landed and in the stored rows."""
+    os.mkdir(f"{folder}/in")
+    n = 20_000
+    write(f"{folder}/in", "a.csv", ["shipment_id,order_id,carrier", *(f"s{k},o{k % 999},ups" for k in range(n))])
+    ingest.ingest_files(spark, f"file://{folder}/in", f"file://{folder}/out", f"file://{folder}/state", now())
+    assert ingest.ingested(spark, f"file://{folder}/out").select("record_hash").distinct().count() == n
+    assert size_of(f"{folder}/out") < 2 * 64 * n
+
+
+def test_a_folder_to_ingest_is_packed_and_takes_nothing_else(spark, monkeypatch):
+    """Neither the table that its files are written from stays, nor the shuffles of their writes."""
+    to = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    monkeypatch.setattr(files, "scratch", lambda spark, name: f"file://{to}/{name}")
+    dirs = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    shuffled = lambda: {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    archived = files._archived(files.Files(spark, SF))
+    assert archived.count() == files.Files(spark, SF).raw_shipments.count()
+    assert glob.glob(f"{to}/archive/*.csv.gz") and not glob.glob(f"{to}/archive/*.csv") and not os.path.exists(f"{to}/shipments")
+    again = files.Files(spark, SF)
+    monkeypatch.setattr(files, "scratch", lambda spark, name: f"file://{to}/again-{name}")
+    before = shuffled()
+    again.folder("gzip")
+    until = time.time() + 5  # they are removed in the background
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffled() - before
+
+
 def test_batches_of_files_hold_no_content(spark, folder, monkeypatch):
     seen, listed = [], ingest.listed
     monkeypatch.setattr(ingest, "listed", lambda f: seen.append(f.columns) or listed(f))
