@@ -410,6 +410,28 @@ def test_a_folder_to_ingest_is_packed_and_takes_nothing_else(spark, monkeypatch)
     assert not shuffled() - before
 
 
+def test_what_has_been_seen_is_packed_and_old_versions_go(spark, folder, monkeypatch):
+    """State that was written unpacked goes on to hold."""
+    os.mkdir(f"{folder}/in")
+    n = 20_000
+    ingest_one = lambda: ingest.ingest_files(spark, f"file://{folder}/in", f"file://{folder}/out", f"file://{folder}/state", now())
+    write(f"{folder}/in", "a.csv", ["shipment_id,order_id,carrier", *(f"s{k},o{k % 999},ups" for k in range(n))])
+    with monkeypatch.context() as m:
+        m.setattr(ingest, "ROCKS", {"spark.sql.streaming.stateStore.providerClass": ingest.ROCKS["spark.sql.streaming.stateStore.providerClass"]})
+        ingest_one()
+    unpacked = size_of(f"{folder}/state/rows/state")
+    write(f"{folder}/in", "b.csv", ["shipment_id,order_id,carrier", *(f"s{k},o{k % 999},ups" for k in range(n // 2, 3 * n // 2))])
+    ingest_one()
+    assert ingest.ingested(spark, f"file://{folder}/out").count() == 3 * n // 2
+    ingest.ingest_files(spark, f"file://{folder}/in", f"file://{folder}/other", f"file://{folder}/other-state", now())
+    assert ingest.ingested(spark, f"file://{folder}/other").count() == 3 * n // 2
+    assert size_of(f"{folder}/other-state/rows/state") < unpacked < 2 * 64 * n
+    for k in range(3):
+        write(f"{folder}/in", f"c{k}.csv", ["shipment_id,order_id,carrier", f"c{k},o,ups"])
+        ingest_one()
+    assert len(glob.glob(f"{folder}/state/rows/commits/[0-9]*")) <= 3  # and with them the versions of the state
+
+
 def test_batches_of_files_hold_no_content(spark, folder, monkeypatch):
     seen, listed = [], ingest.listed
     monkeypatch.setattr(ingest, "listed", lambda f: seen.append(f.columns) or listed(f))
