@@ -432,6 +432,27 @@ def test_what_has_been_seen_is_packed_and_old_versions_go(spark, folder, monkeyp
     assert len(glob.glob(f"{folder}/state/rows/commits/[0-9]*")) <= 3  # and with them the versions of the state
 
 
+def test_rows_are_told_apart_in_batches_whose_shuffles_go(spark, folder, monkeypatch):
+    os.mkdir(f"{folder}/in")
+    for k in range(8):
+        write(f"{folder}/in", f"{k}.csv", ["shipment_id,order_id", *(f"s{i},o{i}" for i in range(100 * k, 100 * k + 200))])
+    with monkeypatch.context() as m:
+        m.setattr(ingest, "dedupe", lambda *_: None)
+        ingest.ingest_files(spark, f"file://{folder}/in", f"file://{folder}/out", f"file://{folder}/state", now(), most_files=4)
+    dirs = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    shuffles = lambda: {os.path.basename(f).split("_")[1] for d in dirs for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    before = shuffles()
+    monkeypatch.setattr(ingest, "BATCH_BYTES", 1)  # a file at least
+    monkeypatch.setattr(ingest, "COLLECT_SECONDS", 0.5)
+    ingest.dedupe(spark, f"file://{folder}/out/landing", f"file://{folder}/out/rows", f"file://{folder}/state/rows")
+    time.sleep(1)  # they are removed in the background
+    landed = glob.glob(f"{folder}/out/landing/batch=*/group=*/kept=true/*.parquet")
+    assert max(int(os.path.basename(f)) for f in glob.glob(f"{folder}/state/rows/commits/[0-9]*")) + 1 == len(landed) > 4
+    assert len(shuffles() - before) < len(landed) // 2
+    got = ingest.ingested(spark, f"file://{folder}/out").select("shipment_id", "order_id").collect()
+    assert sorted(map(tuple, got)) == sorted((f"s{i}", f"o{i}") for i in range(900))
+
+
 def test_batches_of_files_hold_no_content(spark, folder, monkeypatch):
     seen, listed = [], ingest.listed
     monkeypatch.setattr(ingest, "listed", lambda f: seen.append(f.columns) or listed(f))
